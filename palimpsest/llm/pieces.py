@@ -54,6 +54,8 @@ def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[in
                     best = (strength(text, a, b), -abs(end - target)), end
             if best:
                 break
+        if not best and n - cut <= limit:  # the rest is one run that fits with less overlap
+            best = None, n
         if best:
             end, next_forced = best[1], False
             start = max(start, end - limit)
