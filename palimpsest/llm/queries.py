@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm import leaks, packing, pieces, subjects
-from palimpsest.session import spread, table
+from palimpsest.llm import leaks, neardups, packing, pieces, subjects
+from palimpsest.session import cut, spread, table
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,35 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages.unionByName(chunks)
 
 
+def _conversation_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "chunks").where("file_path is null").select("seq", "document")
+
+
+#: Classes of more copies than this come out as their representative with each copy, not as all pairs of copies.
+COPIES = 64
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs, those between copies too; only classes of more than COPIES copies stay linked through their representative."""
+    members, links = neardups.near_pairs(_conversation_chunks(spark, sf_dir), "seq", "document")
+    members = cut(members.withColumn("copies", F.count("*").over(Window.partitionBy("rep"))))
+    few = members.where(F.col("copies") <= COPIES)
+    a, b = (members.where((F.col("copies") <= COPIES) | (F.col("key") == F.col("rep"))).select(F.col("rep").alias(f"rep_{x}"), F.col("key").alias(f"key_{x}")) for x in "ab")
+    between = links.join(a, "rep_a").join(b, "rep_b").select("key_a", "key_b")
+    twice = few.where("copies > 1")
+    within = twice.select("rep", F.col("key").alias("key_a")).join(twice.select("rep", F.col("key").alias("key_b")), "rep").select("key_a", "key_b")
+    star = members.where(F.col("copies") > COPIES).select(F.col("rep").alias("key_a"), F.col("key").alias("key_b"))
+    pairs = between.unionByName(within.where("key_a < key_b")).unionByName(star.where("key_a < key_b"))
+    return pairs.select(F.least("key_a", "key_b").alias("seq_a"), F.greatest("key_a", "key_b").alias("seq_b")).distinct()
+
+
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """seq, its class, and the number of other classes linked to it."""
+    members, links = neardups.near_pairs(_conversation_chunks(spark, sf_dir), "seq", "document")
+    ends = links.select(F.col("rep_a").alias("rep")).unionByName(links.select(F.col("rep_b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
+    return members.join(ends, "rep", "left").select(F.col("key").alias("seq"), F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = _texts(spark, sf_dir).where(F.length("text") > pieces.LIMIT)
     cut = pieces.pieces(long, ["src", "item_key"], with_text=False)
