@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm import leaks, neardups, packing, pieces, subjects
+from palimpsest.llm import leaks, neardups, neighbours, packing, pieces, subjects
 from palimpsest.session import cut, spread, table
 
 
@@ -16,6 +16,18 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages.unionByName(chunks)
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neighbours.neighbours(table(spark, sf_dir, "chunk_vectors"))
+    return found.select(F.least("key", "neighbour").alias("seq_a"), F.greatest("key", "neighbour").alias("seq_b")).distinct()
+
+
+def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The form for searches: every row whose id is divisible by 50 is a query, against all rows."""
+    vectors = table(spark, sf_dir, "chunk_vectors")
+    found = neighbours.neighbours(vectors, queries=vectors.where("seq % 50 = 0"))
+    return found.select(F.col("key").alias("seq"), "neighbour", "rank", F.round("similarity", 6).alias("similarity"))
+
+
 def _conversation_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "chunks").where("file_path is null").select("seq", "document")
 
@@ -57,7 +69,7 @@ def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = packing.assign(spread(table(spark, sf_dir, "documents")))
-    return placed.where(F.col("n_tokens") > packing.CAPACITY).select("doc_id").distinct()
+    return placed.groupBy("doc_id").agg(F.min("container_id").alias("first"), F.max("container_id").alias("last")).where("first < last").select("doc_id")
 
 
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
