@@ -7,8 +7,9 @@ bits, whose planes meet the packed codes with AND and popcount. That estimates t
 error of the estimate is bounded by EPSILON standard deviations. In each cell a query reranks, exactly, only vectors
 whose upper bound reaches the k-th best lower bound it knows.
 
-A query looks into the PROBES nearest cells. Cells of more than BLOCK vectors are split into blocks, so no task holds
-more, however many vectors one cell has; the k best of all blocks are merged at the end.
+A query looks into the PROBES nearest cells. Cells of more than BLOCK vectors, and the queries of a cell, are split into
+blocks, and each pair of blocks meets in a group of its own, so no task holds more, however many vectors or queries one
+cell has; the k best of all groups are merged at the end.
 
 Defined results: vectors that are null, of another length than `dims`, all zero, or hold null, NaN or infinity are not
 usable and have no row; equal similarities are ordered by key; of repeated keys one row counts; with fewer than k
@@ -131,33 +132,33 @@ def neighbours(df: DataFrame, key: str = "seq", vector: str = "embedding", k: in
     n = clean.count()
     cells = int(min(MAX_CELLS, max(1, n // CELL), max(1, len(sample) // 4)))
     turn = rotation(dims)
-    schema = "key bigint, v binary, cell int"
     if not n:
         return df.sparkSession.createDataFrame([], "key bigint, neighbour bigint, similarity double, rank int")
     x = unit(np.stack(sample["v"].to_numpy()))
     shared = sc.broadcast(centroids(x, cells))
 
-    def placing(m):
-        def place(pdfs):
-            for pdf in pdfs:
-                if len(pdf):
-                    v = unit(np.stack(pdf["v"].to_numpy()))
-                    near = v @ shared.value.T
-                    top = np.argpartition(-near, min(m, near.shape[1]) - 1, axis=1)[:, :m]
-                    rows = np.repeat(np.arange(len(v)), top.shape[1])
-                    blobs = np.array([r.tobytes() for r in v], object)
-                    yield pd.DataFrame({"key": pdf["key"].to_numpy()[rows], "v": blobs[rows], "cell": top.ravel().astype(np.int32)})
-
-        return place
-
-    data = cut(clean.mapInPandas(placing(1), schema))
-    sizes = data.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))  # at most MAX_CELLS rows
-    blocks = F.broadcast(sizes)
-    data = data.join(blocks, "cell").select("cell", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"), "key", "v")
-    asked = clean if queries is None else queries.where(usable(vector, dims)).select(F.col(key).cast("bigint").alias("key"), F.col(vector).cast("array<double>").alias("v")).dropDuplicates(["key"])
-    # Each block of a cell sees the queries of the cell; the queries of one cell are split too.
-    asked = asked.mapInPandas(placing(min(probes, cells)), schema).join(blocks, "cell")
-    asked = asked.select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "key", "v")
+    def place(pdfs):
+        for pdf in pdfs:
+            if len(pdf):
+                v = unit(np.stack(pdf["v"].to_numpy()))
+                near = v @ shared.value.T
+                top = np.argsort(-near, axis=1, kind="stable")[:, :probes].astype(np.int32)
+                yield pd.DataFrame({"key": pdf["key"].to_numpy(), "v": [r.tobytes() for r in v], "cells": list(top)})
+
+    schema = "key bigint, v binary, cells array<int>"
+    placed = cut(clean.mapInPandas(place, schema))
+    asked = placed
+    if queries is not None:
+        asked = queries.where(usable(vector, dims)).select(F.col(key).cast("bigint").alias("key"), F.col(vector).cast("array<double>").alias("v"))
+        asked = cut(asked.dropDuplicates(["key"]).mapInPandas(place, schema))
+    data, asked = placed.withColumn("cell", F.element_at("cells", 1)).drop("cells"), asked.withColumn("cell", F.explode("cells")).drop("cells")
+    # At most MAX_CELLS rows each.
+    blocks, q_blocks = (F.broadcast(x.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))) for x, name in ((data, "blocks"), (asked, "q_blocks")))
+    block = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    pick = lambda x: x.join(blocks, "cell").join(q_blocks, "cell")
+    data = pick(data).select("cell", block("blocks").alias("block"), every("q_blocks").alias("q_block"), "key", "v")
+    asked = pick(asked).select("cell", every("blocks").alias("block"), block("q_blocks").alias("q_block"), "key", "v")
 
     def meet(group, left, right):
         found = [[], [], []]
@@ -167,6 +168,7 @@ def neighbours(df: DataFrame, key: str = "seq", vector: str = "embedding", k: in
             found = qk[r], near, sims
         return pd.DataFrame({"key": np.array(found[0], np.int64), "neighbour": np.array(found[1], np.int64), "similarity": np.array(found[2], np.float64)})
 
-    met = asked.groupBy("cell", "block").cogroup(data.groupBy("cell", "block")).applyInPandas(meet, "key bigint, neighbour bigint, similarity double")
+    group = ["cell", "block", "q_block"]
+    met = asked.groupBy(*group).cogroup(data.groupBy(*group)).applyInPandas(meet, "key bigint, neighbour bigint, similarity double")
     ranked = Window.partitionBy("key").orderBy(F.desc("similarity"), "neighbour")
     return met.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
