@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.session import cut, spread
 
-K, DIMS, PROBES, CELL, MAX_CELLS, BLOCK, SAMPLE = 5, 64, 24, 512, 4096, 4096, 20_000
+K, DIMS, PROBES, CELL, MAX_CELLS, BLOCK, SAMPLE = 5, 64, 32, 1024, 4096, 4096, 20_000
 QBITS, EPSILON = 6, 2.5
 
 
@@ -121,7 +121,7 @@ def best(query: np.ndarray, query_keys: np.ndarray, x: np.ndarray, keys: np.ndar
 
 
 def matrix(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.float64).reshape(len(column), -1)
+    return unit(np.frombuffer(b"".join(column), np.float32).reshape(len(column), -1).astype(np.float64))
 
 
 def neighbours(df: DataFrame, key: str = "seq", vector: str = "embedding", k: int = K, dims: int = DIMS, probes: int = PROBES, queries: DataFrame | None = None) -> DataFrame:
@@ -143,7 +143,7 @@ def neighbours(df: DataFrame, key: str = "seq", vector: str = "embedding", k: in
                 v = unit(np.stack(pdf["v"].to_numpy()))
                 near = v @ shared.value.T
                 top = np.argsort(-near, axis=1, kind="stable")[:, :probes].astype(np.int32)
-                yield pd.DataFrame({"key": pdf["key"].to_numpy(), "v": [r.tobytes() for r in v], "cells": list(top)})
+                yield pd.DataFrame({"key": pdf["key"].to_numpy(), "v": [r.astype(np.float32).tobytes() for r in pdf["v"]], "cells": list(top)})
 
     schema = "key bigint, v binary, cells array<int>"
     placed = cut(clean.mapInPandas(place, schema))
@@ -158,7 +158,7 @@ def neighbours(df: DataFrame, key: str = "seq", vector: str = "embedding", k: in
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     pick = lambda x: x.join(blocks, "cell").join(q_blocks, "cell")
     data = pick(data).select("cell", block("blocks").alias("block"), every("q_blocks").alias("q_block"), "key", "v")
-    asked = pick(asked).select("cell", every("blocks").alias("block"), block("q_blocks").alias("q_block"), "key", "v")
+    asked = pick(asked).select("cell", every("blocks").alias("block"), block("q_blocks").alias("q_block"), *(F.col(c).alias(c) for c in ("key", "v")))
 
     def meet(group, left, right):
         found = [[], [], []]
