@@ -10,7 +10,7 @@ task; a sentence treats its best subject if it is sure enough, and a document th
 always at least one.
 
 Defined results: null or wordless texts get no subject; labels of unknown documents and repeated labels are ignored;
-with no labels at all every text gets nothing. At most MAX_LABELLED labelled documents are used, the first by the hash
+with no labels at all every text gets nothing. The labels of at most MAX_LABELLED documents are used, the first by the hash
 of their id; every document is scored.
 """
 
@@ -162,7 +162,8 @@ def train(docs: DataFrame, labels: DataFrame, subjects: list[str], key: str = "d
     sc = docs.sparkSession.sparkContext
     place = F.create_map(*(F.lit(x) for k, s in enumerate(subjects) for x in (s, k)))
     named = labels.where(F.col(subject).isin(subjects)).groupBy(key).agg(F.sort_array(F.collect_set(place[F.col(subject)])).alias("__labels"))
-    chosen = docs.select(key, text).where(F.col(text).isNotNull()).dropDuplicates([key]).join(named, key).orderBy(F.xxhash64(key), key).limit(MAX_LABELLED)
+    named = F.broadcast(named.orderBy(F.xxhash64(key), key).limit(MAX_LABELLED))
+    chosen = docs.select(key, text).where(F.col(text).isNotNull()).join(named, key).dropDuplicates([key])
     n = len(subjects)
 
     def prepare(batches):
