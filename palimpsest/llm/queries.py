@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm import leaks, neardups, neighbours, packing, pieces, subjects
+from palimpsest.llm import leaks, neardups, neighbours, packing, pieces, provenance, subjects
 from palimpsest.session import cut, spread, table
 
 
@@ -67,6 +67,14 @@ def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.pieces(_texts(spark, sf_dir).dropDuplicates(["src", "item_key"]), ["src", "item_key"])
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return provenance.provenance(table(spark, sf_dir, "source_files")).select("file_id").distinct()
+
+
+def p7_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return provenance.provenance(table(spark, sf_dir, "source_files"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = packing.assign(spread(table(spark, sf_dir, "documents")))
     return placed.groupBy("doc_id").agg(F.min("container_id").alias("first"), F.max("container_id").alias("last")).where("first < last").select("doc_id")
