@@ -1,6 +1,6 @@
 """Problem 5: records that share most of their content but differ by small edits.
 
-Texts become sets of word shingles, and equal sets one class, whose row with the least key represents it. Each
+Texts of the same words in the same order are one class, whose row with the least key represents it. Each
 representative gets a sketch of BITS one-bit minhashes and bands of ROWS minhashes each; representatives that share a
 band are candidates. Candidates are compared bit-sliced: the differences of many pairs lie in bit planes (a plane holds
 one sketch position of 64 pairs in a word), carry-save adders count them, and after every few planes the words all of
@@ -11,7 +11,7 @@ is capped. At the default values a pair of similarity 0.6 shares no band with pr
 radius with probability 0.0002; at 0.7 and more both are below 0.0001.
 
 Defined results: null texts and texts under `min_words` words belong to no class; repeated rows of one key count once;
-texts in which two keys have the same shingles are linked through their class.
+copies are linked through their class.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.batches import map_lists
-from palimpsest.session import cut, spread
+from palimpsest.session import cut
 
 SHINGLE, THRESHOLD, MIN_WORDS = 3, 0.6, 40
 BITS, BANDS, ROWS = 128, 28, 3
@@ -157,35 +157,36 @@ def _emit(ids: np.ndarray, i: np.ndarray, j: np.ndarray, sketches: np.ndarray, l
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], schema=PAIR)
 
 
-def classes(df: DataFrame, key: str, text: str, min_words: int = MIN_WORDS) -> DataFrame:
-    """key, rep, text hash and sketch columns: one row per key with enough words; rep is the least key of its class."""
+def sketches(df: DataFrame, min_words: int) -> DataFrame:
+    """key, s0, s1, bands of (key, text) rows with enough words."""
 
     def make():
         shingler = Shingler()
 
         def run(keys, texts):
-            out = [], [], [], [], [], []
+            out = [], [], [], []
             for k, t in zip(keys, texts):
-                s = shingler(t, min_words) if t else None
-                if s is not None and k is not None:
+                s = shingler(t, min_words)
+                if s is not None:
                     m = minhashes(s)
-                    for c, v in zip(out, (k, int(s.sum().view(np.int64)), int(mix(s).sum().view(np.int64)), *sketch(m), band_keys(m))):
+                    for c, v in zip(out, (k, *sketch(m), band_keys(m))):
                         c.append(v)
             return out
 
         return run
 
-    return map_lists(spread(df.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).dropDuplicates(["key"])), make, "key bigint, set_a bigint, set_b bigint, s0 bigint, s1 bigint, bands array<bigint>")
+    return map_lists(df, make, "key bigint, s0 bigint, s1 bigint, bands array<bigint>")
 
 
 def near_pairs(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
     """(members, links): members has key and rep; links has rep_a, rep_b, similarity for each pair of classes at or above the threshold."""
-    sketched = cut(classes(df, key, text, min_words))
-    group = ["set_a", "set_b"]
-    reps = sketched.groupBy(*group).agg(F.min("key").alias("rep"))
-    members = sketched.select("key", *group).join(reps, group).select("key", "rep")
-    firsts = sketched.groupBy(*group).agg(F.min_by(F.struct("key", "s0", "s1", "bands"), "key").alias("x")).select("x.*")
-    rows = firsts.select(F.explode("bands").alias("band"), "key", "s0", "s1")
+    rows = df.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")).alias("words"))
+    rows = rows.where(F.col("key").isNotNull() & (F.regexp_count("words", F.lit(" ")) >= max(min_words, SHINGLE) - 1)).withColumn("words", F.md5("words"))
+    reps = rows.groupBy("words").agg(F.min("key").alias("rep"))
+    members = rows.select("key", "words").distinct().join(reps, "words").select("key", "rep")
+    # The only shuffle of texts: each class keeps its representative's.
+    texts = rows.groupBy("words").agg(F.min(F.struct("key", "text")).alias("x")).select("x.*")
+    rows = sketches(texts, min_words).select(F.explode("bands").alias("band"), "key", "s0", "s1")
     limit = radius(threshold)
     # One shuffle by band; bands of one text are dropped at once, and the rest is cut so that large bands can be split.
     sized = cut(rows.withColumn("n", F.count("*").over(Window.partitionBy("band"))).where("n > 1"))

@@ -40,13 +40,13 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs, those between copies too; only classes of more than COPIES copies stay linked through their representative."""
     members, links = neardups.near_pairs(_conversation_chunks(spark, sf_dir), "seq", "document")
     members = cut(members.withColumn("copies", F.count("*").over(Window.partitionBy("rep"))))
-    few = members.where(F.col("copies") <= COPIES)
-    a, b = (members.where((F.col("copies") <= COPIES) | (F.col("key") == F.col("rep"))).select(F.col("rep").alias(f"rep_{x}"), F.col("key").alias(f"key_{x}")) for x in "ab")
+    small = F.col("copies") <= COPIES
+    a, b = (members.where(small | (F.col("key") == F.col("rep"))).select(F.col("rep").alias(f"rep_{x}"), F.col("key").alias(f"key_{x}")) for x in "ab")
     between = links.join(a, "rep_a").join(b, "rep_b").select("key_a", "key_b")
-    twice = few.where("copies > 1")
-    within = twice.select("rep", F.col("key").alias("key_a")).join(twice.select("rep", F.col("key").alias("key_b")), "rep").select("key_a", "key_b")
-    star = members.where(F.col("copies") > COPIES).select(F.col("rep").alias("key_a"), F.col("key").alias("key_b"))
-    pairs = between.unionByName(within.where("key_a < key_b")).unionByName(star.where("key_a < key_b"))
+    twice = members.where("copies > 1")
+    within = twice.where(small).select("rep", F.col("key").alias("key_a")).join(twice.where(small).select("rep", F.col("key").alias("key_b")), "rep").select("key_a", "key_b")
+    star = twice.where(~small).select(F.col("rep").alias("key_a"), F.col("key").alias("key_b"))
+    pairs = between.unionByName(within.unionByName(star).where("key_a < key_b"))
     return pairs.select(F.least("key_a", "key_b").alias("seq_a"), F.greatest("key_a", "key_b").alias("seq_b")).distinct()
 
 
