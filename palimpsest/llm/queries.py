@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm import leaks, neardups, neighbours, packing, pieces, provenance, subjects
+from palimpsest.llm import leaks, neardups, neighbours, packing, pieces, provenance, secrets, subjects
 from palimpsest.session import cut, spread, table
 
 
@@ -16,6 +16,23 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages.unionByName(chunks)
 
 
+def _code(spark: SparkSession, sf_dir: str) -> list[tuple[DataFrame, bool]]:
+    """src, item_key, text of files and of code chunks; whether a text may be the middle of a key block."""
+    files = table(spark, sf_dir, "source_files").select(F.lit("source_files").alias("src"), F.col("file_id").alias("item_key"), F.col("content").alias("text"))
+    chunks = table(spark, sf_dir, "chunks").where("file_path is not null").select(F.lit("chunks").alias("src"), F.col("seq").alias("item_key"), F.col("document").alias("text"))
+    return [(spread(files), False), (spread(chunks), True)]
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, chunks = (secrets.secrets(df, ["src", "item_key"], "text", bare) for df, bare in _code(spark, sf_dir))
+    return files.unionByName(chunks).select("src", "item_key", "line_no").distinct()
+
+
+def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, chunks = (secrets.redacted(df.dropDuplicates(["src", "item_key"]), ["src", "item_key"], "text", bare) for df, bare in _code(spark, sf_dir))
+    return files.unionByName(chunks)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neighbours.neighbours(table(spark, sf_dir, "chunk_vectors"))
     return found.select(F.least("key", "neighbour").alias("seq_a"), F.greatest("key", "neighbour").alias("seq_b")).distinct()
