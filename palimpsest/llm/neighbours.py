@@ -4,8 +4,9 @@ Vectors are normalised and assigned to the nearest of some centroids, fitted on
 taking away the centroid is normalised and rotated at random; its signs are the code, one bit a dimension, and its inner
 product with the code's vector is the correction scalar. A query is rotated likewise and its residual quantised to QBITS
 bits, whose planes meet the packed codes with AND and popcount. That estimates the inner product; for given data the
-error of the estimate is bounded by EPSILON standard deviations. In each cell a query reranks, exactly, only vectors
-whose upper bound reaches the k-th best lower bound it knows.
+error of the estimate is bounded by EPSILON standard deviations. A query first looks into its nearest cell and reranks,
+exactly, the vectors whose upper bound reaches the k-th best lower bound. In all further cells it reranks only vectors
+whose upper bound reaches the k-th best similarity that it has found by then.
 
 A query looks into the PROBES nearest cells. Cells of more than BLOCK vectors, and the queries of a cell, are split into
 blocks, and each pair of blocks meets in a group of its own, so no task holds more, however many vectors or queries one
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from palimpsest.session import cut, spread
 
 K, DIMS, PROBES, CELL, MAX_CELLS, BLOCK, SAMPLE = 5, 64, 32, 1024, 4096, 4096, 20_000
-QBITS, EPSILON = 6, 2.5
+QBITS, EPSILON = 4, 2.2
 
 
 def usable(column: str, dims: int):
@@ -79,40 +80,54 @@ class Codes:
         self.offset = x @ centre
 
     def bounds(self, query: np.ndarray, centre: np.ndarray, turn: np.ndarray, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray]:
-        """Estimates of <x, query> for each query (row) and vector (column), and the error bounds."""
+        """Upper bounds of <x, query> for each query (row) and vector (column), and twice the error."""
         q = (query - centre) @ turn.T
-        low, high = q.min(1, keepdims=True), q.max(1, keepdims=True)
+        low, high = q.min(1), q.max(1)
         step = np.where(high > low, (high - low) / ((1 << QBITS) - 1), 1)
-        levels = np.rint((q - low) / step).astype(np.uint8)
-        met = np.zeros((len(q), len(self.code)), np.int32)
-        for b in range(QBITS):
+        levels = np.rint((q - low[:, None]) / step[:, None]).astype(np.uint8)
+        met = np.zeros((len(q), len(self.code)), np.uint16)
+        for b in reversed(range(QBITS)):
             plane = pack(levels >> b & 1)
+            met <<= 1
             for w in range(self.code.shape[1]):
-                met += np.bitwise_count(plane[:, w, None] & self.code[None, :, w]).astype(np.int32) << b
-        # the code's vector is (2 bit - 1) / sqrt(dims) in each dimension
-        root = np.sqrt(self.dims)
-        product = (2 * step * met + 2 * low * self.ones - step * levels.sum(1, keepdims=True) - low * self.dims) / root
-        # <x, q> = <x - c, q - c> + <x, c> + <c, q> - <c, c>
-        estimate = self.length * product / self.fit + self.offset + (query @ centre)[:, None] - centre @ centre
-        error = self.length * np.sqrt(np.maximum(1 - self.fit**2, 0) / self.fit**2) * epsilon / np.sqrt(self.dims - 1) * np.linalg.norm(q, axis=1, keepdims=True)
-        return estimate, error + self.length * step * 0.5  # the query's rounding comes on top
-
-
-def best(query: np.ndarray, query_keys: np.ndarray, x: np.ndarray, keys: np.ndarray, centre: np.ndarray, turn: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, key, similarity) of the k best of the cell for each query, after reranking."""
+                met += np.bitwise_count(plane[:, w, None] & self.code[None, :, w])
+        # <x, q> = <x - c, q - c> + <x, c> + <c, q> - <c, c>, and x - c is estimated as weight (2 bits - 1) in each dimension:
+        # all but the counts of common bits is a product of a few columns and rows.
+        weight = self.length / self.fit / np.sqrt(self.dims)
+        spread = self.length * np.sqrt(np.maximum(1 - self.fit**2, 0)) / self.fit * epsilon / np.sqrt(self.dims - 1)
+        norm = np.linalg.norm(q, axis=1)
+        error = np.stack([norm, step], 1).astype(np.float32) @ np.stack([spread, self.length * 0.5]).astype(np.float32)
+        left = np.stack([2 * low, -(step * levels.sum(1) + low * self.dims), np.ones(len(q)), query @ centre - centre @ centre], 1)
+        right = np.stack([weight * self.ones, weight, self.offset, np.ones(len(weight))])
+        upper = left.astype(np.float32) @ right.astype(np.float32)
+        upper += error
+        upper += met * (2 * step).astype(np.float32)[:, None] * weight.astype(np.float32)
+        error *= 2
+        return upper, error
+
+
+def best(query: np.ndarray, query_keys: np.ndarray, x: np.ndarray, keys: np.ndarray, centre: np.ndarray, turn: np.ndarray, k: int, floors: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, key, similarity) of the k best of the cell for each query, after reranking; of those, with floors, that may reach them."""
     codes = Codes(x, centre, turn)
     rows, cols = [], []
     for i in range(0, len(query), 256):
-        estimate, error = codes.bounds(query[i : i + 256], centre, turn)
-        lower, upper = estimate - error, estimate + error
+        upper, error = codes.bounds(query[i : i + 256], centre, turn)
         same = query_keys[i : i + 256, None] == keys[None, :]
-        lower[same] = upper[same] = -9
-        floor = np.partition(lower, -k, axis=1)[:, -k, None] if len(keys) > k else np.full((len(lower), 1), -8.0)
+        if floors is not None:
+            floor = floors[i : i + 256, None] - 1e-6
+        elif len(keys) > k:
+            lower = np.where(same, -9, upper - error)
+            floor = np.partition(lower, -k, axis=1)[:, -k, None]
+        else:
+            floor = np.full((len(upper), 1), -9.0)
         r, c = np.nonzero((upper >= floor) & ~same)
         rows.append(r + i)
         cols.append(c)
     r, c = np.concatenate(rows), np.concatenate(cols)
     sims = np.concatenate([np.einsum("ij,ij->i", query[r[i : i + 65536]], x[c[i : i + 65536]]) for i in range(0, len(r), 65536)] or [np.zeros(0)])
+    if floors is not None:
+        keep = sims >= floors[r] - 1e-6
+        r, c, sims = r[keep], c[keep], sims[keep]
     order = np.lexsort((keys[c], -sims, r))
     r, c, sims = r[order], c[order], sims[order]
     first = np.searchsorted(r, np.arange(len(query)))
@@ -151,24 +166,32 @@ def neighbours(df: DataFrame, key: str = "seq", vector: str = "embedding", k: in
     if queries is not None:
         asked = queries.where(usable(vector, dims)).select(F.col(key).cast("bigint").alias("key"), F.col(vector).cast("array<double>").alias("v"))
         asked = cut(asked.dropDuplicates(["key"]).mapInPandas(place, schema))
-    data, asked = placed.withColumn("cell", F.element_at("cells", 1)).drop("cells"), asked.withColumn("cell", F.explode("cells")).drop("cells")
-    # At most MAX_CELLS rows each.
-    blocks, q_blocks = (F.broadcast(x.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))) for x, name in ((data, "blocks"), (asked, "q_blocks")))
-    block = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    pick = lambda x: x.join(blocks, "cell").join(q_blocks, "cell")
-    data = pick(data).select("cell", block("blocks").alias("block"), every("q_blocks").alias("q_block"), "key", "v")
-    asked = pick(asked).select("cell", every("blocks").alias("block"), block("q_blocks").alias("q_block"), *(F.col(c).alias(c) for c in ("key", "v")))
+    data = placed.select("key", "v", F.element_at("cells", 1).alias("cell"))
+    blocks = F.broadcast(data.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))  # at most MAX_CELLS rows
+    data = data.join(blocks, "cell")
 
     def meet(group, left, right):
         found = [[], [], []]
         if len(left) and len(right):
             qk, q, keys, x = left["key"].to_numpy(), matrix(left["v"]), right["key"].to_numpy(), matrix(right["v"])
-            r, near, sims = best(q, qk, x, keys, shared.value[group[0]], turn, k)
+            floors = left["floor"].to_numpy() if left["floor"].notna().all() else None
+            r, near, sims = best(q, qk, x, keys, shared.value[group[0]], turn, k, floors)
             found = qk[r], near, sims
         return pd.DataFrame({"key": np.array(found[0], np.int64), "neighbour": np.array(found[1], np.int64), "similarity": np.array(found[2], np.float64)})
 
-    group = ["cell", "block", "q_block"]
-    met = asked.groupBy(*group).cogroup(data.groupBy(*group)).applyInPandas(meet, "key bigint, neighbour bigint, similarity double")
+    def search(asked: DataFrame) -> DataFrame:
+        """asked: cell, key, v, floor."""
+        q_blocks = F.broadcast(asked.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("q_blocks")))
+        block = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        there = data.join(q_blocks, "cell").select("cell", block("blocks").alias("block"), every("q_blocks").alias("q_block"), "key", "v")
+        here = asked.join(blocks, "cell").join(q_blocks, "cell").select("cell", every("blocks").alias("block"), block("q_blocks").alias("q_block"), *(F.col(c).alias(c) for c in ("key", "v", "floor")))
+        group = ["cell", "block", "q_block"]
+        return here.groupBy(*group).cogroup(there.groupBy(*group)).applyInPandas(meet, "key bigint, neighbour bigint, similarity double")
+
     ranked = Window.partitionBy("key").orderBy(F.desc("similarity"), "neighbour")
-    return met.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
+    top = lambda df: df.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
+    near = cut(top(search(asked.select("key", "v", F.element_at("cells", 1).alias("cell"), F.lit(None).cast("double").alias("floor")))).drop("rank"))
+    floors = near.groupBy("key").agg(F.when(F.count("*") >= k, F.min("similarity")).otherwise(-2.0).alias("floor"))
+    further = asked.join(floors, "key", "left").select("key", "v", F.explode(F.slice("cells", 2, probes)).alias("cell"), F.coalesce("floor", F.lit(-2.0)).alias("floor"))
+    return top(near.unionByName(search(further)))
