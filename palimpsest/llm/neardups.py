@@ -1,6 +1,6 @@
 """Problem 5: records that share most of their content but differ by small edits.
 
-Texts of the same words in the same order are one class, whose row with the least key represents it. Each
+Equal texts are one class, whose row with the least key represents it, and texts are sets of word shingles. Each
 representative gets a sketch of BITS one-bit minhashes and bands of ROWS minhashes each; representatives that share a
 band are candidates. Candidates are compared bit-sliced: the differences of many pairs lie in bit planes (a plane holds
 one sketch position of 64 pairs in a word), carry-save adders count them, and after every few planes the words all of
@@ -180,12 +180,12 @@ def sketches(df: DataFrame, min_words: int) -> DataFrame:
 
 def near_pairs(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
     """(members, links): members has key and rep; links has rep_a, rep_b, similarity for each pair of classes at or above the threshold."""
-    rows = df.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")).alias("words"))
-    rows = rows.where(F.col("key").isNotNull() & (F.regexp_count("words", F.lit(" ")) >= max(min_words, SHINGLE) - 1)).withColumn("words", F.md5("words"))
-    reps = rows.groupBy("words").agg(F.min("key").alias("rep"))
-    members = rows.select("key", "words").distinct().join(reps, "words").select("key", "rep")
+    rows = df.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).where(F.col("key").isNotNull() & (F.length("text") >= 2 * max(min_words, SHINGLE) - 1))
+    same = F.md5("text").alias("same")
+    ids = cut(rows.where(F.regexp_count("text", F.lit(r"[\p{L}\p{N}]+")) >= max(min_words, SHINGLE)).select("key", same))
+    members = ids.distinct().join(ids.groupBy("same").agg(F.min("key").alias("rep")), "same").select("key", "rep")
     # The only shuffle of texts: each class keeps its representative's.
-    texts = rows.groupBy("words").agg(F.min(F.struct("key", "text")).alias("x")).select("x.*")
+    texts = rows.groupBy(same).agg(F.min(F.struct("key", "text")).alias("x")).select("x.*")
     rows = sketches(texts, min_words).select(F.explode("bands").alias("band"), "key", "s0", "s1")
     limit = radius(threshold)
     # One shuffle by band; bands of one text are dropped at once, and the rest is cut so that large bands can be split.
