@@ -5,15 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm import leaks, neardups, neighbours, packing, pieces, provenance, secrets, subjects
+from palimpsest.llm import leaks, neardups, neighbours, packing, personal, pieces, provenance, secrets, subjects
 from palimpsest.session import cut, spread, table
 
 
-def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """src, item_key, text of messages and stored chunks."""
+def _texts(spark: SparkSession, sf_dir: str, conversations: bool = False) -> DataFrame:
+    """src, item_key, text of messages and stored chunks; of conversations only, if so asked."""
     messages = table(spark, sf_dir, "messages").select(F.lit("messages").alias("src"), F.col("message_id").alias("item_key"), "text")
-    chunks = table(spark, sf_dir, "chunks").select(F.lit("chunks").alias("src"), F.col("seq").alias("item_key"), F.col("document").alias("text"))
-    return messages.unionByName(chunks)
+    chunks = table(spark, sf_dir, "chunks")
+    chunks = chunks.where("file_path is null") if conversations else chunks
+    chunks = chunks.select(F.lit("chunks").alias("src"), F.col("seq").alias("item_key"), F.col("document").alias("text"))
+    return spread(messages).unionByName(spread(chunks))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = _texts(spark, sf_dir, conversations=True)
+    return personal.personal(texts, ["src", "item_key"], with_text=False).select("src", "item_key", F.explode("kinds").alias("kind")).distinct()
+
+
+def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.personal(_texts(spark, sf_dir, conversations=True).dropDuplicates(["src", "item_key"]), ["src", "item_key"])
 
 
 def _code(spark: SparkSession, sf_dir: str) -> list[tuple[DataFrame, bool]]:
