@@ -28,9 +28,9 @@ def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _code(spark: SparkSession, sf_dir: str) -> list[tuple[DataFrame, bool]]:
-    """src, item_key, text of files and of code chunks; whether a text may be the middle of a key block."""
+    """src, item_key, text of files and of all chunks; whether a text may be the middle of a key block."""
     files = table(spark, sf_dir, "source_files").select(F.lit("source_files").alias("src"), F.col("file_id").alias("item_key"), F.col("content").alias("text"))
-    chunks = table(spark, sf_dir, "chunks").where("file_path is not null").select(F.lit("chunks").alias("src"), F.col("seq").alias("item_key"), F.col("document").alias("text"))
+    chunks = table(spark, sf_dir, "chunks").select(F.lit("chunks").alias("src"), F.col("seq").alias("item_key"), F.col("document").alias("text"))
     return [(spread(files), False), (spread(chunks), True)]
 
 
