@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm import leaks, neardups, neighbours, packing, personal, pieces, provenance, secrets, subjects
+from palimpsest.llm import leaks, neardups, neighbours, packing, personal, pieces, provenance, scans, secrets, subjects
 from palimpsest.session import cut, spread, table
 
 
@@ -18,6 +18,19 @@ def _texts(spark: SparkSession, sf_dir: str, conversations: bool = False) -> Dat
     return spread(messages).unionByName(spread(chunks))
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scans.defects(table(spark, sf_dir, "messages"))
+    return found.where("kind <> 'compound'").select("message_id", F.col("kind").alias("defect")).distinct()
+
+
+def p1_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.defects(table(spark, sf_dir, "messages"))
+
+
+def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.repaired(table(spark, sf_dir, "messages"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = _texts(spark, sf_dir, conversations=True)
     return personal.personal(texts, ["src", "item_key"], with_text=False).select("src", "item_key", F.explode("kinds").alias("kind")).distinct()
