@@ -82,14 +82,22 @@ def title(line: str) -> str | None:
     return " ".join(out)
 
 
+def bare(line: str) -> str:
+    """Without a page number at either end."""
+    return PAGE_START.sub("", PAGE_END.sub("", line))
+
+
+def width_of(lines: list[str]) -> int:
+    """Length of the longest line of text; 0 for fewer than two lines."""
+    full = [len(x.rstrip()) for x in lines if x.strip() and not is_number(x) and not title(bare(x))]
+    return max(full) if len(full) > 1 else 0
+
+
 def is_scan(lines: list[str]) -> bool:
     """Are lines broken where the next word no longer fitted?"""
     body = [x.rstrip() for x in lines]
-    full = [len(x) for x in body if x.strip() and not is_number(x)]
-    if len(full) < 2:
-        return False
-    width = max(full)
-    if width > 100 or width < 24:
+    width = width_of(lines)
+    if not 24 <= width <= 100:
         return False
     wraps = breaks = 0
     for x, y in zip(body, body[1:]):
@@ -107,6 +115,7 @@ class Page:
 
     def __init__(self, text: str):
         self.lines = lines_of(text)
+        self.width = width_of(self.lines)
         self.numbers: set[int] = set()
         self.attached: set[int] = set()  # headers with a page number in the line
         self.heads: dict[int, tuple[str, bool]] = {}  # line -> (skeleton, sure)
@@ -116,9 +125,8 @@ class Page:
         for i, x in enumerate(self.lines):
             if not x.strip() or i in self.numbers:
                 continue
-            bare = PAGE_START.sub("", PAGE_END.sub("", x))
-            skeleton = title(bare)
-            attached = bare != x and skeleton is not None
+            skeleton = title(bare(x))
+            attached = bare(x) != x and skeleton is not None
             if skeleton and (attached or self.goes_on(i)):
                 self.heads[i] = (skeleton, attached)
                 if attached:
@@ -148,7 +156,7 @@ class Page:
     def opens(self, i: int) -> bool:
         """Is the line in the middle of a sentence that goes on after it?"""
         before, after = self.text_at(i, -1), self.text_at(i, 1)
-        return before is not None and after is not None and not close(before) and not after[0].isupper()
+        return before is not None and after is not None and not close(before)
 
     def goes_on(self, i: int) -> bool:
         """Does the text read on without the line? Either in the middle of a sentence or between two."""
@@ -157,7 +165,9 @@ class Page:
             return before is not None and (close(before) or self.step(i, -1) in self.numbers)
         if before is None or close(before):
             return not after[0].islower()
-        return after[0].islower() or not close(self.lines[i]) and (not self.lines[i - 1].strip() or i + 1 < len(self.lines) and not self.lines[i + 1].strip())
+        if i + 1 < len(self.lines) and self.lines[i + 1].strip() and len(self.lines[i].rstrip()) + 1 + len(self.lines[i + 1].split()[0]) < self.width - 1:
+            return True  # a page of this width would not have broken the line here
+        return after[0].islower() or (not self.lines[i - 1].strip() or i + 1 < len(self.lines) and not self.lines[i + 1].strip())
 
     def broken(self, heads: set[int]) -> list[tuple[int, int, str, str, str]]:
         """(line, next line, left, right, mark) of words broken at line ends."""
