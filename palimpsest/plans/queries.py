@@ -1,6 +1,408 @@
+"""Queries over the tables of TESTDATA.md, one or more for each operator."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from palimpsest.functions import text as X
+from palimpsest.functions.vectors import cosine_distance, hashed_embedding, usable
+from palimpsest.operators import catalog, export, search, store, sync
+from palimpsest.operators.chunking import chunk_code, chunk_message
+from palimpsest.operators.ranking import position
+from palimpsest.plans.oracle import ORACLE
+from palimpsest.sources import files, html, records
+from palimpsest.streaming import ingest
+from palimpsest.session import ensure_checkpoint_dir, spread, table
+
+NOW_MS = 1_800_000_000_000
+EXPORTED = "2027-01-15T08:00:00Z"
+PREFIX = r"C:\work"
+TOPIC = "Thread"
+
+
+def _messages(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "messages")).dropDuplicates()
+
+
+def _captures(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "captures").dropDuplicates()
+
+
+def _chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The live chunks: the last row of each id."""
+    return store.latest(table(spark, d, "chunks"))
+
+
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "source_files").dropDuplicates(["file_id"])).withColumn("rel_path", files.relative(F.col("file_path")))
+
+
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents").select("doc_id", "text").where("text is not null"))
+
+
+# Sources
+
+
+def record_requests(spark: SparkSession, d: str) -> DataFrame:
+    return records.accepted(_captures(spark, d), _messages(spark, d))
+
+
+def record_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return records.record_chunks(_captures(spark, d), _messages(spark, d), NOW_MS)
+
+
+def file_filter(spark: SparkSession, d: str) -> DataFrame:
+    return files.code_files(_files(spark, d)).select("file_id", "rel_path")
+
+
+def file_filter_custom(spark: SparkSession, d: str) -> DataFrame:
+    return files.code_files(_files(spark, d), [".PY", "sql"]).select("file_id", "rel_path")
+
+
+def file_extensions(spark: SparkSession, d: str) -> DataFrame:
+    return _files(spark, d).groupBy(files.extension(F.col("rel_path")).alias("extension")).agg(F.count("*").alias("n"))
+
+
+def host_path_translate(spark: SparkSession, d: str) -> DataFrame:
+    return _files(spark, d).select("file_id", X.translate_host_path(F.col("path"), PREFIX).alias("mounted"))
+
+
+def detect_platform(spark: SparkSession, d: str) -> DataFrame:
+    """Captures have invented hosts; every other one gets a registry host in front."""
+    hosts = F.element_at(F.array(*(F.lit(h) for h in ("chat.openai.com", "chatgpt.com", "gemini.google.com", "claude.ai", "chat.deepseek.com", "example.org"))), (F.col("capture_id") % 6 + 1).cast("int"))
+    url = F.when(F.col("capture_id") % 2 == 0, F.concat(F.lit("https://"), hosts, F.lit("/c/"), F.col("capture_id").cast("string"))).otherwise(F.col("source_url"))
+    return _captures(spark, d).select("capture_id", url.alias("url"), X.detect_platform(url).alias("detected"))
+
+
+def extract_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Each message as a page of its own, with its text escaped in the platform's markup, and read again."""
+    kept = _messages(spark, d).where("text is not null")
+    body = X.html_escape(F.col("text"))
+    page = F.concat(F.lit("<html><body><p>menu<div data-message-author-role='"), X.html_escape(F.coalesce("role", F.lit(""))), F.lit("'><span>x</span><div class='a markdown'>"), body, F.lit("</div></div><script>var s = '</p>';</script>"))
+    found = html.extract_messages(kept.select("message_id", page.alias("html"), F.lit("ChatGPT").alias("platform")), "message_id")
+    return found.select("message_id", "turn", "role", F.regexp_replace("text", X.BLANK + "+", "").alias("letters"))
+
+
+# Projections
+
+
+def messages_normalized(spark: SparkSession, d: str) -> DataFrame:
+    rows = _messages(spark, d).where(F.length("text") > 2)
+    return rows.select("message_id", "capture_id", "turn", X.with_role(F.col("role"), F.col("text")).alias("full_text"))
+
+
+def chunk_messages(spark: SparkSession, d: str) -> DataFrame:
+    return records.message_chunks(_messages(spark, d)).select("message_id", F.col("pos").cast("bigint").alias("pos"), "document")
+
+
+def chunk_paragraph_packing(spark: SparkSession, d: str) -> DataFrame:
+    full = F.concat(F.lit("[USER] "), F.replace("text", F.lit("\n"), F.lit("\n\n")))
+    rows = _documents(spark, d).select("doc_id", F.posexplode(chunk_message(full)).alias("pos", "document"))
+    return rows.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "document")
+
+
+def chunk_code_files(spark: SparkSession, d: str) -> DataFrame:
+    rows = _files(spark, d).select("file_id", F.posexplode(chunk_code(F.col("rel_path"), F.col("content"))).alias("pos", "document"))
+    return rows.select("file_id", F.col("pos").cast("bigint").alias("pos"), "document")
+
+
+def chunk_ids(spark: SparkSession, d: str) -> DataFrame:
+    return records.record_chunks(_captures(spark, d), _messages(spark, d), NOW_MS).select("capture_id", "id")
+
+
+def code_chunk_ids(spark: SparkSession, d: str) -> DataFrame:
+    return files.code_chunks(files.code_files(_files(spark, d)), NOW_MS).select("id", "source_url", "platform", "topic", "file_path")
+
+
+def code_chunk_total(spark: SparkSession, d: str) -> DataFrame:
+    return files.chunk_counts(files.code_files(_files(spark, d)))
+
+
+def hashed_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    """Dimensions that are not zero."""
+    rows = _messages(spark, d).where("text is not null").select("message_id", F.posexplode(hashed_embedding(F.col("text"))).alias("dim", "value"))
+    return rows.where("value <> 0").select("message_id", F.col("dim").cast("bigint").alias("dim"), F.round("value", 6).alias("value"))
+
+
+def result_labels(spark: SparkSession, d: str) -> DataFrame:
+    return _captures(spark, d).select("capture_id", X.result_label(F.col("platform"), F.col("topic"), F.lit("text")).alias("label"))
+
+
+def rendered_dates(spark: SparkSession, d: str) -> DataFrame:
+    return _captures(spark, d).select("capture_id", X.render_ms(F.col("timestamp_ms")).alias("rendered"))
+
+
+def safe_names(spark: SparkSession, d: str) -> DataFrame:
+    return _captures(spark, d).where("topic is not null").select("topic", X.file_name(F.col("topic")).alias("file_name"), X.wiki_name(F.col("topic")).alias("wiki_name")).distinct()
+
+
+def html_escape(spark: SparkSession, d: str) -> DataFrame:
+    return _messages(spark, d).select("message_id", X.html_escape(F.col("text")).alias("escaped"))
+
+
+def platform_badges(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "chunks").select("platform").distinct().select("platform", X.badge(F.col("platform")).alias("badge"))
+
+
+def progress_percent(spark: SparkSession, d: str) -> DataFrame:
+    """How far the messages of a capture are through at each turn."""
+    n = _messages(spark, d).groupBy("capture_id").agg(F.count("*").alias("total"), F.max("turn").alias("done"))
+    return n.select("capture_id", X.percent(F.col("done"), F.col("total")).alias("percent"))
+
+
+def resolved_topics(spark: SparkSession, d: str) -> DataFrame:
+    return _captures(spark, d).select("capture_id", X.resolve_topic(F.col("topic")).alias("topic"))
+
+
+def parsed_extensions(spark: SparkSession, d: str) -> DataFrame:
+    lists = F.concat(F.lit(" ."), F.upper(files.extension(F.col("rel_path"))), F.lit(" ,, js,"))
+    return _files(spark, d).select("file_id", F.array_join(X.parse_extensions(lists), "|").alias("extensions"))
+
+
+def page_limits(spark: SparkSession, d: str) -> DataFrame:
+    asked = F.when(F.col("capture_id") % 5 == 0, "x").otherwise((F.col("capture_id") % 700).cast("string"))
+    return _captures(spark, d).select("capture_id", X.page_limit(asked).alias("page_limit"))
+
+
+# Store
+
+
+def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
+    return _chunks(spark, d)
+
+
+def stale_tail(spark: SparkSession, d: str) -> DataFrame:
+    return store.stale(_chunks(spark, d)).select("id", "source_url", "timestamp_ms")
+
+
+def replace_source(spark: SparkSession, d: str) -> DataFrame:
+    return store.without_stale(_chunks(spark, d)).select("id", "seq")
+
+
+def delete_topic_remaining(spark: SparkSession, d: str) -> DataFrame:
+    return store.delete_topic(_chunks(spark, d), TOPIC).select("id", "topic")
+
+
+def delete_topic_count(spark: SparkSession, d: str) -> DataFrame:
+    return store.deleted_count(_chunks(spark, d), TOPIC)
+
+
+# Catalog
+
+
+def stats_by_topic(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.stats_by_topic(_chunks(spark, d))
+
+
+def stats_topic_platform(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.platforms_by_topic(_chunks(spark, d))
+
+
+def stats_platform_maps(spark: SparkSession, d: str) -> DataFrame:
+    joined = F.array_join(F.transform(F.array_sort(F.map_entries("platforms")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), "; ")
+    return catalog.platform_maps(_chunks(spark, d)).select("topic", joined.alias("platforms"))
+
+
+def stats_totals(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.totals(_chunks(spark, d))
+
+
+def stats_rollup(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.totals_rollup(_chunks(spark, d))
+
+
+def topics_list(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.topics_or_default(_chunks(spark, d))
+
+
+def platforms_list(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.platforms(_chunks(spark, d))
+
+
+def browse_page(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.browse(_chunks(spark, d), limit=20, offset=40).select("id", "document", "timestamp_ms")
+
+
+def browse_topic(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.browse(_chunks(spark, d), TOPIC).select("id", "document", "timestamp_ms")
+
+
+def browse_total(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.browse_total(_chunks(spark, d), TOPIC)
+
+
+def dashboard_newest(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.newest(_chunks(spark, d))
+
+
+# Export
+
+
+def export_entries(spark: SparkSession, d: str) -> DataFrame:
+    return export.export_entries(_chunks(spark, d))
+
+
+def export_headers(spark: SparkSession, d: str) -> DataFrame:
+    return export.export_header(_chunks(spark, d), EXPORTED)
+
+
+# Search
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors with their chunk's metadata; vectors of a chunk delivered twice count once."""
+    chunks = table(spark, d, "chunks").select("seq", "document", "platform", "topic").dropDuplicates(["seq"])
+    return table(spark, d, "chunk_vectors").join(chunks, "seq")
+
+
+def _query_vector(spark: SparkSession, d: str) -> list[float]:
+    """That of the first usable row."""
+    return table(spark, d, "chunk_vectors").where(usable(F.col("embedding"), 64)).orderBy("seq").first()["embedding"]
+
+
+def knn_topk(spark: SparkSession, d: str) -> DataFrame:
+    found = search.topk(_vectors(spark, d), _query_vector(spark, d), "seq")
+    return found.select("seq", F.round("distance", 6).alias("distance"), X.result_label(F.col("platform"), F.col("topic"), F.col("document")).alias("label"))
+
+
+def knn_topk_topic(spark: SparkSession, d: str) -> DataFrame:
+    return search.topk(_vectors(spark, d), _query_vector(spark, d), "seq", topic=TOPIC, k=10).select("seq", F.round("distance", 6).alias("distance"))
+
+
+def knn_default_topic_wildcard(spark: SparkSession, d: str) -> DataFrame:
+    return search.topk(_vectors(spark, d), _query_vector(spark, d), "seq", topic="Generale", k=10).select("seq", F.round("distance", 6).alias("distance"))
+
+
+def knn_within_distance(spark: SparkSession, d: str) -> DataFrame:
+    q = F.array(*(F.lit(float(x)) for x in _query_vector(spark, d)))
+    rows = table(spark, d, "chunk_vectors").where(usable(F.col("embedding"), 64)).select("seq", F.round(cosine_distance(F.col("embedding"), q), 6).alias("distance"))
+    return rows.where("distance <= 0.75")
+
+
+def knn_batch(spark: SparkSession, d: str) -> DataFrame:
+    """Every row whose id is divisible by 50 is a query, against all rows."""
+    vectors = table(spark, d, "chunk_vectors")
+    found = search.batch_topk(vectors.where("seq % 50 = 0"), vectors, "seq")
+    return found.select("query", "neighbour", F.round("distance", 6).alias("distance"), F.col("rank").cast("bigint").alias("rank"))
+
+
+def text_search(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks nearest to a text under the hashed embedder."""
+    rows = _chunks(spark, d).withColumn("embedding", hashed_embedding(F.col("document")))
+    query = spark.range(1).select(hashed_embedding(F.lit("why did the parser block the cache")).alias("q")).first()["q"]
+    return search.topk(rows, query, "id", k=10, most=2.0).select("id", F.round("distance", 6).alias("distance"))
+
+
+def context_block(spark: SparkSession, d: str) -> DataFrame:
+    hits = search.topk(_vectors(spark, d), _query_vector(spark, d), "seq")
+    ranked = hits.select(F.row_number().over(Window.orderBy("distance", "seq")).alias("rank"), X.result_label(F.col("platform"), F.col("topic"), F.col("document")).alias("label"))  # at most k rows
+    return export.context_block(ranked, "What did we decide?")
+
+
+# Sync
+
+
+def sync_incremental(spark: SparkSession, d: str) -> DataFrame:
+    return sync.delivered(_chunks(spark, d), table(spark, d, "sync_cursors")).select("id", "topic", "timestamp_ms", "mode")
+
+
+def sync_full(spark: SparkSession, d: str) -> DataFrame:
+    return sync.delivered(_chunks(spark, d), table(spark, d, "sync_cursors"), full=True).select("id", "topic", "timestamp_ms", "mode")
+
+
+def sync_first(spark: SparkSession, d: str) -> DataFrame:
+    return sync.delivered(_chunks(spark, d), table(spark, d, "sync_cursors").where("false")).select("id", "topic", "timestamp_ms", "mode")
+
+
+def cursor_advance(spark: SparkSession, d: str) -> DataFrame:
+    cursors = table(spark, d, "sync_cursors")
+    return sync.advanced(sync.delivered(_chunks(spark, d), cursors), cursors)
+
+
+def sync_by_seq(spark: SparkSession, d: str) -> DataFrame:
+    """What a cursor of timestamps would lose: rows that came after a later one of their topic."""
+    log = table(spark, d, "chunks").dropDuplicates(["seq"])
+    half = log.agg(F.floor(F.max("seq") / 2).cast("bigint")).first()[0]
+    return sync.after_seq(log, half).select("seq", "id")
+
+
+def similar_topics(spark: SparkSession, d: str) -> DataFrame:
+    names = catalog.topics(_chunks(spark, d))
+    wanted = table(spark, d, "sync_cursors").where("topic <> ''").select(F.col("topic").alias("wanted")).distinct()
+    return sync.similar(names, wanted)
+
+
+def sync_nothing_new(spark: SparkSession, d: str) -> DataFrame:
+    wanted = table(spark, d, "sync_cursors").where("topic <> ''").select(F.concat("topic", F.lit(" x")).alias("wanted")).distinct()
+    wanted = wanted.unionByName(table(spark, d, "sync_cursors").select(F.col("topic").alias("wanted")).distinct())
+    return sync.nothing_new(_chunks(spark, d), table(spark, d, "sync_cursors"), wanted)
+
+
+def topic_listing(spark: SparkSession, d: str) -> DataFrame:
+    return sync.listing(_chunks(spark, d))
+
+
+def briefing_headers(spark: SparkSession, d: str) -> DataFrame:
+    return export.briefing(sync.delivered(_chunks(spark, d), table(spark, d, "sync_cursors")))[0]
+
+
+def briefing_entries(spark: SparkSession, d: str) -> DataFrame:
+    return export.briefing(sync.delivered(_chunks(spark, d), table(spark, d, "sync_cursors")))[1]
+
+
+def job_states(spark: SparkSession, d: str) -> DataFrame:
+    """Captures as jobs: without messages failed, the last third still running."""
+    n = _messages(spark, d).groupBy("capture_id").agg(F.count("*").alias("total"))
+    rows = _captures(spark, d).join(n, "capture_id", "left").select(
+        F.col("capture_id").alias("job_id"), F.coalesce("total", F.lit(0)).alias("total"),
+        F.when(F.col("capture_id") % 3 == 2, F.floor(F.coalesce("total", F.lit(0)) / 2)).otherwise(F.coalesce("total", F.lit(0))).cast("bigint").alias("done"),
+        F.when(F.col("total").isNull(), "no messages").alias("error"), F.when(F.col("capture_id") % 3 != 2, F.lit(NOW_MS) - F.col("capture_id") * 10_000).alias("ended_ms"),
+    )
+    return ingest.jobs(rows, NOW_MS)
+
+
+# Streams
+
+
+def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """The chunk log as a stream into a store, and its live rows."""
+    ensure_checkpoint_dir(spark)
+    root = f"{spark.sparkContext.getCheckpointDir()}/stream-{next(tempfile._get_candidate_names())}"
+    log = table(spark, d, "chunks")
+    source = spark.readStream.schema(log.schema).parquet(f"{d}/chunks.parquet*")
+    at = store.ChunkStore(spark, f"{root}/store")
+    keep = lambda df: df.repartitionByRange(8, "seq").sortWithinPartitions("seq")
+    ingest.drain(ingest.into_store(source, at, f"{root}/offsets", keep))
+    return at.read().select("id", "topic", "timestamp_ms")
+
+
+def stream_cursor(spark: SparkSession, d: str) -> DataFrame:
+    """Events as a stream, delivered past each user's cursor."""
+    ensure_checkpoint_dir(spark)
+    root = f"{spark.sparkContext.getCheckpointDir()}/stream-{next(tempfile._get_candidate_names())}"
+    events = table(spark, d, "events")
+    source = spark.readStream.schema(events.schema).parquet(f"{d}/events.parquet*").select("user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"))
+    out = ingest.cursor_stream(source, "user_id", "ts_ms").writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/offsets").outputMode("append").trigger(availableNow=True).start()
+    ingest.drain(out)
+    return spark.read.parquet(f"{root}/out")
+
+
+def message_positions(spark: SparkSession, d: str) -> DataFrame:
+    """Position of each message in its capture."""
+    rows = _messages(spark, d).select("message_id", "capture_id", "turn")
+    return position(rows, ["capture_id"], ["turn", "message_id"], F.floor(F.col("turn") / records.TURNS), "at").select("message_id", F.col("at").cast("bigint").alias("at"))
+
+
+HELPERS = {"queries", "oracle_sql"}
+
+
 def queries():
-    return {}
+    return {k: f for k, f in globals().items() if callable(f) and not k.startswith("_") and k not in HELPERS and getattr(f, "__module__", "") == __name__}
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLE)
