@@ -150,5 +150,29 @@ def queries():
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
 
+_BLANK = r"\s\x{000b}\x{001c}-\x{001f}\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_TOKENS = rf"len(regexp_extract_all(coalesce(text, ''), '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{_BLANK}]+'))"
+_WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+_USABLE = "len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The queries that SQL can express on whole tables."""
+    tokens = f"SELECT doc_id, {_TOKENS} AS n_tokens FROM documents"
+    windows = "list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))"
+    return {
+        "p4_found": f"""WITH v AS (SELECT seq, embedding::DOUBLE[] AS e FROM chunk_vectors WHERE embedding IS NOT NULL AND {_USABLE}),
+near AS (SELECT a.seq AS x, b.seq AS y FROM v a, v b WHERE a.seq <> b.seq QUALIFY row_number() OVER (PARTITION BY a.seq ORDER BY list_cosine_similarity(a.e, b.e) DESC, b.seq) <= 5)
+SELECT DISTINCT least(x, y) AS seq_a, greatest(x, y) AS seq_b FROM near""",
+        "p5_found": f"""WITH c AS (SELECT DISTINCT seq, {_WORDS.format('document')} AS w FROM chunks WHERE file_path IS NULL AND document IS NOT NULL),
+s AS (SELECT DISTINCT seq, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS g FROM c WHERE len(w) >= 40),
+n AS (SELECT seq, count(*) AS n FROM s GROUP BY 1), common AS (SELECT a.seq AS seq_a, b.seq AS seq_b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.seq < b.seq GROUP BY 1, 2)
+SELECT seq_a, seq_b FROM common JOIN n a ON a.seq = seq_a JOIN n b ON b.seq = seq_b WHERE k >= 0.6 * (a.n + b.n - k)""",
+        "p6_found": f"""WITH t AS (SELECT DISTINCT 'messages' AS src, message_id AS item_key, text FROM messages UNION SELECT DISTINCT 'chunks', seq, document FROM chunks)
+SELECT src, item_key, CASE WHEN list_max(list_transform(string_split_regex(text, '[{_BLANK}]+'), lambda x: length(x))) > 800 THEN 'forced' ELSE 'natural' END AS cut_kind FROM t WHERE length(text) > 800""",
+        "p8_found": f"SELECT doc_id FROM ({tokens}) WHERE n_tokens > 1024",
+        "p8_tokens": tokens,
+        "p9_found": f"""WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents), i AS (SELECT item_id, {_WORDS.format('passage')} AS w FROM eval_items),
+dw AS (SELECT DISTINCT doc_id, unnest({windows}) AS g FROM d WHERE len(w) >= 12), iw AS (SELECT DISTINCT item_id, unnest({windows}) AS g FROM i WHERE len(w) >= 12)
+SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (g)""",
+    }
