@@ -184,7 +184,7 @@ def block_spans(text: str) -> list[tuple[int, int]]:
             k = end
         elif m:
             first, last = k, k - 1
-            if last >= 0 and re.fullmatch(r"[ \t]*[A-Za-z0-9+/]{4,}={0,2}\r?", lines[last]):
+            if last >= 0 and re.fullmatch(r"[ \t]*[A-Za-z0-9+/]{2,}={0,2}\r?", lines[last]):
                 first = last
             while first > 0 and (BODY.fullmatch(lines[first - 1]) or not lines[first - 1].strip()):
                 first -= 1

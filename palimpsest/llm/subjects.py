@@ -158,7 +158,9 @@ class Scorer:
 
 
 def train(docs: DataFrame, labels: DataFrame, subjects: list[str], key: str = "doc_id", text: str = "text", subject: str = "subject"):
-    """The parameters, or None without labels."""
+    """The parameters, or None without subjects or labels."""
+    if not subjects:
+        return None
     sc = docs.sparkSession.sparkContext
     place = F.create_map(*(F.lit(x) for k, s in enumerate(subjects) for x in (s, k)))
     named = labels.where(F.col(subject).isin(subjects)).groupBy(key).agg(F.sort_array(F.collect_set(place[F.col(subject)])).alias("__labels"))

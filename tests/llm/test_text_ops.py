@@ -1,0 +1,176 @@
+"""Scans, personal details, credentials, pieces."""
+
+import random
+import re
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from palimpsest.llm import personal, pieces, scans, secrets
+
+# Pieces
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab .\n, é😀", max_size=4000), st.integers(1, 900), st.data())
+def test_pieces_cover_the_text(text, limit, data):
+    overlap = data.draw(st.integers(0, limit - 1))
+    got = pieces.cuts(text, limit, overlap)
+    assert got[0][0] == 0 and got[-1][1] == len(text)
+    assert all(b - a <= limit for a, b, _ in got)
+    for (_, b, _), (c, d, _) in zip(got, got[1:]):
+        assert c <= b and b - c <= overlap and d > b
+    run = max(map(len, re.findall(r"\S+", text)), default=0)
+    assert any(f for *_, f in got) == (run > limit)
+
+
+def test_cuts_prefer_strong_boundaries():
+    text = "x" * 30 + " " + "y" * 30 + "\n\n" + "z" * 30 + ". " + "w" * 30
+    assert [text[a:b] for a, b, _ in pieces.cuts(text, 80, 0)][0].endswith("\n\n")
+    with pytest.raises(ValueError):
+        pieces.cuts("x", 10, 10)
+
+
+def test_piece_rows(spark):
+    df = spark.createDataFrame([(1, None, "p"), (2, "", "p"), (3, "short", "p"), (3, "short", "p"), (4, "w " * 3000, "p"), (5, "x" * 2000, "p")], "k bigint, text string, piece string")
+    got = pieces.pieces(df, ["k"]).collect()
+    assert {r.k for r in got} == {2, 3, 4, 5} and sum(r.k == 3 for r in got) == 2
+    assert all(len(r.piece) <= 800 for r in got) and any(r.forced for r in got if r.k == 5) and not any(r.forced for r in got if r.k == 4)
+    assert pieces.pieces(df.where("false"), ["k"]).count() == 0
+
+
+# Personal details
+
+
+def kinds(text):
+    return sorted({k for *_, k in personal.find(text)})
+
+
+def test_details_are_found():
+    assert kinds("write to ann.lee+x@mail.example or call +44 7700 900 772") == ["email", "phone"]
+    assert kinds("ann (at) mail (dot) example") == kinds("ann [at] mail.example") == kinds("ann @ mail.example") == ["email"]
+    assert kinds("SSN 939-40-0705, do not lose it") == kinds("ID: QQ 12 34 56 A") == kinds("codice fiscale è PGSBDM74S34Z238Y") == ["identity_number"]
+    assert kinds("drop it at 31-33 mill street in Fenniwold") == kinds("Flat 14, 2 Ivy Terrace, Millburg ZZ6 6QQ") == kinds("P.O. Box 583, Borgoleigh") == kinds("Abito in via dei Tigli n. 106, Aldermore") == ["street_address"]
+    assert kinds("Tell Ann Lee that it came") == kinds("I spoke with Prof. Lee") == kinds("ask hanneke peldwick or Ann Lee, they know") == ["person"]
+
+
+def test_other_things_are_left_alone():
+    for text in ("Order 7840-8139-1785 has 57 items", "The build number is 550.66.1695", "range 10.48.0.3/24 was free on 2025-04-18", "clone git@host.example:team/x.git", "Main Street was not mentioned", "334 more than the court. Between us all", "https://user:pass@host.example/x", "@detail decorator", "As far as I can tell, it is late", "", "   "):
+        assert kinds(text) == [], text
+
+
+def test_spans_map_back_to_the_source():
+    text = "mail аnn (at) mаil (dot) example​ now, or ring zero seven seven double zero nine zero zero four four nine."  # Cyrillic a
+    found = personal.find(text)
+    assert [k for *_, k in found] == ["email", "phone"]
+    assert text[slice(*found[0][:2])].startswith("аnn (at)") and text[slice(*found[1][:2])].startswith("zero seven")
+    out = personal.replace(text, found)
+    assert out.startswith("mail [EMAIL]") and out.endswith("ring [PHONE].")
+    assert personal.find(out) == []
+
+
+def test_personal_rows(spark):
+    df = spark.createDataFrame([(1, None, 5), (2, "", 5), (3, "call +44 7700 900 772", 5), (3, "call +44 7700 900 772", 5), (4, "word " * 50_000 + "a@b.example", 5)], "k bigint, text string, kinds int")
+    got = {r.k: r for r in personal.personal(df, ["k"]).collect()}
+    assert set(got) == {2, 3, 4} and got[3].text == "call [PHONE]" and got[4].kinds == ["email"] and got[2].text == ""
+    assert personal.personal(df, ["k"]).count() == 4
+    assert personal.personal(df.where("false"), ["k"]).count() == 0
+
+
+# Credentials
+
+DETECTOR = secrets.Detector()
+
+
+def lines(text, bare=False):
+    return sorted({text.count("\n", 0, a) + 1 for a, *_ in DETECTOR.spans([text], bare)[0]})
+
+
+def test_credentials_are_found():
+    for text in (
+        'api_key = "qk9s8d7f6a5s4d3f"', "PASSWORD=rout34qXl!", "password: Juniper#habit770", "<secret>hand43EgP+</secret>", "curl -u svc:word89wAV? https://x.example", "dsn = 'postgres://u:S3cret99@h.example/db'",
+        'hdr = "X-Key: offset.item.elm3"', "-- login adm / Lantern-overview613", "CREATE USER x WITH PASSWORD 'abc123def'", 'k1 = "Mill-answer850"  # goes into the login call', "ARGS=--user svc --token ledger.offset.hawthorn7", "INSERT INTO s VALUES ('access_token', 'page.page.alder3');",
+    ):
+        assert lines("x = 1\n" + text) == [2], text
+
+
+def test_others_are_not():
+    for text in ('api_key = "YOUR_API_KEY"', "password = read_env('X_PASSWORD')", 'export TOKEN="${VAULT}"', "token: TODO", "api_key: ********", "secret = ''", 'tokenLabel = "ticket token for x1"', 'commit = "083252d0c1d24503354a3005e996b080af57c8be"', "panel_checksum=595c64e69e9493a3a13cafccf40b0f3a2dfefe8e", "// -----BEGIN PUBLIC KEY-----", "postgres://u:${DB_PASS}@h.example/db", "x.token = row.token", "def check(token, limit=12):"):
+        assert lines(text) == [], text
+
+
+def test_key_blocks():
+    body = "\n".join("".join(random.Random(i).choices("ABCDEFabcdef0123456789+/", k=64)) for i in range(5))
+    block = f"a\n-----BEGIN RSA PRIVATE KEY-----\n{body}\nAb9=\n-----END RSA PRIVATE KEY-----\nb"
+    assert lines(block) == list(range(2, 10))
+    assert lines("\n".join(block.split("\n")[:5])) == [2, 3, 4, 5]
+    assert lines("\n".join(block.split("\n")[4:]), True) == [1, 2, 3, 4, 5]
+    assert lines(body, True) == [1, 2, 3, 4, 5] and lines(body) == []
+    assert lines("secret: >-\n  Quarry_promise450\nnext: 1") == [2]
+    assert lines("x = 'abc123def4' +\n    'ghi567jkl8'") == [1, 2]
+
+
+def test_redaction_keeps_the_rest():
+    text = 'a = 1\r\npassword = "Juniper-attempt132"  # x\r\nb = 2'
+    out = secrets.redact(text, DETECTOR.spans([text])[0])
+    assert out == 'a = 1\r\npassword = "[REDACTED]"  # x\r\nb = 2'
+    assert DETECTOR.spans([out])[0] == []
+
+
+def test_index_never_misses_a_match():
+    """Rules that match must be among the candidates: what is required of a text holds for every match."""
+    rng = random.Random(5)
+    parts = ["password", "PASSWD", "token", "=", ": ", '"', "'", "abc123XYZ", "://u:", "@h", "bearer ", "--token ", " -u a:", "<secret>", "</", "\n", "login ", "# ", "vault", "connectX('a', 'b', ", "patz_", "eyJabcdefghijklmnop", "key", "auth"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(2, 12))) for _ in range(4000)]
+    found = DETECTOR.index.candidates(texts)
+    for rule, expr in DETECTOR.rules.items():
+        assert {i for i, t in enumerate(texts) if expr.search(t)} <= set(found[rule].tolist()), rule
+
+
+def test_secret_rows(spark):
+    df = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "a\nPWD=Juniper-neighbour679", "x"), (3, "a\nPWD=Juniper-neighbour679", "x"), (4, "x = 1\n" * 60_000 + "token: qk_live_a3YDax7iS2wiPECEEk5Y", "x")], "k bigint, text string, line_no string")
+    assert sorted((r.k, r.line_no) for r in secrets.secrets(df, ["k"], "text").collect()) == [(3, 2), (3, 2), (4, 60_001)]
+    got = {r.k: r for r in secrets.redacted(df, ["k"], "text").collect()}
+    assert got[1].text is None and got[2].text == "" and got[3].text == "a\nPWD=[REDACTED]" and got[4].n_secrets == 1
+    assert secrets.secrets(df.where("false"), ["k"], "text").count() == 0
+
+
+# Scans
+
+CORPUS = ["The parser replaced the compiler because the endpoint was distributed and half-finished. " * 3] * 12
+SCAN = """The parser replaced the compi1er because the end-
+point was distributed and half-finished. The parser
+    A Handbook of Jorrund — vol. 3    [431]
+
+replaced the compiler because the endpoint was dis¬
+
+[432]
+A Handbook of Jorrund — vol. 3
+
+tributed and half-
+finished. The parser replaced the cornpiler."""
+
+
+def scan_rows(spark, extra=()):
+    rows = [(i, t) for i, t in enumerate(CORPUS)] + [(100, SCAN), (101, None), (102, ""), (103, "a list:\n- one\n- two\n3\n4"), *extra]
+    return spark.createDataFrame(rows, "message_id bigint, text string").withColumn("kind", F.lit("clash")).withColumn("line", F.lit(1)).withColumn("key", F.lit(1))
+
+
+def test_scan_is_repaired(spark):
+    df = scan_rows(spark, [(100, SCAN)])
+    got = {(r.kind, r.a, r.b) for r in scans.defects(df).collect() if r.message_id == 100}
+    assert {("hyphen", "end", "point"), ("hyphen", "dis", "tributed"), ("compound", "half", "finished"), ("glyph", "compi1er", "compiler"), ("glyph", "cornpiler", "compiler")} <= got
+    assert {k for k, *_ in got} == {"hyphen", "compound", "glyph", "header", "page_no"}
+    out = {r.message_id: r for r in scans.repaired(df).collect()}
+    assert out[100].text == "The parser replaced the compiler because the endpoint was distributed and half-finished. The parser replaced the compiler because the endpoint was distributed and half-finished. The parser replaced the compiler."
+    assert out[101].text is None and out[102].text == "" and out[103].n_defects == 0 and out[0].text == CORPUS[0] and len(out) == 16
+
+
+def test_scan_edge_cases(spark):
+    df = scan_rows(spark)
+    assert scans.defects(df.where("false")).count() == 0 and scans.repaired(df.where("false")).count() == 0
+    assert scans.defects(df.where("message_id > 100")).count() == 0
+    long = spark.createDataFrame([(1, (SCAN + "\n\n") * 3000)], "message_id bigint, text string")
+    assert scans.repaired(long).first().n_defects > 0
