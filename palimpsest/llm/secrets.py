@@ -47,6 +47,7 @@ RULES: dict[str, str] = {
 BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----|-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
 FOLDED = rf"(?im){NAME}[\"']?[ \t]*:[ \t]*[>|][+-]?[ \t]*\r?\n"
 JOINED = r"(?:=|:)[ \t]*(?P<q>[\"'])(?P<a>[^\"'\s]{4,})(?P=q)[ \t]*[+\\.]?[ \t]*\r?\n[ \t]*[+.]?[ \t]*(?P=q)(?P<b>[^\"'\s]{2,})(?P=q)"
+CUT_OFF = re.compile(r"(?:=|:)[ \t]*(?P<q>[\"'])(?P<a>[^\"'\s]{12,})(?P=q)[ \t]*[+\\][ \t]*\r?\n?\Z")
 RULES_OF_LINES = {"key block": BLOCK.pattern, "folded": FOLDED, "joined": JOINED}
 BODY = re.compile(r"[ \t]*(?:(?://|#|\*|\"|')[ \t]*)?[A-Za-z0-9+/]{32,80}={0,2}(?:\\n)?[\"']?[ \t]*[+,\\]?\r?")
 BARE = re.compile(r"[A-Za-z0-9+/]{64}\r?")
@@ -236,6 +237,9 @@ class Detector:
                             out.append((*m.span("v"), rule))
         if bare:
             for t, out in zip(texts, found):
+                m = CUT_OFF.search(t, max(0, len(t) - 200))
+                if m and random_like(m["a"]):
+                    out.append((*m.span("a"), "joined"))
                 if not out and "\n" in t:
                     out += [(a, b, "private_key") for a, b in block_spans(t)] if len(re.findall(r"(?m)^[A-Za-z0-9+/]{64}\r?$", t)) > 1 else []
         return [merge(x) for x in found]

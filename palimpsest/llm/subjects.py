@@ -10,7 +10,7 @@ task; a sentence treats its best subject if it is sure enough, and a document th
 always at least one.
 
 Defined results: null or wordless texts get no subject; labels of unknown documents and repeated labels are ignored;
-with no labels at all every text gets nothing. The labels of at most MAX_LABELLED documents are used, the first by the hash
+with no labels at all every text gets nothing. Texts of no subject may be given; their sentences have no target. The labels of at most MAX_LABELLED documents are used, the first by the hash
 of their id; every document is scored.
 """
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions.batches import map_lists
 from palimpsest.session import cut, spread
 
-BUCKETS, DIMS, STEPS, WARM_UP, RATE, DECAY, MAX_LABELLED, PARTS = 1 << 15, 16, 30, 12, 0.07, 1e-5, 20_000, 6
+BUCKETS, DIMS, STEPS, WARM_UP, RATE, DECAY, MAX_LABELLED, MAX_NONE, PARTS = 1 << 15, 16, 30, 12, 0.07, 1e-5, 20_000, 2_000, 6
 NGRAMS = (3, 5)
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -94,6 +94,7 @@ class Part:
         if one:
             y = np.zeros_like(y)
             y[np.arange(self.n), np.where(self.labels > 0, z, -np.inf).argmax(1)] = 1
+            y *= self.labels
         p = 1 / (1 + np.exp(-z))
         d = p - y
         by_word = np.zeros_like(vectors)
@@ -157,15 +158,21 @@ class Scorer:
         return [(k, int(n[k]), float(whole[k])) for k in keep]
 
 
-def train(docs: DataFrame, labels: DataFrame, subjects: list[str], key: str = "doc_id", text: str = "text", subject: str = "subject"):
-    """The parameters, or None without subjects or labels."""
+def train(docs: DataFrame, labels: DataFrame, subjects: list[str], key: str = "doc_id", text: str = "text", subject: str = "subject", none: DataFrame | None = None):
+    """The parameters, or None without subjects or labels. none: texts (of one column) that treat no subject, at most MAX_NONE."""
     if not subjects:
         return None
     sc = docs.sparkSession.sparkContext
     place = F.create_map(*(F.lit(x) for k, s in enumerate(subjects) for x in (s, k)))
     named = labels.where(F.col(subject).isin(subjects)).groupBy(key).agg(F.sort_array(F.collect_set(place[F.col(subject)])).alias("__labels"))
     named = F.broadcast(named.orderBy(F.xxhash64(key), key).limit(MAX_LABELLED))
+    if named.isEmpty():
+        return None
     chosen = docs.select(key, text).where(F.col(text).isNotNull()).join(named, key).dropDuplicates([key])
+    chosen = chosen.select(F.col(text).alias("text"), "__labels")
+    if none is not None:
+        spare = none.select(F.col(none.columns[0]).alias("text")).where("text is not null").orderBy(F.xxhash64("text"), "text").limit(MAX_NONE)
+        chosen = chosen.unionByName(spare.withColumn("__labels", F.array().cast("array<int>")))
     n = len(subjects)
 
     def prepare(batches):
@@ -177,7 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, subjects: list[str], key: str = "d
         if part.n:
             yield pa.RecordBatch.from_pydict({"part": pa.array([pickle.dumps(vars(part))], pa.binary()), "n": pa.array([part.n], pa.int64())})
 
-    parts = cut(chosen.select(text, "__labels").repartition(PARTS).mapInArrow(prepare, "part binary, n bigint"))
+    parts = cut(chosen.repartition(PARTS).mapInArrow(prepare, "part binary, n bigint"))
     total = sum(r.n for r in parts.select("n").collect())
 
     def gradients(table, out, bias, one):
@@ -197,9 +204,9 @@ def train(docs: DataFrame, labels: DataFrame, subjects: list[str], key: str = "d
     return fit(gradients, total, n) if total else None
 
 
-def classify(docs: DataFrame, labels: DataFrame, subjects: list[str], key: str = "doc_id", text: str = "text", params=None) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, subjects: list[str], key: str = "doc_id", text: str = "text", params=None, none: DataFrame | None = None) -> DataFrame:
     """key, subject, sentences, score: the subjects of each document."""
-    params = params or train(docs, labels, subjects, key, text)
+    params = params or train(docs, labels, subjects, key, text, none=none)
     sent = docs.sparkSession.sparkContext.broadcast(params)
 
     def make():
