@@ -10,15 +10,13 @@ def position(df: DataFrame, group: list[str], order: list[str], part: Column, na
     """Adds the position (from 0) of each row within its group in the given order.
 
     part must rise with the order: rows are ranked within (group, part), and shifted by the sizes of the parts before,
-    which are counted by a partial aggregation. So a group of any size is spread over its parts.
+    which are counted by a partial aggregation. So a group of any size is spread over its parts, and the rows are
+    shuffled once, as the join has the partitioning of the window. Rows of a null group or part get a null position.
     """
-    cut = df.withColumn("__part", part)
-    sizes = cut.groupBy(*group, "__part").agg(F.count("*").alias("__n"))
+    whole = df.withColumn("__part", part)
+    sizes = whole.groupBy(*group, "__part").agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select(*(F.col(c).alias(f"__{c}") for c in group), F.col("__part").alias("__p"), before.alias("__before"))
-    same = F.col("__part").eqNullSafe(F.col("__p"))
-    for c in group:
-        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
-    ranked = cut.withColumn("__rank", F.row_number().over(Window.partitionBy(*group, "__part").orderBy(*order)))
-    out = ranked.join(sizes, same).withColumn(name, F.col("__rank") - 1 + F.col("__before"))
+    sizes = sizes.select(*group, "__part", before.alias("__before"))
+    ranked = whole.withColumn("__rank", F.row_number().over(Window.partitionBy(*group, "__part").orderBy(*order)))
+    out = ranked.join(sizes, [*group, "__part"], "left").withColumn(name, F.col("__rank") - 1 + F.col("__before"))
     return out.select(*df.columns, name)

@@ -24,20 +24,22 @@ TOPIC = "Thread"
 
 
 def _messages(spark: SparkSession, d: str) -> DataFrame:
-    return spread(table(spark, d, "messages")).dropDuplicates()
+    """Repeats are exact, so a row of each id is enough, and columns that a query doesn't use aren't read."""
+    return spread(table(spark, d, "messages")).dropDuplicates(["message_id"])
 
 
 def _captures(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "captures").dropDuplicates()
 
 
-def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    """The live chunks: the last row of each id."""
-    return store.latest(table(spark, d, "chunks"))
+def _chunks(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The live chunks: the last row of each id. With columns, seq, id and these only are read and shuffled."""
+    log = table(spark, d, "chunks")
+    return store.latest(log.select("seq", "id", *columns) if columns else log)
 
 
 def _files(spark: SparkSession, d: str) -> DataFrame:
-    return spread(table(spark, d, "source_files").dropDuplicates(["file_id"])).withColumn("rel_path", files.relative(F.col("file_path")))
+    return spread(table(spark, d, "source_files")).dropDuplicates(["file_id"]).withColumn("rel_path", files.relative(F.col("file_path")))
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
@@ -176,87 +178,93 @@ def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stale_tail(spark: SparkSession, d: str) -> DataFrame:
-    return store.stale(_chunks(spark, d)).select("id", "source_url", "timestamp_ms")
+    return store.stale(_chunks(spark, d, "source_url", "timestamp_ms")).select("id", "source_url", "timestamp_ms")
 
 
 def replace_source(spark: SparkSession, d: str) -> DataFrame:
-    return store.without_stale(_chunks(spark, d)).select("id", "seq")
+    return store.without_stale(_chunks(spark, d, "source_url", "timestamp_ms")).select("id", "seq")
 
 
 def delete_topic_remaining(spark: SparkSession, d: str) -> DataFrame:
-    return store.delete_topic(_chunks(spark, d), TOPIC).select("id", "topic")
+    return store.delete_topic(_chunks(spark, d, "topic"), TOPIC).select("id", "topic")
 
 
 def delete_topic_count(spark: SparkSession, d: str) -> DataFrame:
-    return store.deleted_count(_chunks(spark, d), TOPIC)
+    return store.deleted_count(_chunks(spark, d, "topic"), TOPIC)
 
 
 # Catalog
 
 
 def stats_by_topic(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.stats_by_topic(_chunks(spark, d))
+    return catalog.stats_by_topic(_chunks(spark, d, "topic", "source_url", "timestamp_ms"))
 
 
 def stats_topic_platform(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.platforms_by_topic(_chunks(spark, d))
+    return catalog.platforms_by_topic(_chunks(spark, d, "topic", "platform"))
 
 
 def stats_platform_maps(spark: SparkSession, d: str) -> DataFrame:
     joined = F.array_join(F.transform(F.array_sort(F.map_entries("platforms")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), "; ")
-    return catalog.platform_maps(_chunks(spark, d)).select("topic", joined.alias("platforms"))
+    return catalog.platform_maps(_chunks(spark, d, "topic", "platform")).select("topic", joined.alias("platforms"))
 
 
 def stats_totals(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.totals(_chunks(spark, d))
+    return catalog.totals(_chunks(spark, d, "topic"))
 
 
 def stats_rollup(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.totals_rollup(_chunks(spark, d))
+    return catalog.totals_rollup(_chunks(spark, d, "topic"))
 
 
 def topics_list(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.topics_or_default(_chunks(spark, d))
+    return catalog.topics_or_default(_chunks(spark, d, "topic"))
 
 
 def platforms_list(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.platforms(_chunks(spark, d))
+    return catalog.platforms(_chunks(spark, d, "platform"))
 
 
 def browse_page(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.browse(_chunks(spark, d), limit=20, offset=40).select("id", "document", "timestamp_ms")
+    return catalog.browse(_chunks(spark, d, "document", "timestamp_ms"), limit=20, offset=40).select("id", "document", "timestamp_ms")
 
 
 def browse_topic(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.browse(_chunks(spark, d), TOPIC).select("id", "document", "timestamp_ms")
+    return catalog.browse(_chunks(spark, d, "topic", "document", "timestamp_ms"), TOPIC).select("id", "document", "timestamp_ms")
 
 
 def browse_total(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.browse_total(_chunks(spark, d), TOPIC)
+    return catalog.browse_total(_chunks(spark, d, "topic"), TOPIC)
 
 
 def dashboard_newest(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.newest(_chunks(spark, d))
+    return catalog.newest(_chunks(spark, d, "topic", "timestamp_ms"))
 
 
 # Export
 
 
 def export_entries(spark: SparkSession, d: str) -> DataFrame:
-    return export.export_entries(_chunks(spark, d))
+    return export.export_entries(_chunks(spark, d, "topic", "platform", "source_url", "document", "timestamp_ms"))
 
 
 def export_headers(spark: SparkSession, d: str) -> DataFrame:
-    return export.export_header(_chunks(spark, d), EXPORTED)
+    return export.export_header(_chunks(spark, d, "topic"), EXPORTED)
 
 
 # Search
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors with their chunk's metadata; vectors of a chunk delivered twice count once."""
-    chunks = table(spark, d, "chunks").select("seq", "document", "platform", "topic").dropDuplicates(["seq"])
-    return table(spark, d, "chunk_vectors").join(chunks, "seq")
+    """Vectors with their chunk's topic; vectors of a chunk delivered twice count once."""
+    return table(spark, d, "chunk_vectors").join(table(spark, d, "chunks").select("seq", "topic").dropDuplicates(["seq"]), "seq")
+
+
+def _labelled(spark: SparkSession, d: str, hits: DataFrame) -> DataFrame:
+    """The at most k hits with the labels of their chunks."""
+    label = X.result_label(F.col("platform"), F.col("topic"), F.col("document")).alias("label")
+    chunks = table(spark, d, "chunks").join(F.broadcast(hits.select("seq", "distance")), "seq").dropDuplicates(["seq"])
+    return chunks.select("seq", "distance", label)
 
 
 def _query_vector(spark: SparkSession, d: str) -> list[float]:
@@ -265,8 +273,8 @@ def _query_vector(spark: SparkSession, d: str) -> list[float]:
 
 
 def knn_topk(spark: SparkSession, d: str) -> DataFrame:
-    found = search.topk(_vectors(spark, d), _query_vector(spark, d), "seq")
-    return found.select("seq", F.round("distance", 6).alias("distance"), X.result_label(F.col("platform"), F.col("topic"), F.col("document")).alias("label"))
+    hits = search.topk(table(spark, d, "chunk_vectors"), _query_vector(spark, d), "seq")
+    return _labelled(spark, d, hits).select("seq", F.round("distance", 6).alias("distance"), "label")
 
 
 def knn_topk_topic(spark: SparkSession, d: str) -> DataFrame:
@@ -274,7 +282,7 @@ def knn_topk_topic(spark: SparkSession, d: str) -> DataFrame:
 
 
 def knn_default_topic_wildcard(spark: SparkSession, d: str) -> DataFrame:
-    return search.topk(_vectors(spark, d), _query_vector(spark, d), "seq", topic="Generale", k=10).select("seq", F.round("distance", 6).alias("distance"))
+    return search.topk(table(spark, d, "chunk_vectors"), _query_vector(spark, d), "seq", topic="Generale", k=10).select("seq", F.round("distance", 6).alias("distance"))
 
 
 def knn_within_distance(spark: SparkSession, d: str) -> DataFrame:
@@ -292,14 +300,14 @@ def knn_batch(spark: SparkSession, d: str) -> DataFrame:
 
 def text_search(spark: SparkSession, d: str) -> DataFrame:
     """The chunks nearest to a text under the hashed embedder."""
-    rows = _chunks(spark, d).withColumn("embedding", hashed_embedding(F.col("document")))
+    rows = _chunks(spark, d, "document").withColumn("embedding", hashed_embedding(F.col("document")))
     query = spark.range(1).select(hashed_embedding(F.lit("why did the parser block the cache")).alias("q")).first()["q"]
     return search.topk(rows, query, "id", k=10, most=2.0).select("id", F.round("distance", 6).alias("distance"))
 
 
 def context_block(spark: SparkSession, d: str) -> DataFrame:
-    hits = search.topk(_vectors(spark, d), _query_vector(spark, d), "seq")
-    ranked = hits.select(F.row_number().over(Window.orderBy("distance", "seq")).alias("rank"), X.result_label(F.col("platform"), F.col("topic"), F.col("document")).alias("label"))  # at most k rows
+    hits = _labelled(spark, d, search.topk(table(spark, d, "chunk_vectors"), _query_vector(spark, d), "seq"))
+    ranked = hits.select(F.row_number().over(Window.orderBy("distance", "seq")).alias("rank"), "label")  # at most k rows
     return export.context_block(ranked, "What did we decide?")
 
 
@@ -307,20 +315,20 @@ def context_block(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sync_incremental(spark: SparkSession, d: str) -> DataFrame:
-    return sync.delivered(_chunks(spark, d), table(spark, d, "sync_cursors")).select("id", "topic", "timestamp_ms", "mode")
+    return sync.delivered(_chunks(spark, d, "topic", "timestamp_ms"), table(spark, d, "sync_cursors")).select("id", "topic", "timestamp_ms", "mode")
 
 
 def sync_full(spark: SparkSession, d: str) -> DataFrame:
-    return sync.delivered(_chunks(spark, d), table(spark, d, "sync_cursors"), full=True).select("id", "topic", "timestamp_ms", "mode")
+    return sync.delivered(_chunks(spark, d, "topic", "timestamp_ms"), table(spark, d, "sync_cursors"), full=True).select("id", "topic", "timestamp_ms", "mode")
 
 
 def sync_first(spark: SparkSession, d: str) -> DataFrame:
-    return sync.delivered(_chunks(spark, d), table(spark, d, "sync_cursors").where("false")).select("id", "topic", "timestamp_ms", "mode")
+    return sync.delivered(_chunks(spark, d, "topic", "timestamp_ms"), table(spark, d, "sync_cursors").where("false")).select("id", "topic", "timestamp_ms", "mode")
 
 
 def cursor_advance(spark: SparkSession, d: str) -> DataFrame:
     cursors = table(spark, d, "sync_cursors")
-    return sync.advanced(sync.delivered(_chunks(spark, d), cursors), cursors)
+    return sync.advanced(sync.delivered(_chunks(spark, d, "topic", "timestamp_ms"), cursors), cursors)
 
 
 def sync_by_seq(spark: SparkSession, d: str) -> DataFrame:
@@ -331,7 +339,7 @@ def sync_by_seq(spark: SparkSession, d: str) -> DataFrame:
 
 
 def similar_topics(spark: SparkSession, d: str) -> DataFrame:
-    names = catalog.topics(_chunks(spark, d))
+    names = catalog.topics(_chunks(spark, d, "topic"))
     wanted = table(spark, d, "sync_cursors").where("topic <> ''").select(F.col("topic").alias("wanted")).distinct()
     return sync.similar(names, wanted)
 
@@ -339,19 +347,19 @@ def similar_topics(spark: SparkSession, d: str) -> DataFrame:
 def sync_nothing_new(spark: SparkSession, d: str) -> DataFrame:
     wanted = table(spark, d, "sync_cursors").where("topic <> ''").select(F.concat("topic", F.lit(" x")).alias("wanted")).distinct()
     wanted = wanted.unionByName(table(spark, d, "sync_cursors").select(F.col("topic").alias("wanted")).distinct())
-    return sync.nothing_new(_chunks(spark, d), table(spark, d, "sync_cursors"), wanted)
+    return sync.nothing_new(_chunks(spark, d, "topic", "timestamp_ms"), table(spark, d, "sync_cursors"), wanted)
 
 
 def topic_listing(spark: SparkSession, d: str) -> DataFrame:
-    return sync.listing(_chunks(spark, d))
+    return sync.listing(_chunks(spark, d, "topic"))
 
 
 def briefing_headers(spark: SparkSession, d: str) -> DataFrame:
-    return export.briefing(sync.delivered(_chunks(spark, d), table(spark, d, "sync_cursors")))[0]
+    return export.briefing(sync.delivered(_chunks(spark, d, "topic", "platform", "document", "timestamp_ms"), table(spark, d, "sync_cursors")))[0]
 
 
 def briefing_entries(spark: SparkSession, d: str) -> DataFrame:
-    return export.briefing(sync.delivered(_chunks(spark, d), table(spark, d, "sync_cursors")))[1]
+    return export.briefing(sync.delivered(_chunks(spark, d, "topic", "platform", "document", "timestamp_ms"), table(spark, d, "sync_cursors")))[1]
 
 
 def job_states(spark: SparkSession, d: str) -> DataFrame:

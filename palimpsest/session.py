@@ -25,6 +25,9 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Redistribute an input that has fewer partitions than the session has cores, before CPU-heavy work."""
+    """Redistribute an input that has fewer partitions than the session has cores, before CPU-heavy work.
+
+    For scans only: counting the partitions of a plan with a shuffle would run it.
+    """
     want = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
