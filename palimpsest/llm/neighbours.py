@@ -142,7 +142,8 @@ def matrix(column: pd.Series) -> np.ndarray:
 def neighbours(df: DataFrame, key: str = "seq", vector: str = "embedding", k: int = K, dims: int = DIMS, probes: int = PROBES, queries: DataFrame | None = None) -> DataFrame:
     """key, neighbour, similarity, rank: the k most similar others of each query (by default of each row)."""
     sc = df.sparkSession.sparkContext
-    clean = spread(df.where(usable(vector, dims)).select(F.col(key).cast("bigint").alias("key"), F.col(vector).cast("array<double>").alias("v")).dropDuplicates(["key"]))
+    pick = lambda x: spread(x.where(F.col(key).isNotNull() & usable(vector, dims)).select(F.col(key).cast("bigint").alias("key"), F.col(vector).cast("array<double>").alias("v"))).dropDuplicates(["key"])
+    clean = pick(df)
     sample = clean.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select("v").toPandas()
     n = clean.count()
     cells = int(min(MAX_CELLS, max(1, n // CELL), max(1, len(sample) // 4)))
@@ -164,8 +165,7 @@ def neighbours(df: DataFrame, key: str = "seq", vector: str = "embedding", k: in
     placed = cut(clean.mapInPandas(place, schema))
     asked = placed
     if queries is not None:
-        asked = queries.where(usable(vector, dims)).select(F.col(key).cast("bigint").alias("key"), F.col(vector).cast("array<double>").alias("v"))
-        asked = cut(asked.dropDuplicates(["key"]).mapInPandas(place, schema))
+        asked = cut(pick(queries).mapInPandas(place, schema))
     data = placed.select("key", "v", F.element_at("cells", 1).alias("cell"))
     blocks = F.broadcast(data.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))  # at most MAX_CELLS rows
     data = data.join(blocks, "cell")

@@ -256,7 +256,7 @@ def misread(vocab: DataFrame) -> DataFrame:
 
 def defects(df: DataFrame, key: str = "message_id", text: str = "text") -> DataFrame:
     """key, kind (page_no, header, hyphen, compound, glyph), line, a, b: every defect; compound: a break at a hyphen that stays."""
-    rows = spread(df.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text is not null and key is not null").dropDuplicates(["key"]))
+    rows = spread(df.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text is not null and key is not null")).dropDuplicates(["key"])
 
     def make():
         def run(keys, texts):
