@@ -25,6 +25,23 @@ def topk(rows: DataFrame, query: list[float], key: str, vector: str = "embedding
     return near.where(F.col("distance") <= most).orderBy("distance", key).limit(k)
 
 
+def approx_topk(rows: DataFrame, query: list[float], key: str, vector: str = "embedding", k: int = SEARCH_K, tables: int = 8, width: float = 1.0) -> DataFrame:
+    """The k nearest rows among those that share a hash bucket with the query; distances are exact.
+
+    On unit vectors the squared Euclidean distance is twice the cosine distance, so buckets of random projections serve.
+    """
+    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.linalg import Vectors
+
+    vectors = rows.where(usable(F.col(vector), len(query))).select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("raw"))
+    unit = Normalizer(inputCol="raw", outputCol="unit").transform(vectors)
+    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", numHashTables=tables, bucketLength=width, seed=1).fit(unit)
+    norm = sum(x * x for x in query) ** 0.5
+    near = model.approxNearestNeighbors(unit, Vectors.dense([x / norm for x in query]), k)
+    return near.select(key, (F.col("distCol") ** 2 / 2).alias("distance")).orderBy("distance", key)
+
+
 def batch_topk(queries: DataFrame, rows: DataFrame, key: str, vector: str = "embedding", k: int = SEARCH_K, dims: int = 64) -> DataFrame:
     """query, neighbour, distance, rank: the k nearest rows of each query, the query itself among them.
 

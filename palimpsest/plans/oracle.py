@@ -108,6 +108,9 @@ ORACLE: dict[str, str] = {
     "host_path_translate": f"WITH {FILES} SELECT file_id, CASE WHEN {PLAIN_PATH} = 'c:/work' THEN '/workspace' WHEN starts_with({PLAIN_PATH}, 'c:/work/') THEN '/workspace' || substr(replace(path, '\\', '/'), 8) ELSE path END AS mounted FROM fil",
     "detect_platform": f"WITH {CAPTURES}, u AS (SELECT capture_id, CASE WHEN capture_id % 2 = 0 THEN 'https://' || {HOSTS}[capture_id % 6 + 1] || '/c/' || capture_id ELSE source_url END AS url FROM cap) SELECT capture_id, url, CASE {' '.join(f'WHEN contains({HOST}, {q(h)}) THEN {q(n)}' for h, n in PLATFORMS)} END AS detected FROM u",
     "extract_messages": f"WITH {MESSAGES}, t AS (SELECT message_id, CASE WHEN coalesce(role, '') = '' THEN 'unknown' ELSE role END AS role, {trim('text')} AS body FROM msg WHERE text IS NOT NULL), u AS (SELECT message_id, role, CASE WHEN body = '' THEN 'x' ELSE body END AS body FROM t) SELECT message_id, CAST(0 AS BIGINT) AS turn, role, regexp_replace(body, {q(BLANK + '+')}, '', 'g') AS letters FROM u WHERE length(body) > 2",
+    "extract_messages_manual": f"""WITH {MESSAGES}, t AS (SELECT message_id, regexp_replace(text, {q(BLANK + '+')}, '', 'g') AS body FROM msg WHERE length({trim('text')}) > 20)
+SELECT message_id, CAST(0 AS BIGINT) AS turn, 'unknown' AS role, body AS letters FROM t UNION ALL SELECT message_id, 1, 'unknown', 'ananswerofmorethantwentyletters' FROM t""",
+    "health": "SELECT TRUE AS ok",
     "messages_normalized": f"WITH {MESSAGES} SELECT message_id, capture_id, turn, '[' || upper(coalesce(role, 'unknown')) || '] ' || text AS full_text FROM msg WHERE length(text) > 2",
     "chunk_messages": f"WITH RECURSIVE {MESSAGES}, {packing(MESSAGE_SOURCE, 'message_id')} SELECT message_id, pos, document FROM packed",
     "chunk_paragraph_packing": f"""WITH RECURSIVE {packing("SELECT doc_id, '[USER] ' || replace(text, chr(10), chr(10) || chr(10)) AS full_text FROM documents WHERE text IS NOT NULL", 'doc_id')} SELECT doc_id, pos, document FROM packed""",

@@ -89,6 +89,19 @@ def extract_messages(spark: SparkSession, d: str) -> DataFrame:
     return found.select("message_id", "turn", "role", F.regexp_replace("text", X.BLANK + "+", "").alias("letters"))
 
 
+def extract_messages_manual(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of unknown platforms: two long messages and a short one in the innermost container."""
+    long = _messages(spark, d).where(F.length(X.trim(F.col("text"))) > 20)
+    item = F.concat(F.lit("<li>"), X.html_escape(F.col("text")), F.lit("</li>"))
+    page = F.concat(F.lit("<body><section><ul>"), item, F.lit("<li>an answer of more than twenty letters</li><li>ok</li></ul></section><footer>by</footer>"))
+    found = html.extract_messages(long.select("message_id", page.alias("html"), F.lit("none").alias("platform")), "message_id")
+    return found.select("message_id", "turn", "role", F.regexp_replace("text", X.BLANK + "+", "").alias("letters"))
+
+
+def health(spark: SparkSession, d: str) -> DataFrame:
+    return spark.range(1).select(F.lit(True).alias("ok"))
+
+
 # Projections
 
 
@@ -298,6 +311,10 @@ def knn_batch(spark: SparkSession, d: str) -> DataFrame:
     return found.select("query", "neighbour", F.round("distance", 6).alias("distance"), F.col("rank").cast("bigint").alias("rank"))
 
 
+def knn_approx(spark: SparkSession, d: str) -> DataFrame:
+    return search.approx_topk(table(spark, d, "chunk_vectors"), _query_vector(spark, d), "seq").select("seq", F.round("distance", 6).alias("distance"))
+
+
 def text_search(spark: SparkSession, d: str) -> DataFrame:
     """The chunks nearest to a text under the hashed embedder."""
     rows = _chunks(spark, d, "document").withColumn("embedding", hashed_embedding(F.col("document")))

@@ -1,8 +1,10 @@
+import random
 import time
 
 from pyspark.sql import functions as F
 
 from palimpsest.functions.register import register
+from palimpsest.operators.chunking import chunk_code, chunk_message
 from palimpsest.sources import files, html, records
 from palimpsest.streaming import ingest
 
@@ -76,6 +78,7 @@ def test_sql_functions(spark):
     assert spark.sql("SELECT sanitize_id('a/b c')").first()[0] == "a_b_c"
     assert spark.sql("SELECT cosine_distance(array(1D, 0D), array(0D, 1D))").first()[0] == 1.0
     assert spark.sql("SELECT cosine_distance(array(0D, 0D), array(0D, 1D))").first()[0] is None
+    assert spark.sql("SELECT detect_platform('https://x.claude.ai/c'), detect_platform('https://a.example/claude.ai')").first() == ("Claude", None)
     assert spark.sql("SELECT text FROM extract_messages('<div class=\"human-turn\">asked</div>', 'Claude')").first()[0] == "asked"
 
 
@@ -94,3 +97,12 @@ def test_cursor_stream(spark, tmp_path):
     assert ingest.drain(q)
     got = sorted((r.user, r.n, r.cursor_ms) for r in spark.read.parquet(f"{tmp_path}/out").collect())
     assert sum(n for u, n, _ in got if u == "a") in (2, 3) and max(c for *_, c in got) == 9 and ("b", 1, 1) in got
+
+
+def test_sql_chunkers_are_those_of_the_expressions(spark):
+    register(spark)
+    rng = random.Random(4)
+    texts = ["", " ", "x" * 801, "a\n\n\nb" * 300, *("\n\n".join("word " * rng.randint(0, 200) for _ in range(5)) for _ in range(20)), *("\n".join("line " * rng.randint(0, 30) for _ in range(40)) for _ in range(20))]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select(chunk_message(F.col("t")).alias("a"), F.expr("chunk_message(t)").alias("b"), chunk_code(F.lit("a.py"), F.col("t")).alias("c"), F.expr("chunk_code('a.py', t)").alias("d")).collect():
+        assert r.a == r.b and r.c == r.d

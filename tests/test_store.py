@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,6 +113,17 @@ def test_search(spark):
     assert search.batch_topk(rows.where("false"), rows, "seq", dims=2).count() == 0
 
 
+def test_approximate_search_recall(spark):
+    rng = random.Random(2)
+    rows = [(i, [rng.gauss(0, 1) + 4 * (j == i % 8) for j in range(16)]) for i in range(800)]
+    df = spark.createDataFrame(rows, "seq int, embedding array<double>")
+    hits = 0
+    for i in (3, 100, 222, 555):
+        want = {r.seq for r in search.topk(df, rows[i][1], "seq", k=10, most=2).collect()}
+        hits += len(want & {r.seq for r in search.approx_topk(df, rows[i][1], "seq", k=10).collect()})
+    assert hits >= 36
+
+
 def test_export(spark, rows, tmp_path):
     live = store.latest(rows)
     hits = spark.createDataFrame([(2, "two"), (1, "one")], "rank int, label string")
