@@ -7,7 +7,8 @@ one sketch position of 64 pairs in a word), carry-save adders count them, and af
 whose pairs exceed the radius are abandoned. What stays within the radius is verified on the shingle sets themselves.
 
 A band that many texts share is split into blocks, and pairs of blocks are compared in tasks of their own, so no band
-is capped. At the default values a pair of similarity 0.6 shares no band with probability 0.0011 and exceeds the
+is capped. Bands that hold a share of all texts are seen in a sample before the shuffle, so that not even their rows
+come together in one task; the sample decides only by which of two ways a band is compared. At the default values a pair of similarity 0.6 shares no band with probability 0.0011 and exceeds the
 radius with probability 0.0002; at 0.7 and more both are below 0.0001.
 
 Defined results: null texts and texts under `min_words` words belong to no class; repeated rows of one key count once;
@@ -30,6 +31,8 @@ from palimpsest.session import cut
 SHINGLE, THRESHOLD, MIN_WORDS = 3, 0.6, 40
 BITS, BANDS, ROWS = 128, 28, 3
 BLOCK = 2048  # of one band's texts that are compared in one task
+#: One of SAMPLE_OF texts is looked at for bands of at least LARGE_SHARE of them, and LARGE_LEAST.
+SAMPLE_OF, LARGE_SHARE, LARGE_LEAST = 64, 0.01, 64
 STEP = 32  # planes between two looks at the radius
 WORD = re.compile(r"[^\W_]+")
 _A = np.random.default_rng(7).integers(1, 1 << 63, BITS, dtype=np.uint64) | np.uint64(1)
@@ -178,6 +181,14 @@ def sketches(df: DataFrame, min_words: int) -> DataFrame:
     return map_lists(df, make, "key bigint, s0 bigint, s1 bigint, bands array<bigint>")
 
 
+def large_bands(rows: DataFrame, min_words: int) -> DataFrame:
+    """band: at most BANDS / LARGE_SHARE rows."""
+    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE_OF)) == 0).groupBy("text").agg(F.min("key").alias("key")).select("key", "text")
+    bands = cut(sketches(sample, min_words).select(F.explode("bands").alias("band")))
+    least = max(LARGE_LEAST, bands.count() / BANDS * LARGE_SHARE)
+    return cut(bands.groupBy("band").count().where(F.col("count") >= least).select("band"))
+
+
 def near_pairs(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
     """(members, links): members has key and rep; links has rep_a, rep_b, similarity for each pair of classes at or above the threshold."""
     rows = df.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).where(F.col("key").isNotNull() & (F.length("text") >= 2 * max(min_words, SHINGLE) - 1))
@@ -186,10 +197,16 @@ def near_pairs(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD,
     members = ids.distinct().join(ids.groupBy("same").agg(F.min("key").alias("rep")), "same").select("key", "rep")
     # The only shuffle of texts: each class keeps its representative's.
     texts = rows.groupBy(same).agg(F.min(F.struct("key", "text")).alias("x")).select("x.*")
-    rows = sketches(texts, min_words).select(F.explode("bands").alias("band"), "key", "s0", "s1")
+    banded = sketches(texts, min_words).select(F.explode("bands").alias("band"), "key", "s0", "s1")
+    large = large_bands(rows, min_words)
     limit = radius(threshold)
+    rest, known = banded, None
+    if not large.isEmpty():
+        rest = banded.join(F.broadcast(large), "band", "left_anti")
+        known = cut(banded.join(F.broadcast(large), "band"))
+        known = known.join(F.broadcast(known.groupBy("band").agg(F.count("*").alias("n"))), "band").where("n > 1")
     # One shuffle by band; bands of one text are dropped at once, and the rest is cut so that large bands can be split.
-    sized = cut(rows.withColumn("n", F.count("*").over(Window.partitionBy("band"))).where("n > 1"))
+    sized = cut(rest.withColumn("n", F.count("*").over(Window.partitionBy("band"))).where("n > 1"))
 
     def small(batches):
         held: list[np.ndarray] = []
@@ -218,9 +235,10 @@ def near_pairs(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD,
     # Large bands: block i against block j for all i <= j, each pair of blocks a group.
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("key"), blocks).cast("int")
-    large = (
-        sized.where(F.col("n") > BLOCK)
-        .withColumn("mine", mine)
+    many = sized.where(F.col("n") > BLOCK)
+    many = many if known is None else many.unionByName(known.select(*many.columns))
+    many = (
+        many.withColumn("mine", mine)
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .select("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "key", "s0", "s1")
     )
@@ -235,8 +253,8 @@ def near_pairs(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD,
             i, j = np.repeat(p, len(q)), np.tile(q, len(p))
         return _emit(ids, i, j, sk, limit).to_pandas()
 
-    many = large.groupBy("band", "i", "j").applyInPandas(block_pairs, "a bigint, b bigint")
-    close = cut(few.unionByName(many).distinct())
+    far = many.groupBy("band", "i", "j").applyInPandas(block_pairs, "a bigint, b bigint")
+    close = cut(few.unionByName(far).distinct())
     links = verify(close, df, key, text, threshold)
     return members, links
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import leaks, neardups, neighbours, packing, personal, pieces, provenance, scans, secrets, subjects
@@ -80,7 +80,8 @@ COPIES = 64
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs, those between copies too; only classes of more than COPIES copies stay linked through their representative."""
     members, links = neardups.near_pairs(_conversation_chunks(spark, sf_dir), "seq", "document")
-    members = cut(members.withColumn("copies", F.count("*").over(Window.partitionBy("rep"))))
+    members = cut(members)
+    members = members.join(members.groupBy("rep").agg(F.count("*").alias("copies")), "rep")
     small = F.col("copies") <= COPIES
     a, b = (members.where(small | (F.col("key") == F.col("rep"))).select(F.col("rep").alias(f"rep_{x}"), F.col("key").alias(f"key_{x}")) for x in "ab")
     between = links.join(a, "rep_a").join(b, "rep_b").select("key_a", "key_b")

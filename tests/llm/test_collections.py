@@ -91,6 +91,10 @@ def test_near_duplicates(spark, monkeypatch):
     assert found() == want
     monkeypatch.setattr(neardups, "BLOCK", 1)  # every band is split into blocks
     assert found() == want
+    monkeypatch.setattr(neardups, "BLOCK", 16)
+    for name, value in (("SAMPLE_OF", 1), ("LARGE_SHARE", 0), ("LARGE_LEAST", 2)):  # most bands count as large
+        monkeypatch.setattr(neardups, name, value)
+    assert found() == want
 
 
 def test_near_duplicates_of_nothing(spark):
