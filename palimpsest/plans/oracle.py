@@ -173,5 +173,6 @@ SELECT none.wanted, CASE WHEN cursor_ms IS NOT NULL THEN 'nothing new' WHEN clos
 j AS (SELECT capture_id AS job_id, coalesce(n, 0) AS total, CASE WHEN capture_id % 3 = 2 THEN coalesce(n, 0) // 2 ELSE coalesce(n, 0) END AS done, n IS NULL AS failed, CASE WHEN capture_id % 3 <> 2 THEN {NOW_MS} - capture_id * 10000 END AS ended_ms FROM cap LEFT JOIN n USING (capture_id))
 SELECT job_id, CASE WHEN failed THEN 'error' WHEN ended_ms IS NOT NULL THEN 'done' ELSE 'processing' END AS status, done, total, CASE WHEN total > 0 THEN CAST(floor(done * 100.0 / total + 0.5) AS BIGINT) ELSE 0 END AS percent FROM j WHERE ended_ms IS NULL OR ended_ms + 600000 > {NOW_MS}""",
     "stream_upsert": f"WITH {CHUNKS} SELECT id, topic, timestamp_ms FROM live",
+    "stream_cursor": "SELECT user_id, count(*) AS n, max(epoch_us(ts) // 1000) AS cursor_ms FROM events GROUP BY 1",
     "message_positions": f"WITH {MESSAGES} SELECT message_id, row_number() OVER (PARTITION BY capture_id ORDER BY turn, message_id) - 1 AS at FROM msg",
 }
