@@ -169,6 +169,16 @@ SELECT DISTINCT least(x, y) AS seq_a, greatest(x, y) AS seq_b FROM near""",
 s AS (SELECT DISTINCT seq, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS g FROM c WHERE len(w) >= 40),
 n AS (SELECT seq, count(*) AS n FROM s GROUP BY 1), common AS (SELECT a.seq AS seq_a, b.seq AS seq_b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.seq < b.seq GROUP BY 1, 2)
 SELECT seq_a, seq_b FROM common JOIN n a ON a.seq = seq_a JOIN n b ON b.seq = seq_b WHERE k >= 0.6 * (a.n + b.n - k)""",
+        "p4_neighbours": f"""WITH v AS (SELECT seq, embedding::DOUBLE[] AS e FROM chunk_vectors WHERE embedding IS NOT NULL AND {_USABLE})
+SELECT a.seq AS seq, b.seq AS neighbour, CAST(row_number() OVER (PARTITION BY a.seq ORDER BY list_cosine_similarity(a.e, b.e) DESC, b.seq) AS INTEGER) AS rank, round(list_cosine_similarity(a.e, b.e), 6) AS similarity
+FROM v a, v b WHERE a.seq % 50 = 0 AND a.seq <> b.seq QUALIFY rank <= 5""",
+        "p5_classes": f"""WITH t AS (SELECT DISTINCT seq, document FROM chunks WHERE file_path IS NULL AND document IS NOT NULL AND len({_WORDS.format('document')}) >= 40),
+m AS (SELECT seq, min(seq) OVER (PARTITION BY document) AS class_id FROM t),
+s AS (SELECT DISTINCT seq, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS g FROM (SELECT t.seq, {_WORDS.format('document')} AS w FROM t JOIN m ON t.seq = m.seq AND t.seq = m.class_id)),
+n AS (SELECT seq, count(*) AS n FROM s GROUP BY 1), common AS (SELECT a.seq AS x, b.seq AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.seq < b.seq GROUP BY 1, 2),
+link AS (SELECT x, y FROM common JOIN n a ON a.seq = x JOIN n b ON b.seq = y WHERE k >= 0.6 * (a.n + b.n - k)),
+ends AS (SELECT rep, count(*) AS n_links FROM (SELECT x AS rep FROM link UNION ALL SELECT y FROM link) GROUP BY 1)
+SELECT seq, class_id, coalesce(n_links, 0) AS n_links FROM m LEFT JOIN ends ON rep = class_id""",
         "p6_found": f"""WITH t AS (SELECT DISTINCT 'messages' AS src, message_id AS item_key, text FROM messages UNION SELECT DISTINCT 'chunks', seq, document FROM chunks)
 SELECT src, item_key, CASE WHEN list_max(list_transform(string_split_regex(text, '[{_BLANK}]+'), lambda x: length(x))) > 800 THEN 'forced' ELSE 'natural' END AS cut_kind FROM t WHERE length(text) > 800""",
         "p8_found": f"SELECT doc_id FROM ({tokens}) WHERE n_tokens > 1024",
