@@ -29,19 +29,20 @@ VALUE = r"[^\s\"'`<>,;(){}\[\]]"
 RULES: dict[str, str] = {
     "issued": rf"(?P<v>{PREFIX})",
     "quoted": rf"(?i){NAME}[\"'\]]*\s{{0,3}}(?::=|=>|[:=])\s{{0,3}}(?P<q>[\"'`])(?P<v>[^\"'`\s]{{6,}})(?P=q)",
-    "plain": rf"(?im){NAME}[ \t]?[:=][ \t]?(?P<v>[^\s\"'`<>,;(){{}}\[\]$]{{6,}})[ \t]*(?:\r?$|[#;])",
-    "element": rf"(?i)<(?P<q>[\w.-]*{NAME})>(?P<v>[^<\s]{{6,}})</",
+    "plain": rf"(?im){NAME}[ \t]?[:=][ \t]?(?P<v>[^\s\"'`<>,;(){{}}\[\]$][^\s\"'`<>,;(){{}}\[\]]{{5,}})[ \t]*(?:\r?$|[#;])",
+    "element": rf"(?i)<(?P<q>[\w.-]*{NAME})>\s*(?P<v>[^<\s]{{6,}})\s*</",
     "attribute": rf"(?i)(?:name|key|id)=[\"'][\w.-]*{NAME}[\"']\s+value=[\"'](?P<v>[^\"'\s]{{6,}})[\"']",
     "column": rf"(?i)['\"][\w.-]*{NAME}['\"]\s*,\s*['\"](?P<v>[^'\"\s]{{6,}})['\"]",
     "sql": r"(?i)(?:password|identified\s+by)\s+(?:is\s+)?'(?P<v>[^'\s]{6,})'",
     "url": r"://[^\s/:@\"'<>]*:(?P<v>[^\s@\"'<>]{4,})@",
     "parameter": rf"(?i)[?&]{NAME}=(?P<v>[^\s&\"'<>#]{{6,}})",
     "header": r"(?i)(?:\b(?:bearer|basic)[ \t]+|x-[a-z-]*(?:key|token|auth)\s*[:=]\s*[\"']?|authorization\s*:\s*(?!bearer|basic))(?P<v>[^\s\"'`<>]{6,})",
-    "option": rf"(?i)--(?:{NAME}|pass|key)[ =][\"']?(?P<v>[^\s\"'`]{{6,}})",
+    "option": rf"(?i)--(?:[\w-]{{0,24}}[_-])?(?:{NAME}|pass|key)[ =][\"']?(?P<v>[^\s\"'`]{{6,}})",
     "user": r"(?:^|\s)(?:-u|--user)[ =]?[\"']?[\w.-]+:(?P<v>[^\s\"'`]{6,})",
     "attached": r"\s-u[ ]?[\w.-]+\s+(?:-\w+\s+)*-p(?P<v>[^\s\"'`]{6,})",
     "argument": r"(?i)\b\w*(?:connect|login|auth|client|session)\w*\(\s*[\"'][^\"'\n]*[\"']\s*,\s*[\"'][^\"'\n]*[\"']\s*,\s*[\"'](?P<v>[^\"'\s]{6,})[\"']",
     "noted": r"(?i)[:=][ \t]*[\"'](?P<v>[^\"'\s]{6,})[\"'][;,]?[ \t]*(?://|#|--|/\*).*\b(?:auth|login|unseal|vault|token|password|secret|signing|credential)\b",
+    "dated": r"(?im)(?://|#|--|/\*|<!--)[^\n\"'=]*?\b(?:works? with|log in with|sign in with|try|use)[ \t]+(?P<v>[^\s\"'`<>()]{8,})(?=[ \t,])[^\n]*\b(?:until|rotate|expires|temporary|for now)\b",
     "comment": rf"(?im)(?://|\#|--|/\*|<!--|\(|\*)[^\n\"'=]*?(?:\b(?:logins?|console|vault|previous value|todo remove|staging|{NAME})\b|\b(?:box|until [a-z]+):)[^\n\"'=]*?[ \t/:](?P<v>[^\s\"'`<>()]{{8,}})[ \t]*(?:\*/|-->|\))?[ \t]*\r?$",
 }
 BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----|-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
@@ -227,7 +228,7 @@ class Detector:
                 else:
                     for m in self.rules[rule].finditer(t):
                         v = m["v"]
-                        if rule in ("comment", "noted", "argument", "plain", "header"):
+                        if rule in ("comment", "dated", "noted", "argument", "plain", "header"):
                             ok = random_like(v)
                         elif rule == "url":
                             ok = not NO_VALUE.match(v) and len(set(v)) > 2

@@ -91,6 +91,7 @@ def lines(text, bare=False):
 def test_credentials_are_found():
     for text in (
         'api_key = "qk9s8d7f6a5s4d3f"', "PASSWORD=rout34qXl!", "password: Juniper#habit770", "<secret>hand43EgP+</secret>", "curl -u svc:word89wAV? https://x.example", "dsn = 'postgres://u:S3cret99@h.example/db'",
+        "PWD=Elm$detail177", "ARGS=--user svc --access_token reas49Fyh?", "// works with 000949e3eab664410c1dbca5bfa84b3d until the end of the month, then rotate",
         'hdr = "X-Key: offset.item.elm3"', "-- login adm / Lantern-overview613", "CREATE USER x WITH PASSWORD 'abc123def'", 'k1 = "Mill-answer850"  # goes into the login call', "ARGS=--user svc --token ledger.offset.hawthorn7", "INSERT INTO s VALUES ('access_token', 'page.page.alder3');",
     ):
         assert lines("x = 1\n" + text) == [2], text
@@ -108,6 +109,7 @@ def test_key_blocks():
     assert lines("\n".join(block.split("\n")[:5])) == [2, 3, 4, 5]
     assert lines("\n".join(block.split("\n")[4:]), True) == [1, 2, 3, 4, 5]
     assert lines(body, True) == [1, 2, 3, 4, 5] and lines(body) == []
+    assert lines("<password>\n  btMFMnktLtc11iq6V9PwzLC\n</password>") == [2]
     assert lines("secret: >-\n  Quarry_promise450\nnext: 1") == [2]
     assert lines("x = 'abc123def4' +\n    'ghi567jkl8'") == [1, 2]
 
