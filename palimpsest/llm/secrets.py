@@ -47,10 +47,12 @@ RULES: dict[str, str] = {
 }
 BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----|-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
 FOLDED = rf"(?im){NAME}[\"']?[ \t]*:[ \t]*[>|][+-]?[ \t]*\r?\n"
-JOINED = r"(?:=|:)[ \t]*(?P<q>[\"'])(?P<a>[^\"'\s]{4,})(?P=q)[ \t]*[+\\.]?[ \t]*\r?\n[ \t]*[+.]?[ \t]*(?P=q)(?P<b>[^\"'\s]{2,})(?P=q)"
+JOINED = r"(?:=|:)[ \t]*(?P<q>[\"'])(?P<a>[^\"'\s]{4,})(?P=q)[ \t]*[+\\.]?[ \t]*\r?\n(?:[ \t]*\r?\n)?[ \t]*[+.]?[ \t]*(?P=q)(?P<b>[^\"'\s]{2,})(?P=q)"
 CUT_OFF = re.compile(r"(?:=|:)[ \t]*(?P<q>[\"'])(?P<a>[^\"'\s]{12,})(?P=q)[ \t]*[+\\][ \t]*\r?\n?\Z")
+BROUGHT_OVER = re.compile(r"\[FILE: [^\n]*\n[ \t]*[\"'](?P<b>[^\"'\s]{6,})[\"'];?[ \t]*\r?(?:\n|\Z)")
 RULES_OF_LINES = {"key block": BLOCK.pattern, "folded": FOLDED, "joined": JOINED}
 BODY = re.compile(r"[ \t]*(?:(?://|#|\*|\"|')[ \t]*)?[A-Za-z0-9+/]{32,80}={0,2}(?:\\n)?[\"']?[ \t]*[+,\\]?\r?")
+SHORT = re.compile(r"[ \t]*[A-Za-z0-9+/]{2,}={0,2}\r?")
 BARE = re.compile(r"[A-Za-z0-9+/]{64}\r?")
 
 NO_VALUE = re.compile(r"(?i)^(?:[x*.#_-]+|todo|tbd|none|null|true|false|change_?me.*|example.*|dummy.*|placeholder.*|your[_-].*|my[_-].*|insert[_-].*|<.*|\$.*|%.*|\{.*|@.*|\w+\(.*|(?:os|process|env|system|config|settings|vault|secrets)[.:\[].*|.*\$\{.*|.*\{\{.*|\d{1,7}|\d+[./]\d.*)$")
@@ -182,12 +184,16 @@ def block_spans(text: str) -> list[tuple[int, int]]:
                     end += 1
                 elif end + 2 < len(lines) and len(lines[end + 1]) <= 80 and "-----END" in lines[end + 2]:  # a short last line
                     end += 2
+                elif end > k and end + 2 == len(lines) and SHORT.fullmatch(lines[end + 1]):
+                    end += 1
             out += [(starts[j], starts[j] + len(lines[j])) for j in range(k, end + 1) if lines[j].strip()]
             k = end
         elif m:
-            first, last = k, k - 1
-            if last >= 0 and re.fullmatch(r"[ \t]*[A-Za-z0-9+/]{2,}={0,2}\r?", lines[last]):
-                first = last
+            first = last = k
+            while last > 0 and not lines[last - 1].strip():
+                last -= 1
+            if last > 0 and SHORT.fullmatch(lines[last - 1]):
+                first = last - 1
             while first > 0 and (BODY.fullmatch(lines[first - 1]) or not lines[first - 1].strip()):
                 first -= 1
             out += [(starts[j], starts[j] + len(lines[j])) for j in range(first, k + 1) if lines[j].strip()]
@@ -241,6 +247,9 @@ class Detector:
                 m = CUT_OFF.search(t, max(0, len(t) - 200))
                 if m and random_like(m["a"]):
                     out.append((*m.span("a"), "joined"))
+                m = BROUGHT_OVER.match(t)
+                if m and random_like(m["b"]):
+                    out.append((*m.span("b"), "joined"))
                 if not out and "\n" in t:
                     out += [(a, b, "private_key") for a, b in block_spans(t)] if len(re.findall(r"(?m)^[A-Za-z0-9+/]{64}\r?$", t)) > 1 else []
         return [merge(x) for x in found]
