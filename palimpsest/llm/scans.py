@@ -122,13 +122,13 @@ class Page:
         for i, x in enumerate(self.lines):
             if x.strip() and is_number(x) and not self.inside(i):
                 self.numbers.add(i)
-        for i, x in enumerate(self.lines):
-            if not x.strip() or i in self.numbers:
-                continue
-            skeleton = title(bare(x))
-            attached = bare(x) != x and skeleton is not None
-            if skeleton and (attached or self.goes_on(i)):
-                self.heads[i] = (skeleton, attached)
+        titles = {i: t for i, x in enumerate(self.lines) if x.strip() and i not in self.numbers and (t := title(bare(x)))}
+        # Titles with a page number, volume or second title first, so that the text around the others is known.
+        certain = {i for i, t in titles.items() if bare(self.lines[i]) != self.lines[i] or t.endswith("vol #") or " | " in t}
+        for i in sorted(titles, key=lambda i: (i not in certain, i)):
+            attached = bare(self.lines[i]) != self.lines[i]
+            if i in certain or self.goes_on(i):
+                self.heads[i] = (titles[i], attached)
                 if attached:
                     self.attached.add(i)
         counts = Counter(s for s, _ in self.heads.values())
