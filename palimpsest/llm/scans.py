@@ -24,7 +24,7 @@ from palimpsest.functions.batches import map_lists
 from palimpsest.session import cut, spread
 
 TOKEN = re.compile(r"[^\W_](?:[^\W_|!]|\||!(?=[^\W_]))*(?:-[^\W_](?:[^\W_|!]|\||!(?=[^\W_]))*)*")
-# Marks of broken words, forms of page numbers, confusions of characters (read -> true).
+# Marks of broken words, forms of page numbers, words within and before titles, confusions of characters (read -> true).
 SOFT = "­¬"
 BROKEN = re.compile(rf"(?P<left>[^\W\d_]+)(?P<mark>[-‐{SOFT}])[ \t]*$")
 _ROMAN = r"[ivxlc]{1,9}"
@@ -33,6 +33,7 @@ PAGE_LINE = re.compile(rf"\s*{PAGE}\s*")
 PAGE_END = re.compile(rf"\s{{2,}}({PAGE})\s*$")
 PAGE_START = re.compile(rf"^\s*({PAGE})\s{{2,}}(?=\S)")
 CONNECT = set("of on in at to the a an and or for by with di del della dei delle da e il la lo le gli i un una su per con vol no n".split())
+OPENERS = {"between", "per", "secondo", "tra", "fra", "with", "by", "for"}
 CONFUSED = [("1", "l"), ("1", "i"), ("|", "l"), ("|", "i"), ("!", "i"), ("!", "l"), ("0", "o"), ("5", "s"), ("9", "g"), ("6", "b"), ("8", "b"), ("c", "e"), ("e", "c"), ("cl", "d"), ("rn", "m"), ("ri", "n"), ("li", "h"), ("ii", "n"), ("ii", "u"), ("vv", "w"), ("tl", "h"), ("in", "m"), ("nn", "m"), ("d", "cl"), ("m", "rn"), ("h", "li"), ("f", "t"), ("y", "v")]
 #: A word of letters alone is a misreading if the other word is so many times as frequent; with signs or digits in it, fewer will do.
 RATIO, RATIO_SIGNS, LEAST = 20, 2, 3
@@ -70,7 +71,9 @@ def title(line: str) -> str | None:
         return None
     found = re.findall(r"[^\W\d_]+|\||—|\d+", s)
     names = [w for w in found if w[0].isalpha() and w.lower() not in CONNECT]
-    if not names or not all(w[0].isupper() for w in names) or found[-1].lower() in CONNECT:
+    if not names or not all(w[0].isupper() for w in names) or found[-1].lower() in CONNECT or found[0].lower() in OPENERS:
+        return None
+    if re.search(r"[.!?;:]\s", re.sub(r"(?i)\b(?:vol|no|n)\.", "", s)):  # a sentence ends in the line
         return None
     if not re.fullmatch(r"[\w\s|—–.,'’&:()-]+", s):
         return None
@@ -134,6 +137,9 @@ class Page:
         counts = Counter(s for s, _ in self.heads.values())
         for i, (s, sure) in list(self.heads.items()):
             near = any(self.step(i, d) in self.numbers for d in (-1, 1))
+            if s in ("x", "x a x") and not (sure or near):  # a name alone, as under a letter
+                del self.heads[i]
+                continue
             self.heads[i] = (s, sure or near or counts[s] > 1 or self.opens(i))
 
     def inside(self, i: int) -> bool:
