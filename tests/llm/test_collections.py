@@ -158,7 +158,7 @@ def test_plan_places_every_item(counts):
         for i in range(n):
             fill[container + i] += length
     assert ranks == Counter(counts) and all(v <= 64 for v in fill.values())
-    assert len(fill) <= 1.7 * sum(k * n for k, n in counts.items()) / 64 + 1
+    assert len(fill) < 2 or sum(sorted(fill.values())[:2]) > 64  # a container is opened only for what fits in no other
 
 
 def test_containers(spark):
