@@ -145,6 +145,25 @@ def test_provenance(spark):
     assert provenance.provenance(df.where("false")).count() == 0
 
 
+def test_copies_inside_longer_files_and_among_many(spark):
+    lib = own_file(50)
+    rows = [(i, f"p{i}", own_file(100 + i)) for i in range(20)]  # unrelated
+    rows += [(100 + i, "own", own_file(200 + i)) for i in range(30)]
+    for i in range(30):  # a whole file in a bundle of twenty, each in another project
+        rows.append((200 + i, "bundler", "\n".join([*(own_file(1000 + 20 * i + j) for j in range(10)), own_file(200 + i), *(own_file(1010 + 20 * i + j) for j in range(10))])))
+    header = " ".join(f"word{i}" for i in range(60)) + "\n"  # shared by all: its first and last file are no copies
+    rows += [(500 + i, f"q{i}", header + (lib if i in (4, 5) else own_file(5000 + i)) + ("\npass" if i == 4 else "")) for i in range(10)]
+    got = {r.file_id for r in provenance.provenance(spark.createDataFrame(rows, "file_id bigint, project string, content string")).collect() if r.kind == "third_party"}
+    assert got == {*range(100, 130), 504, 505}
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.integers(0, 30), max_size=80), st.lists(st.integers(0, 30), max_size=400), st.lists(st.integers(0, 3), min_size=24, max_size=24))
+def test_every_common_run_holds_a_common_window(left, right, run):
+    a, b = (provenance.windows(" ".join(f"w{chr(97 + t)}" for t in x))[2] for x in (left + run, right + run + left))
+    assert set(a) & set(b)
+
+
 # Packing
 
 
