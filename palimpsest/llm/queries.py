@@ -110,7 +110,7 @@ def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return provenance.provenance(table(spark, sf_dir, "source_files")).select("file_id").distinct()
+    return provenance.provenance(table(spark, sf_dir, "source_files"), every=False).select("file_id").distinct()
 
 
 def p7_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
