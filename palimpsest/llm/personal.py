@@ -5,6 +5,10 @@ characters go, spelled digits become digits, and the disguises of @ and . in add
 the plain form knows the source characters it came from. Detectors run on the plain form; their spans are mapped back,
 and only the source characters under them are replaced by a placeholder of the kind.
 
+Names are found by titles and cues first. Given and family names of these places, learnt over all texts, are then looked
+for everywhere: a capitalised pair of a learnt given and a learnt family name is a person in any sentence, and a full name
+found in a text is found again in it, in any case.
+
 Defined results: null gives null, and texts without details come back unchanged; spans of different kinds that overlap
 are one span of the kind found first in KINDS; repeated rows repeat; replacing twice changes nothing more.
 """
@@ -18,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.batches import map_lists
+from palimpsest.session import cut
 
 KINDS = ("email", "identity_number", "phone", "street_address", "person")
 
@@ -173,8 +178,28 @@ CODED = re.compile(r"\d\d ?[A-Za-z]\d\d")
 NO_NAME = re.compile(r"(?i)^(?:the|a|an|this|that|these|our|my|your|his|her|its|us|me|them|who|what|il|lo|la|le|gli|un|una|i|you|we|they|it|all|both|no|any|some|if|in|on|at|of|to|for|about|whether|yourself|to be)\b|\b(?:street|market|road|team|inc|ltd|gmbh|spa|corp|project|handbook|company|and|or|the|is|was|that|yesterday)$")
 
 
-def find(source: str, handles=None) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of the details in the source text, in order and disjoint."""
+#: A pair of capitalised words that may be a name; pairs may share a word.
+PAIR = re.compile(rf"(?<![\w.@/'’-])(?=(?P<a>{_CAP}) (?:[A-Z]\. )?(?P<b>{_CAP})(?![\w@/]))")
+AFTER_TITLE = re.compile(rf"^(?:{_TITLE}\b\.? )?")
+
+
+def parts(name: str) -> tuple[str, str]:
+    """Given and family name, in lower case; the given one is empty if only a family name is there."""
+    name = AFTER_TITLE.sub("", name).lower()
+    if ", " in name:
+        family, _, given = name.partition(", ")
+        return given.split()[0], family
+    words = [w for w in name.split() if not w.endswith(".")]
+    return (words[0], words[1]) if len(words) > 1 else ("", words[0] if words else "")
+
+
+def find(source: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of the details in the source text, in order and disjoint; persons by titles and cues only."""
+    return scan(source)[0]
+
+
+def scan(source: str) -> tuple[list[tuple[int, int, str]], list[tuple[str, str]], list[tuple[int, int, str, str]]]:
+    """Spans as of find(), the names in them, and (start, end, given, family) of other pairs that may be names."""
     plain = Plain(source)
     t = plain.text
     spans: list[tuple[int, int, str]] = []
@@ -221,10 +246,28 @@ def find(source: str, handles=None) -> list[tuple[int, int, str]]:
             if need in low:
                 add("person", rule, named)
     out: list[tuple[int, int, str]] = []
+    free = lambda a, b: not any(a < d and c < b for c, d, _ in out)
     for a, b, kind in sorted(spans, key=lambda x: (KINDS.index(x[2]), x[0], -x[1])):
-        if not any(a < d and c < b for c, d, _ in out):
+        if free(a, b):
             out.append((a, b, kind))
-    return sorted((*plain.back(a, b), kind) for a, b, kind in out)
+    names = list({parts(t[a:b]) for a, b, kind in out if kind == "person"})
+    for given, family in names:
+        if given and family:
+            for m in re.finditer(rf"(?i)(?<![\w.@/-]){re.escape(given)} (?:\w\. )?{re.escape(family)}(?![\w@/])", t):
+                if free(*m.span()):
+                    out.append((*m.span(), "person"))
+    maybe = [(*plain.back(m.start("a"), m.end("b")), m["a"].lower(), m["b"].lower()) for m in PAIR.finditer(t) if free(m.start("a"), m.end("b")) and not NO_NAME.search(t[m.start("a") : m.end("b")])]
+    return sorted((*plain.back(a, b), kind) for a, b, kind in out), names, maybe
+
+
+def with_learnt(spans: list[tuple[int, int, str]], maybe: list[tuple[int, int, str, str]], given: set[str], family: set[str]) -> list[tuple[int, int, str]]:
+    """Spans, and those pairs that are a learnt given and a learnt family name; of overlapping ones the first."""
+    out, last = list(spans), 0
+    for a, b, x, y in maybe:
+        if a >= last and x in given and y in family:
+            out.append((a, b, "person"))
+            last = b
+    return sorted(out)
 
 
 def replace(source: str, spans: list[tuple[int, int, str]]) -> str:
@@ -241,11 +284,27 @@ def personal(df: DataFrame, key: list[str], text: Column | str = "text", with_te
     source = df.select(*key, (F.col(text) if isinstance(text, str) else text).alias("__text")).where("__text is not null")
     fields = source.drop("__text").dtypes
 
+    span, pair = "array<struct<a: int, b: int, kind: string>>", "array<struct<given: string, family: string>>"
+    dicts = lambda names, rows: [dict(zip(names, r)) for r in rows]
+
+    def look():
+        def run(*cols):
+            found = [scan(t) for t in cols[-1]]
+            return (*cols[:-1], [t if with_text else None for t in cols[-1]], [dicts(("a", "b", "kind"), s) for s, _, _ in found], [dicts(("given", "family"), n) for _, n, _ in found], [dicts(("a", "b", "given", "family"), m) for _, _, m in found])
+
+        return run
+
+    kept = ", ".join(f"`{n}` {t}" for n, t in fields)
+    seen = cut(map_lists(source, look, f"{kept}, __text string, __spans {span}, __names {pair}, __maybe array<struct<a: int, b: int, given: string, family: string>>"))
+    name = seen.select(F.explode("__names").alias("n")).select("n.*")
+    given, family = ({r[0] for r in name.where("given <> '' and family <> ''").select(c).distinct().toLocalIterator()} for c in ("given", "family"))
+
     def make():
         def run(*cols):
-            found = [find(t) for t in cols[-1]]
-            return (*cols[:-1], [replace(t, s) if with_text else None for t, s in zip(cols[-1], found)], [sorted({k for *_, k in s}) for s in found])
+            *keys, texts, spans, maybe = cols
+            found = [with_learnt([(x["a"], x["b"], x["kind"]) for x in s], [(x["a"], x["b"], x["given"], x["family"]) for x in m], given, family) for s, m in zip(spans, maybe)]
+            return (*keys, [replace(t, s) if with_text else None for t, s in zip(texts, found)], [sorted({k for *_, k in s}) for s in found])
 
         return run
 
-    return map_lists(source, make, ", ".join(f"`{n}` {t}" for n, t in fields) + ", text string, kinds array<string>")
+    return map_lists(seen.drop("__names"), make, f"{kept}, text string, kinds array<string>")
