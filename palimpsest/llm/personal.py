@@ -171,7 +171,7 @@ NEEDS = {
 }
 EITHER_NEEDS = ("tell ", "ask ", "ask for", "according to", "signed as", "spoke ", "my ", "can reach", "this for", "mark it for", "between us", "th", "scrivere a", "citofono", "vediamo da", " e mi ha", "intestat", ":", "from:", "name=", " |", "\n", " wrote this")
 TITLES = ("Mr", "Ms", "Miss", "Dr", "Prof", "Dott", "Sig", "Ing", "Avv", "Rag", "Geom")
-DIGIT, SIX = re.compile(r"\d"), re.compile(r"\d\d ?\d\d ?\d\d ?[A-D]|\d{6}")
+DIGIT, SIX = re.compile(r"\d"), re.compile(r"\d\d ?\d\d ?\d\d ?[A-D]|\d{6}|\d{5}[A-Za-z]{2}")
 NUMBERS = re.compile(r"\d[\d().\s-]{6,}\d")
 CODED = re.compile(r"\d\d ?[A-Za-z]\d\d")
 #: Words that open a capitalised pair that is no name (fixed values).

@@ -79,6 +79,10 @@ def test_personal_rows(spark):
     assert personal.personal(df.where("false"), ["k"]).count() == 0
 
 
+def test_identity_card_with_five_digits():
+    assert kinds("carta d'identità: CA12345AB") == ["identity_number"]
+
+
 def test_learnt_names_are_found_in_any_sentence(spark):
     texts = ["Tell Dario Kallmar that it came", "I spoke with Ms Hanneke Peldwick", "Dario Kallmar moved out on Monday", "met with Hanneke Kallmar, then left", "Blue Harbour moved out on Monday", "ask Dario Kallmar. Later we saw dario kallmar again"]
     got = {r.k: r for r in personal.personal(spark.createDataFrame(list(enumerate(texts)), "k int, text string"), ["k"]).collect()}
