@@ -5,9 +5,11 @@ characters go, spelled digits become digits, and the disguises of @ and . in add
 the plain form knows the source characters it came from. Detectors run on the plain form; their spans are mapped back,
 and only the source characters under them are replaced by a placeholder of the kind.
 
-Names are found by titles and cues first. Given and family names of these places, learnt over all texts, are then looked
-for everywhere: a capitalised pair of a learnt given and a learnt family name is a person in any sentence, and a full name
-found in a text is found again in it, in any case.
+Names with a title are found by it. For others the corpus decides: every pair of capitalised words, and every pair of
+words that are rare in lower case, may be a name. Some stand where names stand (beside a contact detail, after the label
+of a field, after a word for a person or a greeting, before a verb of speech), and a word's share of such places among all
+its places as a given or family name tells names from places and products. A pair is a name, in every text and in any
+case, if the log-odds of its two words say so.
 
 Defined results: null gives null, and texts without details come back unchanged; spans of different kinds that overlap
 are one span of the kind found first in KINDS; repeated rows repeat; replacing twice changes nothing more.
@@ -15,8 +17,10 @@ are one span of the kind found first in KINDS; repeated rows repeat; replacing t
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -103,14 +107,17 @@ EMAIL = re.compile(r"(?<![\w.+/:@-])(?:mailto:)?(?P<v>[A-Za-z0-9][\w.+-]*@(?:[A-
 _S = r"[ .\-]"
 PHONE = re.compile(
     rf"(?<![\w.,#/+-])(?P<v>\+\d{{1,3}}{_S}?(?:\(0\){_S}?)?\d{{1,4}}(?:{_S}?\d{{2,5}}){{1,4}}"
-    rf"|\(\d{{3}}\) ?\d{{3}}{_S}?\d{{4}}|\d{{3}}([.-])555\2\d{{4}}|[2-9]\d{{2}}([. -])[2-9]\d{{2}}\3\d{{4}}"
+    rf"|\(\d{{3}}\) ?\d{{3}}{_S}?\d{{4}}|[2-9]\d{{2}}([. -])[2-9]\d{{2}}\2\d{{4}}"
     rf"|0\d(?:[. ]\d{{2}}){{4}}|0\d{{2}} \d{{4}} \d{{4}}|0\d{{3,4}} \d{{3}} ?\d{{3}}|0\d{{10}}|3\d{{2}}[ .]\d{{3}} ?\d{{4}})(?![\w-]|[.,]\d|/\d)"
 )
 PHONE_CUE = re.compile(r"(?i)(?:\b(?:tel|cell|call)|phone|mobile|whatsapp|richiama|chiamare|(?:my|phone|il mio|di telefono) (?:number|numero))[\w.]*[:=]?\s*(?:is|it is|è)?\s*(?P<v>\+?\(?\d[\d().\s-]{5,16}\d)(?![\w-])")
 CODE = re.compile(r"\b(?P<v>[A-Za-z]{3} ?[A-Za-z]{3} ?\d{2}[A-EHLMPR-Ta-ehlmpr-t]\d{2} ?[A-Za-z]\d{3}[A-Za-z])\b")
 INSURANCE = re.compile(r"\b(?P<v>[A-CEGHJ-PR-TW-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D])\b|\b(?P<w>QQ ?\d{2} ?\d{2} ?\d{2} ?[A-D])\b")
 SOCIAL = re.compile(r"(?<![\w.+/#-])(?P<v>\d{3}-\d{2}-\d{4})(?![\w-]|\.\d)")
-ID_CUE = re.compile(r"(?i)(?:\bSSN|\bID|passport[^.:\n]{0,24}|passaporto[^.:\n]{0,24}|identity number[^.\n]{0,14}|codice fiscale[^.\n]{0,6}|documento n\.|card says|letter says|second copy|social security[^.\n]{0,12}|national insurance[^.\n]{0,12}|\bNI\b|carta d'identit\S+)\s*[:#(]?\s*(?:is\s+|è\s+|no\.?\s*)?(?P<v>\d{3}[ -]?\d{2}[ -]?\d{4}|[A-Z]{1,2}\d{6,8}|[A-Z]{2}\d{5}[A-Z]{2}|\d{8,11})(?![\w-]|\.\d)")
+ID_CUE = re.compile(
+    r"(?i)\b(?:SSN|ID|NI|passport|passaporto|identit\w+|card|carta|tessera|letter|copy|document[oi]?|licen[cs]e|patente|permit|certificate|codice fiscale|tax code|social security|national insurance)\b"
+    r"[^.\n\d]{0,30}?(?:n\. ?|no\. ?)?(?P<v>(?<![\w.+/#-])(?:\d{3}[ -]?\d{2}[ -]?\d{4}|[A-Z]{1,2}\d{6,8}|[A-Z]{2}\d{5}[A-Z]{2}|\d{8,11}))(?![\w-]|\.\d)"
+)
 _ROAD = r"(?:Street|St|Road|Rd|Lane|Ln|Terrace|Ter|Row|Court|Ct|Avenue|Ave|Drive|Dr|Close|Crescent|Place|Pl|Square|Sq|Way|Walk|Hill|Gardens|Grove|Mews|Boulevard|Blvd|Parade|Quay|Rise|View)"
 _TOWN = rf"(?:(?:,| in) {_W}+(?: {_W}+)?)?(?: [A-Z]{{1,2}}\d{{1,2}}[A-Z]? \d[A-Z]{{2}})?"
 _FLAT = r"(?i:flat|apt|unit|suite|interno|int)\.? ?\d+[A-Za-z]?"
@@ -120,67 +127,43 @@ _LOW_WORDS = rf"(?:(?!(?:more|than|the|further|of|my|cases|times|days|where|and|
 STREET = re.compile(rf"(?<![\w.#-])(?P<v>(?:{_FLAT},? )?{_NUMBER},? (?:{_WORDS}|{_LOW_WORDS}|(?:[A-ZÀ-Ý]+ ){{1,3}}{_ROAD.upper()}\b\.?)(?:,? {_FLAT})?{_TOWN})")
 BOX = re.compile(rf"(?i)(?<!\w)(?P<v>(?:P\.? ?O\.? ?Box|post box|casella postale|C\.P\.) ?(?:n\. ?)?\d+{_TOWN})")
 VIA = re.compile(rf"(?i)(?<!\w)(?P<v>(?:via|viale|v\.le|piazza|p\.?zza|piazzale|corso|c\.so|vicolo|largo|strada|lungomare|contrada|borgo)\.? (?:{_W}[\w'’.]*\s){{1,4}}?(?:n\. ?|n° ?|, ?)?\d{{1,4}}(?:/?[a-z])?\b(?:(?:,| -) ?(?:\d{{5}} )?{_W}+)?)")
-_TITLE = r"(?:Mr|Mrs|Ms|Miss|Dr|Prof|Dott|Dott\.ssa|Sig|Sig\.ra|Sig\.na|Ing|Avv|Rag|Geom)"
+_TITLE = r"(?:Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Rev|Dott|Dott\.ssa|Sig|Sigg|Sig\.ra|Sig\.na|Ing|Avv|Rag|Geom|Arch)"
 _CAP = r"[A-ZÀ-Ý][\w'’-]+"
-_NAME = rf"(?:{_CAP} (?:[A-Z]\. )?(?:{_CAP})(?: {_CAP}(?=[,.;:)\n]|$))?|{_CAP}, {_CAP})"
-_LOW = rf"(?:{_W}[\w'’-]+ (?:{_W}\. )?{_W}[\w'’-]+|{_W}[\w'’-]+, {_W}[\w'’-]+)"
 TITLED = re.compile(rf"(?<!\w)(?P<v>{_TITLE}\.? (?:[A-Z]\. )?(?:{_CAP}, )?{_CAP}(?: [A-Z]\.)?(?: {_CAP})?)")
-#: Words that come before or after a name; where both sides are given, the name may be in lower case.
-BEFORE = re.compile(
-    rf"(?:\b(?:(?<!can )[Tt]ell|[Aa]sk|[Aa]sk for|[Ss]igned as|[Ss]poke with|[Ss]poke to|[Mm]y (?:landlord|boss|neighbour|doctor|lawyer|teacher|sister|brother|manager)|[Yy]ou can reach|[Rr]ewrite this for|[Mm]ark it for|[Aa]ttn:?|[Bb]etween us,|thx,|[Tt]hanks,|[Cc]iao|[Dd]ear|[Hh]i|scrivere a|intestat[oa] a|citofono è|[Vv]ediamo da|parlato (?:ieri )?con|[Cc]hiedi a|[Ff]irmato:|[Aa]pplicant:|[Nn]ome:|[Nn]ame:|[Pp]atient:|[Cc]liente:|From:|To:|Cc:|name=|[Aa]ccording to)"
-    rf"|(?:[Rr]egards|[Ss]incerely|[Cc]heers|[Ss]aluti),?\s*\n)\s*(?P<v>{_NAME})"
-)
-AFTER = re.compile(rf"(?P<v>{_NAME}) (?:wrote this|wrote to|told me|said that she|said that he|keeps asking|called me|mi ha detto|ha scritto)")
-EITHER = [
-    re.compile(p)
-    for p in (
-        rf"(?i)\btell (?P<v>{_LOW}) that\b",
-        rf"(?i)\bask (?P<v>{_LOW}) or (?:(?P<w>{_LOW})|{_TITLE}\.? {_W}[\w'’-]+), they\b",
-        rf"(?i)\bask for (?P<v>{_LOW})(?=\s*(?:$|\n|[.;])|(?-i: [A-ZÀ-Ý]))",
-        rf"(?i)\baccording to (?P<v>{_LOW}), the keys\b",
-        rf"(?i)\bsigned as (?P<v>{_LOW}) and gave\b",
-        rf"(?i)\bspoke (?:with|to) (?P<v>{_LOW}) (?:yesterday|today|about|on)\b",
-        rf"(?i)\bmy (?:landlord|boss|neighbour|doctor|lawyer|teacher|manager) (?P<v>{_LOW}) (?:only|is|has|was|answers)\b",
-        rf"(?i)\bcan reach (?P<v>{_LOW}) (?:at|on)\b",
-        rf"(?i)\bthis for (?P<v>{_LOW}) in an? \w+ tone\b",
-        rf"(?i)\bmark it for (?P<v>{_LOW})(?=\s*(?:$|\n|[.;])|(?-i: [A-ZÀ-Ý]))",
-        rf"(?i)\bbetween us, (?P<v>{_LOW}) (?:is|was|has|will)\b",
-        rf"(?im)(?:^|\s)(?:thx|thanks), (?P<v>{_LOW})(?=\s*$|(?-i: [A-Z]))",
-        rf"(?i)\bscrivere a (?P<v>{_LOW}) \(",
-        rf"(?i)\bcitofono è (?P<v>{_LOW})(?=\s*(?:$|\n|[.;])|(?-i: [A-ZÀ-Ý]))",
-        rf"(?i)\bvediamo da (?P<v>{_LOW}), (?:via|viale|piazza|p\.|corso|casella)",
-        rf"(?i)\bcon (?P<v>{_LOW}) e mi ha\b",
-        rf"(?im)\bintestat[oa] a (?P<v>{_LOW})(?=\s*(?:$|\n|[.;]|tel\b)|(?-i: [A-ZÀ-Ý]))",
-        rf"(?im)(?:^|\s)(?:firmato|applicant|nome|patient|cliente): ?(?P<v>{_LOW})(?=\s*$|(?-i: [A-ZÀ-Ý]))",
-        rf"(?i)\bfrom: (?P<v>{_LOW}) <",
-        rf"(?i)\bname=(?P<v>{_LOW})(?=;|,|\s|$)",
-        rf"(?m)\| (?P<v>{_LOW}) \|(?= *\S+ ?(?:@|\(at\)|\[at\]))",
-        rf"(?im)(?:^|\s)(?:best |kind |warm )?(?:regards|saluti|cordiali saluti|distinti saluti),?\n(?P<v>{_LOW})(?=\s*$)",
-        rf"(?im)(?:^|[.!?\]]\s)(?P<v>{_LOW}) wrote this\b",
-    )
-]
+#: Two words that may be a name: both capitalised, or (in lower case) both rare; pairs may share a word.
+PAIR = re.compile(rf"(?<![\w.@/'’-])(?=(?P<a>{_CAP})(?P<s>, | (?:[A-Z]\. )?)(?P<b>{_CAP})(?![\w@/]))")
+LOW_PAIR = r"(?<![\w.@/'’-])(?=(?P<a>{})(?P<s>, | (?:\w\. )?)(?P<b>{})(?![\w@/]))"
+# Common words beside which a human's name stands, in both languages. Beside one of them a pair of words may
+# be a name, no more: what the corpus knows of the two words decides.
+ROLES = "landlord landlady boss manager neighbour neighbor doctor dentist lawyer teacher colleague friend sister brother mother father uncle aunt cousin wife husband son daughter partner client patient tenant director editor author nurse assistant captain judge collega fratello sorella madre padre zio zia cugino cugina moglie marito figlio figlia amico amica vicino vicina capo medico dottore dottoressa avvocato maestro maestra professore professoressa cliente paziente inquilino direttore signor signora"
+MEETINGS = "ask asked tell told call called phone phoned meet met thank thanked contact contacted reach reached invite invited remind reminded email emailed visit visited hire hired chiama chiamato incontra incontrato ringrazia contatta sentito"
+GREETINGS = "dear hi hello hey thx thanks cheers regards sincerely ciao caro cara gentile egregio saluti grazie"
+DOINGS = "said told wrote asked replied phoned promised answered lives works agreed insisted dice scrive risponde vive lavora"
+BEFORE, AFTER = frozenset(f"{ROLES} {MEETINGS} {GREETINGS}".split()), frozenset(DOINGS.split())
 #: What a text must hold, in lower case, for a rule to be run on it.
 NEEDS = {
     "road": tuple(f" {w}" for w in "street st road rd lane ln terrace row court ct avenue ave drive dr close crescent place pl square sq way walk hill gardens grove mews boulevard blvd parade quay rise view ter".split()),
     "box": ("box", "casella postale", "c.p."),
     "via": tuple(f"{w}{e}" for w in ("via", "viale", "v.le", "piazza", "p.zza", "pzza", "piazzale", "corso", "c.so", "vicolo", "largo", "strada", "lungomare", "contrada", "borgo") for e in (" ", ". ")),
     "call": ("tel", "phone", "mobile", "cell", "whatsapp", "call", "richiama", "chiamare", "numero", "number"),
-    "card": ("ssn", "id", "passport", "passaporto", "identity number", "codice fiscale", "documento", "card says", "letter says", "second copy", "social security", "national insurance", "ni ", "carta d"),
-    "cue": ("tell ", "ask ", "signed as ", "spoke ", "my landlord", "my boss", "my neighbour", "my doctor", "my lawyer", "my teacher", "my sister", "my brother", "my manager", "can reach ", "rewrite this", "mark it for", "attn", "between us", "thx,", "thanks,", "ciao ", "dear ", "hi ", "scrivere a", "intestat", "citofono", "vediamo da", "parlato ", "chiedi a", "firmato:", "applicant:", "nome:", "name:", "patient:", "cliente:", "from:", "to:", "cc:", "name=", "according to", "regards", "sincerely", "cheers", "saluti"),
-    "after": (" wrote ", " told me", " said that", " keeps asking", " called me", " mi ha detto", " ha scritto"),
-}
-EITHER_NEEDS = ("tell ", "ask ", "ask for", "according to", "signed as", "spoke ", "my ", "can reach", "this for", "mark it for", "between us", "th", "scrivere a", "citofono", "vediamo da", " e mi ha", "intestat", ":", "from:", "name=", " |", "\n", " wrote this")
+    "card": ("ssn", "id", "passport", "passaporto", "identit", "card", "carta", "tessera", "letter", "copy", "document", "licen", "patente", "permit", "certificate", "fiscale", "tax code", "social security", "national insurance", "ni "),
+}
 TITLES = ("Mr", "Ms", "Miss", "Dr", "Prof", "Dott", "Sig", "Ing", "Avv", "Rag", "Geom")
 DIGIT, SIX = re.compile(r"\d"), re.compile(r"\d\d ?\d\d ?\d\d ?[A-D]|\d{6}|\d{5}[A-Za-z]{2}")
 NUMBERS = re.compile(r"\d[\d().\s-]{6,}\d")
 CODED = re.compile(r"\d\d ?[A-Za-z]\d\d")
-#: Words that open a capitalised pair that is no name (fixed values).
-NO_NAME = re.compile(r"(?i)^(?:the|a|an|this|that|these|our|my|your|his|her|its|us|me|them|who|what|il|lo|la|le|gli|un|una|i|you|we|they|it|all|both|no|any|some|if|in|on|at|of|to|for|about|whether|yourself|to be)\b|\b(?:street|market|road|team|inc|ltd|gmbh|spa|corp|project|handbook|company|and|or|the|is|was|that|yesterday)$")
-
-
-#: A pair of capitalised words that may be a name; pairs may share a word.
-PAIR = re.compile(rf"(?<![\w.@/'’-])(?=(?P<a>{_CAP}) (?:[A-Z]\. )?(?P<b>{_CAP})(?![\w@/]))")
+SPOKEN = frozenset("speak spoke spoken talk talked write wrote ask asked look wait sign signed addressed sent send belongs given work works live lives chiedi chiedere scrivi scrivere parlato parlare firmato intestato intestata inviato indirizzato consegnato affidato scritto".split())
+DIRECTED, PREPOSITIONS = frozenset("with to for as by a ad con da".split()), frozenset("of on in at about near over from between su di in da del della sul sulla per tra fra".split())
 AFTER_TITLE = re.compile(rf"^(?:{_TITLE}\b\.? )?")
+#: What may stand between a name and a contact detail, and a field's label before a name.
+GAP_WORD = re.compile(r"(?i)\b(?:at|on|or|is|al|a|o|via|email|e-mail|mail|tel|phone|cell|id)\b|mailto")
+JOINS = (" or ", " and ", " e ", " o ", ", ")
+LABEL = re.compile(r"(?:[^\n]*[|;,] *)?[*_> -]*[^\W\d_]{2,12}(?: ?[:=]| n\.) *")
+BREAKS = {c: " " for c in range(0x250) if not (chr(c).isalpha() or chr(c) in "'-")} | {ord(c): " " for c in "‘“”„…–—•·«»"} | {0x2019: "'"}
+#: A word is common from this share of all words in lower case on, so at most 1 / COMMON words are, and LEAST times.
+COMMON, LEAST = 2e-5, 20
+#: Share of the places of a name, and of other capitalised pairs, that tell a name; share of pairs that are names; most that one word tells.
+TOLD_NAMES, TOLD_OTHERS, NAMES, MOST = 0.6, 0.04, 0.03, 8.0
 
 
 def parts(name: str) -> tuple[str, str]:
@@ -193,15 +176,8 @@ def parts(name: str) -> tuple[str, str]:
     return (words[0], words[1]) if len(words) > 1 else ("", words[0] if words else "")
 
 
-def find(source: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of the details in the source text, in order and disjoint; persons by titles and cues only."""
-    return scan(source)[0]
-
-
-def scan(source: str) -> tuple[list[tuple[int, int, str]], list[tuple[str, str]], list[tuple[int, int, str, str]]]:
-    """Spans as of find(), the names in them, and (start, end, given, family) of other pairs that may be names."""
-    plain = Plain(source)
-    t = plain.text
+def details(t: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of the details in a plain form that their form or a title tells; in order and disjoint."""
     spans: list[tuple[int, int, str]] = []
 
     def add(kind: str, rule: re.Pattern, check=None) -> None:
@@ -211,10 +187,10 @@ def scan(source: str) -> tuple[list[tuple[int, int, str]], list[tuple[str, str]]
                     spans.append((*m.span(g), kind))
 
     if "@" in t:
-        add("email", EMAIL, lambda m, g: not t.startswith("git@", m.start(g)) and "://" not in t[max(0, m.start(g) - 120) : m.start(g)].rpartition(" ")[2].rpartition("\n")[2])
-    low = t.lower()
-    has = lambda name: any(x in low for x in NEEDS[name])
+        add("email", EMAIL, lambda m, g: not t.startswith("git@", m.start(g)) and "://" not in word_before(t, m.start(g)))
     if DIGIT.search(t):
+        low = t.lower()
+        has = lambda name: any(x in low for x in NEEDS[name])
         long = NUMBERS.search(t)
         enough = lambda m, g: 8 <= sum(c.isdigit() for c in m[g]) <= 15
         six = SIX.search(t)
@@ -235,41 +211,85 @@ def scan(source: str) -> tuple[list[tuple[int, int, str]], list[tuple[str, str]]
             add("street_address", BOX)
         if has("via"):
             add("street_address", VIA)
-    named = lambda m, g: not NO_NAME.search(m[g])
     if any(x in t for x in TITLES):
         add("person", TITLED)
-    if has("after"):
-        add("person", AFTER, named)
-    if has("cue") or has("after") or "| " in t:
-        add("person", BEFORE, named)
-        for rule, need in zip(EITHER, EITHER_NEEDS):
-            if need in low:
-                add("person", rule, named)
     out: list[tuple[int, int, str]] = []
-    free = lambda a, b: not any(a < d and c < b for c, d, _ in out)
     for a, b, kind in sorted(spans, key=lambda x: (KINDS.index(x[2]), x[0], -x[1])):
-        if free(a, b):
+        if not any(a < d and c < b for c, d, _ in out):
             out.append((a, b, kind))
-    names = list({parts(t[a:b]) for a, b, kind in out if kind == "person"})
-    for given, family in names:
-        if given and family:
-            for m in re.finditer(rf"(?i)(?<![\w.@/-]){re.escape(given)} (?:\w\. )?{re.escape(family)}(?![\w@/])", t):
-                if free(*m.span()):
-                    out.append((*m.span(), "person"))
-    maybe = [(*plain.back(m.start("a"), m.end("b")), m["a"].lower(), m["b"].lower()) for m in PAIR.finditer(t) if free(m.start("a"), m.end("b")) and not NO_NAME.search(t[m.start("a") : m.end("b")])]
-    return sorted((*plain.back(a, b), kind) for a, b, kind in out), names, maybe
-
-
-def with_learnt(spans: list[tuple[int, int, str]], maybe: list[tuple[int, int, str, str]], given: set[str], family: set[str]) -> list[tuple[int, int, str]]:
-    """Spans, and those pairs that are a learnt given and a learnt family name; of overlapping ones the first."""
-    out, last = list(spans), 0
-    for a, b, x, y in maybe:
-        if a >= last and x in given and y in family:
-            out.append((a, b, "person"))
-            last = b
     return sorted(out)
 
 
+def word_before(t: str, at: int) -> str:
+    """What stands before the place up to the white space before it."""
+    start = at
+    while start and not t[start - 1].isspace():
+        start -= 1
+    return t[start:at]
+
+
+def told(t: str, a: int, b: int, spans: list[tuple[int, int, str]]) -> bool:
+    """Does what stands around t[a:b] say that it may well be a human's name?"""
+    before = t[max(0, a - 40) : a]
+    bare = before.rstrip(" \t|*_>([\"'")
+    line = before.rpartition("\n")[2]
+    if any(c >= b and c - b <= 16 and not any(x.isalnum() for x in GAP_WORD.sub("", t[b:c])) or d <= a and a - d <= 16 and not any(x.isalnum() for x in GAP_WORD.sub("", t[d:a])) for c, d, k in spans if k != "person"):
+        return True
+    if LABEL.fullmatch(line):
+        return True
+    words = bare.rstrip(",:\n \t").lower().split()[-3:]
+    last = words[-1] if words else ""
+    if last in BEFORE or last in DIRECTED and not SPOKEN.isdisjoint(words[:-1]):
+        return True
+    after = t[b : b + 14].lstrip(", ").split(None, 1)
+    return bool(after) and t[b : b + 1] in (" ", ",") and last not in PREPOSITIONS and after[0].rstrip(".,:;") in AFTER
+
+
+def candidates(t: str, spans: list[tuple[int, int, str]], common: frozenset | set) -> list[tuple[int, int, str, str, bool, bool]]:
+    """(start, end, given, family, told, capital) of the pairs of words that may be a name; common: words usual in lower case."""
+    found = [(m, True) for m in PAIR.finditer(t)]
+    rare = {w for w in t.lower().translate(BREAKS).split() if w not in common and len(w) > 2}
+    if len(rare) > 1:
+        low = {w for w in rare if not w.istitle() and w in t}
+        if len(low) > 1:
+            one = "|".join(map(re.escape, sorted(low, key=len, reverse=True)))
+            one = rf"(?<![^\W_])(?:{one})(?![\w'’-])"
+            found += [(m, False) for m in re.finditer(LOW_PAIR.format(one, one), t)]
+    out, last = [], -1  # where the last told pair ends
+    for m, capital in sorted(found, key=lambda x: x[0].start()):
+        a, b = m.start("a"), m.end("b")
+        if not any(a < d and c < b for c, d, _ in spans):
+            x, y = m["a"].lower(), m["b"].lower()
+            if x in common and y in common:
+                continue
+            given, family = (y, x) if m["s"] == ", " else (x, y)
+            tells = told(t, a, b, spans) or 0 <= last < a and t[last:a] in JOINS
+            last = b if tells else last
+            out.append((a, b, given, family, tells, capital))
+    return out
+
+
+def odds(told: int, n: int) -> float:
+    """Log-odds that a word which stands n times in capitalised pairs, told of them where names stand, is part of names."""
+    got = told * math.log(TOLD_NAMES / TOLD_OTHERS) + (n - told) * math.log((1 - TOLD_NAMES) / (1 - TOLD_OTHERS))
+    return max(-MOST, min(MOST, got))
+
+
+def find(source: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of the details in one text, in order and disjoint; what tells names is this text alone."""
+    plain = Plain(source)
+    spans = details(plain.text)
+    pairs = candidates(plain.text, spans, frozenset())
+    known = [(*n, True, True) for a, b, k in spans if k == "person" and all(n := parts(plain.text[a:b]))] + [x[2:] for x in pairs]
+    given, family = Counter(), Counter()
+    for g, f, tells, capital in known:
+        given[g, tells] += capital
+        family[f, tells] += capital
+    of = lambda c, w: odds(c[w, True], c[w, True] + c[w, False]) if c[w, True] + c[w, False] else -math.inf
+    names = [plain.back(a, b) for a, b, g, f, *_ in pairs if of(given, g) + of(family, f) + math.log(NAMES) > 0]
+    return joined([(*plain.back(a, b), k) for a, b, k in spans], names)
+
+
 def replace(source: str, spans: list[tuple[int, int, str]]) -> str:
     out, at = [], 0
     for a, b, kind in spans:
@@ -279,32 +299,95 @@ def replace(source: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join([*out, source[at:]])
 
 
-def personal(df: DataFrame, key: list[str], text: Column | str = "text", with_text: bool = True) -> DataFrame:
-    """key columns, text with placeholders (if with_text), kinds: the sorted kinds found; only rows with text."""
-    source = df.select(*key, (F.col(text) if isinstance(text, str) else text).alias("__text")).where("__text is not null")
-    fields = source.drop("__text").dtypes
+def joined(spans: list[tuple[int, int, str]], names: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
+    """Spans and those of names, which may overlap each other."""
+    out = list(spans)
+    last = -1
+    for a, b in sorted(names):
+        if a < last:
+            out[-1] = (out[-1][0], max(b, last), "person")
+        else:
+            out.append((a, b, "person"))
+        last = out[-1][1]
+    return sorted(out)
+
+
+def common_words(source: DataFrame) -> frozenset:
+    """Words that are usual in lower case; at most 1 / COMMON."""
+
+    def count():
+        def run(texts):
+            n: Counter = Counter()
+            for t in texts:
+                n.update(w for w in t.translate(BREAKS).split() if len(w) > 2)
+            return list(n), list(n.values())
+
+        return run
+
+    words = map_lists(source.select("__text"), count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    words = cut(words)
+    total = words.agg(F.sum("n")).first()[0] or 0
+    return frozenset(r.word for r in words.where((F.col("n") >= max(LEAST, COMMON * total)) & (F.col("word") == F.lower("word"))).select("word").collect())
 
-    span, pair = "array<struct<a: int, b: int, kind: string>>", "array<struct<given: string, family: string>>"
+
+def scanned(df: DataFrame, key: list[str], text: Column | str, with_text: bool) -> tuple[DataFrame, DataFrame]:
+    """(seen, hits): the texts with the spans that tell themselves, and (__id, key columns, a, b) of names that the corpus tells."""
+    source = df.select(*key, (F.col(text) if isinstance(text, str) else text).alias("__text")).where("__text is not null")
+    kept = ", ".join(f"`{n}` {t}" for n, t in source.drop("__text").dtypes)
+    common = source.sparkSession.sparkContext.broadcast(common_words(source))
     dicts = lambda names, rows: [dict(zip(names, r)) for r in rows]
 
     def look():
         def run(*cols):
-            found = [scan(t) for t in cols[-1]]
-            return (*cols[:-1], [t if with_text else None for t in cols[-1]], [dicts(("a", "b", "kind"), s) for s, _, _ in found], [dicts(("given", "family"), n) for _, n, _ in found], [dicts(("a", "b", "given", "family"), m) for _, _, m in found])
+            spans, pairs, titled = [], [], []
+            for t in cols[-1]:
+                plain = Plain(t)
+                found = details(plain.text)
+                back = lambda a, b, *rest: (*plain.back(a, b), *rest)
+                spans.append(dicts(("a", "b", "kind"), [back(*x) for x in found]))
+                pairs.append(dicts(("a", "b", "given", "family", "told", "capital"), [back(*x) for x in candidates(plain.text, found, common.value)]))
+                titled.append(dicts(("given", "family"), {n for a, b, kind in found if kind == "person" and all(n := parts(plain.text[a:b]))}))
+            return (*cols[:-1], [t if with_text else None for t in cols[-1]], spans, pairs, titled)
 
         return run
 
-    kept = ", ".join(f"`{n}` {t}" for n, t in fields)
-    seen = cut(map_lists(source, look, f"{kept}, __text string, __spans {span}, __names {pair}, __maybe array<struct<a: int, b: int, given: string, family: string>>"))
-    name = seen.select(F.explode("__names").alias("n")).select("n.*")
-    given, family = ({r[0] for r in name.where("given <> '' and family <> ''").select(c).distinct().toLocalIterator()} for c in ("given", "family"))
+    schema = f"{kept}, __text string, __spans array<struct<a: int, b: int, kind: string>>, __pairs array<struct<a: int, b: int, given: string, family: string, told: boolean, capital: boolean>>, __titled array<struct<given: string, family: string>>"
+    seen = cut(map_lists(source, look, schema).withColumn("__id", F.monotonically_increasing_id()))
+    pairs = seen.select("__id", *key, F.explode("__pairs").alias("p")).select("__id", *key, "p.*")
+    n = lambda c: F.sum(c.cast("bigint"))
+    counted = pairs.groupBy("given", "family").agg(n(F.col("told") & F.col("capital")).alias("told"), n(F.col("capital")).alias("n"))
+    titled = seen.select(F.explode("__titled").alias("p")).select("p.*").groupBy("given", "family").agg(F.count("*").alias("told")).withColumn("n", F.col("told"))
+    counted = cut(counted.unionByName(titled).groupBy("given", "family").agg(F.sum("told").alias("told"), F.sum("n").alias("n")))
+    hit, miss = math.log(TOLD_NAMES / TOLD_OTHERS), math.log((1 - TOLD_NAMES) / (1 - TOLD_OTHERS))
+
+    def learnt(word: str) -> DataFrame:
+        """As odds()."""
+        sums = counted.groupBy(word).agg(F.sum("told").alias("told"), F.sum("n").alias("n")).where("n > 0")
+        return sums.select(word, F.greatest(F.lit(-MOST), F.least(F.lit(MOST), F.col("told") * hit + (F.col("n") - F.col("told")) * miss)).alias(f"odds_{word}"))
+
+    names = counted.join(learnt("given"), "given").join(learnt("family"), "family").where(F.col("odds_given") + F.col("odds_family") + math.log(NAMES) > 0)
+    hits = pairs.join(names.select("given", "family"), ["given", "family"]).select("__id", *key, "a", "b")
+    return seen.drop("__pairs", "__titled"), hits
+
+
+def kinds_found(df: DataFrame, key: list[str], text: Column | str = "text") -> DataFrame:
+    """key columns, kind: distinct rows of each text and kind found in it."""
+    seen, hits = scanned(df, key, text, with_text=False)
+    return seen.select(*key, F.explode("__spans.kind").alias("kind")).unionByName(hits.select(*key, F.lit("person").alias("kind"))).distinct()
+
+
+def personal(df: DataFrame, key: list[str], text: Column | str = "text") -> DataFrame:
+    """key columns, text with placeholders, kinds: the sorted kinds found; only rows with text."""
+    seen, hits = scanned(df, key, text, with_text=True)
+    seen = seen.join(hits.groupBy("__id").agg(F.collect_list(F.struct("a", "b")).alias("__names")), "__id", "left").drop("__id")
+    kept = ", ".join(f"`{n}` {t}" for n, t in seen.select(*key).dtypes)
 
     def make():
         def run(*cols):
-            *keys, texts, spans, maybe = cols
-            found = [with_learnt([(x["a"], x["b"], x["kind"]) for x in s], [(x["a"], x["b"], x["given"], x["family"]) for x in m], given, family) for s, m in zip(spans, maybe)]
-            return (*keys, [replace(t, s) if with_text else None for t, s in zip(texts, found)], [sorted({k for *_, k in s}) for s in found])
+            *keys, texts, spans, names = cols
+            found = [joined([(x["a"], x["b"], x["kind"]) for x in s], [(x["a"], x["b"]) for x in n or []]) for s, n in zip(spans, names)]
+            return (*keys, [replace(t, s) for t, s in zip(texts, found)], [sorted({k for *_, k in s}) for s in found])
 
         return run
 
-    return map_lists(seen.drop("__names"), make, f"{kept}, text string, kinds array<string>")
+    return map_lists(seen, make, f"{kept}, text string, kinds array<string>")

@@ -33,7 +33,7 @@ def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = _texts(spark, sf_dir, conversations=True)
-    return personal.personal(texts, ["src", "item_key"], with_text=False).select("src", "item_key", F.explode("kinds").alias("kind")).distinct()
+    return personal.kinds_found(texts, ["src", "item_key"])
 
 
 def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
