@@ -47,6 +47,10 @@ DOT_WORD = re.compile(r"(?i)(?<=\w)\s(?:dot|punto)\s(?=\w)")
 DISGUISED = ("@ ", " @", "(at", "[at", "{at", "<at", "( at", "[ at", "chiocciola", " dot ", " punto ", "(dot", "[dot", "{dot")
 
 
+NUMERALS, SIGNS = frozenset(DIGITS), frozenset("at dot punto chiocciola".split())
+BREAKS = {c: " " for c in range(0x250) if not (chr(c).isalpha() or chr(c) in "'-")} | {ord(c): " " for c in "‘“”„…–—•·«»"} | {0x2019: "'"}
+
+
 class Plain:
     """The plain form of a text and, if it differs in length, the source places of its characters."""
 
@@ -56,9 +60,10 @@ class Plain:
             self.text = source.translate(TABLE)
             self.rewrite(HIDDEN, lambda m: "")
         low = self.text.lower()
-        if sum(w in DIGITS for w in low.replace(",", " ").replace("-", " ").split()) > 4:
+        self.words = set(low.translate(BREAKS).split())
+        if not NUMERALS.isdisjoint(self.words) and sum(w in DIGITS for w in low.replace(",", " ").replace("-", " ").split()) > 4 or any("-" in w and w.partition("-")[0] in DIGITS for w in self.words):
             self.rewrite(SPELLED, self.digits)
-        if not any(x in low for x in DISGUISED):
+        if "@" not in low and SIGNS.isdisjoint(self.words) or not any(x in low for x in DISGUISED):
             return
         self.rewrite(AT, lambda m: "@")
         self.rewrite(DOT, lambda m: ".")
@@ -132,7 +137,7 @@ _CAP = r"[A-ZÀ-Ý][\w'’-]+"
 TITLED = re.compile(rf"(?<!\w)(?P<v>{_TITLE}\.? (?:[A-Z]\. )?(?:{_CAP}, )?{_CAP}(?: [A-Z]\.)?(?: {_CAP})?)")
 #: Two words that may be a name: both capitalised, or (in lower case) both rare; pairs may share a word.
 PAIR = re.compile(rf"(?<![\w.@/'’-])(?=(?P<a>{_CAP})(?P<s>, | (?:[A-Z]\. )?)(?P<b>{_CAP})(?![\w@/]))")
-LOW_PAIR = r"(?<![\w.@/'’-])(?=(?P<a>{})(?P<s>, | (?:\w\. )?)(?P<b>{})(?![\w@/]))"
+LOW_PAIR = re.compile(rf"(?<![\w.@/'’-])(?=(?P<a>{_W}[\w'’-]+)(?P<s>, | (?:\w\. )?)(?P<b>{_W}[\w'’-]+)(?![\w@/]))")
 # Common words beside which a human's name stands, in both languages. Beside one of them a pair of words may
 # be a name, no more: what the corpus knows of the two words decides.
 ROLES = "landlord landlady boss manager neighbour neighbor doctor dentist lawyer teacher colleague friend sister brother mother father uncle aunt cousin wife husband son daughter partner client patient tenant director editor author nurse assistant captain judge collega fratello sorella madre padre zio zia cugino cugina moglie marito figlio figlia amico amica vicino vicina capo medico dottore dottoressa avvocato maestro maestra professore professoressa cliente paziente inquilino direttore signor signora"
@@ -142,7 +147,6 @@ DOINGS = "said told wrote asked replied phoned promised answered lives works agr
 BEFORE, AFTER = frozenset(f"{ROLES} {MEETINGS} {GREETINGS}".split()), frozenset(DOINGS.split())
 #: What a text must hold, in lower case, for a rule to be run on it.
 NEEDS = {
-    "road": tuple(f" {w}" for w in "street st road rd lane ln terrace row court ct avenue ave drive dr close crescent place pl square sq way walk hill gardens grove mews boulevard blvd parade quay rise view ter".split()),
     "box": ("box", "casella postale", "c.p."),
     "via": tuple(f"{w}{e}" for w in ("via", "viale", "v.le", "piazza", "p.zza", "pzza", "piazzale", "corso", "c.so", "vicolo", "largo", "strada", "lungomare", "contrada", "borgo") for e in (" ", ". ")),
     "call": ("tel", "phone", "mobile", "cell", "whatsapp", "call", "richiama", "chiamare", "numero", "number"),
@@ -159,7 +163,6 @@ AFTER_TITLE = re.compile(rf"^(?:{_TITLE}\b\.? )?")
 GAP_WORD = re.compile(r"(?i)\b(?:at|on|or|is|al|a|o|via|email|e-mail|mail|tel|phone|cell|id)\b|mailto")
 JOINS = (" or ", " and ", " e ", " o ", ", ")
 LABEL = re.compile(r"(?:[^\n]*[|;,] *)?[*_> -]*[^\W\d_]{2,12}(?: ?[:=]| n\.) *")
-BREAKS = {c: " " for c in range(0x250) if not (chr(c).isalpha() or chr(c) in "'-")} | {ord(c): " " for c in "‘“”„…–—•·«»"} | {0x2019: "'"}
 #: A word is common from this share of all words in lower case on, so at most 1 / COMMON words are, and LEAST times.
 COMMON, LEAST = 2e-5, 20
 #: Share of the places of a name, and of other capitalised pairs, that tell a name; share of pairs that are names; most that one word tells.
@@ -176,7 +179,10 @@ def parts(name: str) -> tuple[str, str]:
     return (words[0], words[1]) if len(words) > 1 else ("", words[0] if words else "")
 
 
-def details(t: str) -> list[tuple[int, int, str]]:
+ROADS = frozenset("street st road rd lane ln terrace row court ct avenue ave drive dr close crescent place pl square sq way walk hill gardens grove mews boulevard blvd parade quay rise view ter".split())
+
+
+def details(t: str, words: set[str]) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the details in a plain form that their form or a title tells; in order and disjoint."""
     spans: list[tuple[int, int, str]] = []
 
@@ -205,7 +211,7 @@ def details(t: str) -> list[tuple[int, int, str]]:
             add("identity_number", INSURANCE)
         if (long or six) and has("card"):
             add("identity_number", ID_CUE)
-        if has("road"):
+        if not ROADS.isdisjoint(words):
             add("street_address", STREET)
         if has("box"):
             add("street_address", BOX)
@@ -245,16 +251,12 @@ def told(t: str, a: int, b: int, spans: list[tuple[int, int, str]]) -> bool:
     return bool(after) and t[b : b + 1] in (" ", ",") and last not in PREPOSITIONS and after[0].rstrip(".,:;") in AFTER
 
 
-def candidates(t: str, spans: list[tuple[int, int, str]], common: frozenset | set) -> list[tuple[int, int, str, str, bool, bool]]:
+def candidates(t: str, words: set[str], spans: list[tuple[int, int, str]], common: frozenset | set) -> list[tuple[int, int, str, str, bool, bool]]:
     """(start, end, given, family, told, capital) of the pairs of words that may be a name; common: words usual in lower case."""
     found = [(m, True) for m in PAIR.finditer(t)]
-    rare = {w for w in t.lower().translate(BREAKS).split() if w not in common and len(w) > 2}
+    rare = {w for w in words - common if len(w) > 2 and w in t}
     if len(rare) > 1:
-        low = {w for w in rare if not w.istitle() and w in t}
-        if len(low) > 1:
-            one = "|".join(map(re.escape, sorted(low, key=len, reverse=True)))
-            one = rf"(?<![^\W_])(?:{one})(?![\w'’-])"
-            found += [(m, False) for m in re.finditer(LOW_PAIR.format(one, one), t)]
+        found += [(m, False) for m in LOW_PAIR.finditer(t) if m["a"] in rare and m["b"] in rare]
     out, last = [], -1  # where the last told pair ends
     for m, capital in sorted(found, key=lambda x: x[0].start()):
         a, b = m.start("a"), m.end("b")
@@ -278,8 +280,8 @@ def odds(told: int, n: int) -> float:
 def find(source: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the details in one text, in order and disjoint; what tells names is this text alone."""
     plain = Plain(source)
-    spans = details(plain.text)
-    pairs = candidates(plain.text, spans, frozenset())
+    spans = details(plain.text, plain.words)
+    pairs = candidates(plain.text, plain.words, spans, frozenset())
     known = [(*n, True, True) for a, b, k in spans if k == "person" and all(n := parts(plain.text[a:b]))] + [x[2:] for x in pairs]
     given, family = Counter(), Counter()
     for g, f, tells, capital in known:
@@ -342,10 +344,10 @@ def scanned(df: DataFrame, key: list[str], text: Column | str, with_text: bool)
             spans, pairs, titled = [], [], []
             for t in cols[-1]:
                 plain = Plain(t)
-                found = details(plain.text)
+                found = details(plain.text, plain.words)
                 back = lambda a, b, *rest: (*plain.back(a, b), *rest)
                 spans.append(dicts(("a", "b", "kind"), [back(*x) for x in found]))
-                pairs.append(dicts(("a", "b", "given", "family", "told", "capital"), [back(*x) for x in candidates(plain.text, found, common.value)]))
+                pairs.append(dicts(("a", "b", "given", "family", "told", "capital"), [back(*x) for x in candidates(plain.text, plain.words, found, common.value)]))
                 titled.append(dicts(("given", "family"), {n for a, b, kind in found if kind == "person" and all(n := parts(plain.text[a:b]))}))
             return (*cols[:-1], [t if with_text else None for t in cols[-1]], spans, pairs, titled)
 
