@@ -109,6 +109,28 @@ def test_credentials_are_found():
         assert lines("x = 1\n" + text) == [2], text
 
 
+def test_keys_of_public_issuers_and_letters_alone():
+    """Made-up values in the issuers' forms, without a name beside them."""
+    mixed = "".join(random.Random(5).choices("ABCDEFGHJKLMabcdefghijkm23456789", k=40))
+    for key in (f"AKIA{mixed.upper()[:16]}", f"ghp_{mixed[:36]}", f"glpat-{mixed[:20]}", f"xoxb-1234567890-{mixed[:24]}", f"sk_live_{mixed[:24]}", f"AIza{mixed[:35]}", f"SG.{mixed[:22]}.{mixed}", f"npm_{mixed[:36]}", f"eyJhbGciOiJIUzI1.eyJzdWIiOiIx.{mixed}"):
+        for line in (f"connect({key})", f"# {key}", f'x = "{key}"'):
+            assert lines(f"a\n{line}") == [2], line
+    for text in ('password = "correcthorse"', "pwd: 'Hydrangea'", "IDENTIFIED BY 'correcthorse'", f'x = "{mixed}"', f"retry with zq-{mixed[:24]} now"):
+        assert lines(text) == [1], text
+    for text in (f'sha512 = "{mixed}"', 'passwordLabel = "type it here"', 'password = "${VAULT}"', "x = 'a-long-name-of-some-file-2024-draft'", 'id = "7d444840-9dc0-11d1-b245-5ffdce74fad2"', "import token_bucket_rate_limiter_2"):
+        assert lines(text) == [], text
+
+
+def test_every_rule_requires_trigrams_and_none_loses_a_match():
+    for rule, pattern in secrets.ALL_RULES.items():
+        assert secrets.required(pattern), rule
+    texts = ["-u a:secret99", "x\n\t--user a:b12345c", "q -u me -psecret99", 'a = "abcd1" +\n  "efgh2ij"', "k: >\n", "token: |\n   abc123def", 'a = "abcdefgh1234" \\', f"m\n{'aB3/' * 16}\n{'aB3/' * 16}", f"{'aB3/' * 16}"]
+    got = DETECTOR.index.candidates(texts)
+    for rule, expression in DETECTOR.rules.items():
+        for i, t in enumerate(texts):
+            assert not expression.search(t) or i in got[rule], (rule, t)
+
+
 def test_others_are_not():
     for text in ('api_key = "YOUR_API_KEY"', "password = read_env('X_PASSWORD')", 'export TOKEN="${VAULT}"', "token: TODO", "api_key: ********", "secret = ''", 'tokenLabel = "ticket token for x1"', 'commit = "083252d0c1d24503354a3005e996b080af57c8be"', "panel_checksum=595c64e69e9493a3a13cafccf40b0f3a2dfefe8e", "// -----BEGIN PUBLIC KEY-----", "postgres://u:${DB_PASS}@h.example/db", "x.token = row.token", "def check(token, limit=12):"):
         assert lines(text) == [], text
