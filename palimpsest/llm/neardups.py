@@ -2,9 +2,10 @@
 
 Equal texts are one class, whose row with the least key represents it, and texts are sets of word shingles. Each
 representative gets a sketch of BITS one-bit minhashes and bands of ROWS minhashes each; representatives that share a
-band are candidates. Candidates are compared bit-sliced: the differences of many pairs lie in bit planes (a plane holds
-one sketch position of 64 pairs in a word), carry-save adders count them, and after every few planes the words all of
-whose pairs exceed the radius are abandoned. What stays within the radius is verified on the shingle sets themselves.
+band are candidates. Candidates are compared bit-sliced: a block of sketches is stored once as bit planes (a plane holds
+one sketch position of 64 texts in a word), planes shifted against themselves or against a query give the differences of
+64 pairs in a word, carry-save adders count them, and after every few planes the words all of whose pairs exceed the
+radius are abandoned. What stays within the radius is verified on the shingle sets themselves.
 
 A band that many texts share is split into blocks, and pairs of blocks are compared in tasks of their own, so no band
 is capped. Bands that hold a share of all texts are seen in a sample before the shuffle, so that not even their rows
@@ -90,74 +91,146 @@ def band_keys(mins: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def within(differences: np.ndarray, limit: int) -> np.ndarray:
-    """Of pairs, given the XOR of their sketches as rows of BITS / 8 bytes: is the number of set bits at most limit?"""
-    n = len(differences)
-    padded = np.zeros((-(-n // 64) * 64, BITS // 8), np.uint8)
-    padded[:n] = differences
-    # planes[p]: bit p of all pairs, 64 pairs in a word
-    planes = np.packbits(np.ascontiguousarray(np.unpackbits(padded, axis=1).T), axis=1).view(np.uint64)
-    alive = np.arange(planes.shape[1])
-    counters = np.zeros((BITS.bit_length(), planes.shape[1]), np.uint64)
+def planes_of(sketches: np.ndarray) -> np.ndarray:
+    """Sketches (two words a row) stored vertically: plane p holds bit p of all rows, 64 rows in a word, and a word of padding."""
+    n = len(sketches)
+    bits = np.unpackbits(np.ascontiguousarray(sketches).view(np.uint8).reshape(n, BITS // 8), axis=1)
+    out = np.zeros((BITS, (-(-n // 64) + 1) * 8), np.uint8)
+    packed = np.packbits(bits.T, axis=1, bitorder="little")
+    out[:, : packed.shape[1]] = packed
+    return out.view(np.uint64)
+
+
+def add_up(rows: list[list[np.ndarray]]) -> list[list[np.ndarray]]:
+    """Carry-save: rows[k] are planes of weight 2 ** k; three of one weight become a sum and a carry, until one is left of each."""
+    out, k = [], 0
+    while k < len(rows):
+        now = np.concatenate(rows[k]) if rows[k] else None
+        carries = []
+        while now is not None and len(now) > 1:
+            t = len(now) // 3
+            if t:
+                a, b, c = now[:t], now[t : 2 * t], now[2 * t : 3 * t]
+                half = a ^ b
+                carries.append((a & b) | (c & half))
+                now = np.concatenate([half ^ c, now[3 * t :]])
+            else:
+                carries.append(now[:1] & now[1:])
+                now = now[:1] ^ now[1:]
+        out.append([now] if now is not None else [])
+        if carries:
+            if k + 1 == len(rows):
+                rows = [*rows, []]
+            rows[k + 1] = [*rows[k + 1], *carries]
+        k += 1
+    return out
+
+
+def within(differences, n_words: int, limit: int, wanted: np.ndarray) -> np.ndarray:
+    """Of words of 64 pairs: the pairs whose planes of differences add up to at most limit, among the wanted.
+
+    differences(first, last, words) gives the planes first to last of some words. After every STEP planes the words all of
+    whose wanted pairs exceed the limit are abandoned.
+    """
+    alive = np.flatnonzero(wanted)
+    counters: list[list[np.ndarray]] = []
+    out = np.zeros(n_words, np.uint64)
     for first in range(0, BITS, STEP):
-        for p in range(first, first + STEP, 2):  # carry-save: two planes and the ones make ones and a carry
-            a, b = planes[p, alive], planes[p + 1, alive]
-            ones = counters[0]
-            half = a ^ b
-            carry = (a & b) | (half & ones)
-            counters[0] = half ^ ones
-            for k in range(1, len(counters)):
-                counters[k], carry = counters[k] ^ carry, counters[k] & carry
-        # over: the lanes whose count exceeds the limit, compared bit by bit from the top
+        if not len(alive):
+            return out
+        rows = [list(c) for c in counters] or [[]]
+        rows[0] = [*rows[0], differences(first, first + STEP, alive)]
+        counters = add_up(rows)
         over, equal = np.zeros(len(alive), np.uint64), np.full(len(alive), ~np.uint64(0))
-        for k in reversed(range(len(counters))):
+        for k in reversed(range(max(len(counters), limit.bit_length()))):
+            bit = counters[k][0][0] if k < len(counters) and counters[k] else np.zeros(len(alive), np.uint64)
             if limit >> k & 1:
-                equal &= counters[k]
+                equal &= bit
             else:
-                over |= equal & counters[k]
-                equal &= ~counters[k]
-        left = over != ~np.uint64(0)
-        alive, counters, over = alive[left], counters[:, left], over[left]
-        if not len(alive):
-            break
-    ok = np.zeros(planes.shape[1], np.uint64)
-    ok[alive] = ~over
-    return np.unpackbits(ok.view(np.uint8)).astype(bool)[:n]
-
-
-def compare(a: np.ndarray, b: np.ndarray, sketches: np.ndarray, limit: int) -> np.ndarray:
-    """Which pairs of rows (a, b) of the sketches (two words each) are within the limit."""
-    out = np.zeros(len(a), bool)
-    for i in range(0, len(a), 1 << 18):
-        s = slice(i, i + (1 << 18))
-        out[s] = within((sketches[a[s]] ^ sketches[b[s]]).view(np.uint8).reshape(-1, BITS // 8), limit)
+                over |= equal & bit
+                equal &= ~bit
+        near = wanted[alive] & ~over
+        left = near != 0
+        alive, near, counters = alive[left], near[left], [[c[0][:, left]] if c else [] for c in counters]
+    out[alive] = near
     return out
 
 
-def pairs_by_size(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs (a < b) of rows within consecutive groups of the given sizes."""
+def lanes(words: np.ndarray) -> np.ndarray:
+    """Numbers of the set bits."""
+    return np.flatnonzero(np.unpackbits(words.view(np.uint8), bitorder="little"))
+
+
+def pack(flags: np.ndarray) -> np.ndarray:
+    out = np.zeros(-(-len(flags) // 64) * 8, np.uint8)
+    packed = np.packbits(flags, bitorder="little")
+    out[: len(packed)] = packed
+    return out.view(np.uint64)
+
+
+def close_within(sketches: np.ndarray, sizes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows within consecutive groups of the given sizes that are within the limit.
+
+    The planes are stored once. For every distance d they are shifted by d rows, so that each row meets the d-th after it,
+    64 pairs in a word; groups stand in the order of their size, so only the rows of groups of more than d are looked at.
+    """
     starts = np.cumsum(sizes) - sizes
+    by_size = np.argsort(-sizes, kind="stable")
+    sizes, starts = sizes[by_size], starts[by_size]
+    ends = np.cumsum(sizes)
+    inside = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
+    order = np.repeat(starts, sizes) + inside
+    after = np.repeat(sizes, sizes) - inside - 1  # rows of the group that follow
+    planes = planes_of(sketches[order])
     left, right = [], []
-    for n in np.unique(sizes):
-        i, j = np.triu_indices(int(n), 1)
-        at = starts[sizes == n][:, None]
-        left.append((at + i).ravel())
-        right.append((at + j).ravel())
+    for d in range(1, int(sizes[0])):
+        n = int(ends[np.searchsorted(-sizes, -d) - 1])  # rows in groups of more than d
+        wanted = pack(after[:n] >= d)
+        skip, shift = d // 64, np.uint64(d % 64)
+
+        def differences(first: int, last: int, words: np.ndarray) -> np.ndarray:
+            part = planes[first:last]
+            top = part.shape[1] - 1
+            other = part[:, np.minimum(words + skip, top)] >> shift
+            if shift:
+                other |= part[:, np.minimum(words + skip + 1, top)] << (np.uint64(64) - shift)
+            return other ^ part[:, words]
+
+        i = lanes(within(differences, len(wanted), limit, wanted))
+        left.append(order[i])
+        right.append(order[i + d])
+    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, int), np.zeros(0, int))
+
+
+def close_between(a: np.ndarray, b: np.ndarray, limit: int, rows: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (i, j) of sketches a[i] and b[j] within the limit: every row of a is a query to the planes of b."""
+    planes = planes_of(b)[:, :-1]
+    asked = np.unpackbits(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), BITS // 8), axis=1).T.astype(np.uint64) * ~np.uint64(0)
+    width = planes.shape[1]
+    one = pack(np.ones(len(b), bool))
+    left, right = [], []
+    for first in range(0, len(a), rows):
+        q = asked[:, first : first + rows]
+
+        def differences(low: int, high: int, words: np.ndarray) -> np.ndarray:
+            return planes[low:high, words % width] ^ q[low:high, words // width]
+
+        n = q.shape[1]
+        found = within(differences, n * width, limit, np.tile(one, n))
+        at = lanes(found)
+        left.append(first + at // (64 * width))
+        right.append(at % (64 * width))
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, int), np.zeros(0, int))
 
 
 PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _emit(ids: np.ndarray, i: np.ndarray, j: np.ndarray, sketches: np.ndarray, limit: int):
-    """The close pairs, each once, as a batch."""
+def _emit(ids: np.ndarray, i: np.ndarray, j: np.ndarray):
+    """The pairs of rows as pairs of ids, each once, as a batch."""
     x, y = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
-    if len(x):
-        _, first = np.unique(np.stack([x, y], 1), axis=0, return_index=True)
-        i, j, x, y = i[first], j[first], x[first], y[first]
-        ok = compare(i, j, sketches, limit) & (x != y)
-        x, y = x[ok], y[ok]
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], schema=PAIR)
+    pairs = np.unique(np.stack([x, y], 1)[x != y], axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], schema=PAIR)
 
 
 def sketches(df: DataFrame, min_words: int) -> DataFrame:
@@ -214,8 +287,7 @@ def near_pairs(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD,
 
         def flush(rows: np.ndarray):
             change = np.flatnonzero(np.r_[True, np.diff(rows[:, 0]) != 0])
-            i, j = pairs_by_size(np.diff(np.r_[change, len(rows)]))
-            return _emit(rows[:, 1], i, j, np.ascontiguousarray(rows[:, 2:4]), limit)
+            return _emit(rows[:, 1], *close_within(np.ascontiguousarray(rows[:, 2:4]), np.diff(np.r_[change, len(rows)]), limit))
 
         for batch in batches:
             if batch.num_rows:
@@ -247,11 +319,12 @@ def near_pairs(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD,
         ids, sk = pdf["key"].to_numpy(), np.ascontiguousarray(pdf[["s0", "s1"]].to_numpy())
         own = pdf["mine"].to_numpy()
         if pdf["i"].iat[0] == pdf["j"].iat[0]:
-            i, j = np.triu_indices(len(ids), 1)
+            i, j = close_between(sk, sk, limit)
         else:
             p, q = np.flatnonzero(own == pdf["i"].iat[0]), np.flatnonzero(own == pdf["j"].iat[0])
-            i, j = np.repeat(p, len(q)), np.tile(q, len(p))
-        return _emit(ids, i, j, sk, limit).to_pandas()
+            i, j = close_between(sk[p], sk[q], limit)
+            i, j = p[i], q[j]
+        return _emit(ids, i, j).to_pandas()
 
     far = many.groupBy("band", "i", "j").applyInPandas(block_pairs, "a bigint, b bigint")
     close = cut(few.unionByName(far).distinct())

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import leaks, neardups, neighbours, packing, personal, pieces, provenance, scans, secrets, subjects
+from palimpsest.operators.ranking import position
 from palimpsest.session import cut, spread, table
 
 
@@ -73,22 +74,27 @@ def _conversation_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "chunks").where("file_path is null").select("seq", "document")
 
 
-#: Classes of more copies than this come out as their representative with each copy, not as all pairs of copies.
-COPIES = 64
+#: Rows of classes of copies are paired where their ranks in their classes differ by at most this.
+RANKS = 2
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs, those between copies too; only classes of more than COPIES copies stay linked through their representative."""
+    """Pairs of rows, copies of one text too.
+
+    At every size a copy is paired with its class's first row, and rows of one class or of two linked ones where their
+    ranks (by seq) differ by at most RANKS. So up to three copies of a text come out with all their pairs, of many copies no
+    row comes out with more than a few, and every link between different texts comes out.
+    """
     members, links = neardups.near_pairs(_conversation_chunks(spark, sf_dir), "seq", "document")
-    members = cut(members)
-    members = members.join(members.groupBy("rep").agg(F.count("*").alias("copies")), "rep")
-    small = F.col("copies") <= COPIES
-    a, b = (members.where(small | (F.col("key") == F.col("rep"))).select(F.col("rep").alias(f"rep_{x}"), F.col("key").alias(f"key_{x}")) for x in "ab")
-    between = links.join(a, "rep_a").join(b, "rep_b").select("key_a", "key_b")
-    twice = members.where("copies > 1")
-    within = twice.where(small).select("rep", F.col("key").alias("key_a")).join(twice.where(small).select("rep", F.col("key").alias("key_b")), "rep").select("key_a", "key_b")
-    star = twice.where(~small).select(F.col("rep").alias("key_a"), F.col("key").alias("key_b"))
-    pairs = between.unionByName(within.unionByName(star).where("key_a < key_b"))
+    # Ranks by ranges of (rep, key): one class may hold any share of the rows.
+    ordered = cut(members.repartitionByRange("rep", "key").withColumn("part", F.spark_partition_id()))
+    ranked = cut(position(ordered, ["rep"], ["key"], F.col("part"), "rank").drop("part"))
+    near = ranked.withColumn("other", F.explode(F.sequence(F.greatest(F.col("rank") - RANKS, F.lit(0)), F.col("rank") + RANKS)))
+    right = ranked.select(F.col("rep").alias("rep_b"), F.col("rank").alias("other"), F.col("key").alias("key_b"))
+    between = near.withColumnsRenamed({"rep": "rep_a", "key": "key_a"}).join(links.select("rep_a", "rep_b"), "rep_a").join(right, ["rep_b", "other"]).select("key_a", "key_b")
+    within = near.where("other > rank").select(F.col("rep").alias("rep_b"), "other", F.col("key").alias("key_a")).join(right, ["rep_b", "other"]).select("key_a", "key_b")
+    first = members.where("rep <> key").select(F.col("rep").alias("key_a"), F.col("key").alias("key_b"))
+    pairs = between.unionByName(within).unionByName(first)
     return pairs.select(F.least("key_a", "key_b").alias("seq_a"), F.greatest("key_a", "key_b").alias("seq_b")).distinct()
 
 

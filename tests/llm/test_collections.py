@@ -97,18 +97,38 @@ def test_near_duplicates(spark, monkeypatch):
     assert found() == want
 
 
+def test_many_copies_come_out_in_the_same_form(spark, tmp_path):
+    """100 copies: each with the first, ranks up to RANKS apart with each other; one link to another text."""
+    from palimpsest.llm import queries
+
+    rng = random.Random(8)
+    text = " ".join(rng.choices(WORDS, k=60))
+    rows = [(i, text, None) for i in range(100)] + [(100, text + " more", None), (101, " ".join(rng.choices(WORDS, k=60)), None)] + [(102, "in a file " * 20, "f")] * 2
+    spark.createDataFrame(rows, "seq bigint, document string, file_path string").write.parquet(f"{tmp_path}/chunks.parquet")
+    got = {tuple(r) for r in queries.p5_found(spark, str(tmp_path)).collect()}
+    copies = {(a, b) for a in range(100) for b in range(a + 1, 100) if a == 0 or b - a <= queries.RANKS}
+    assert got == copies | {(k, 100) for k in range(queries.RANKS + 1)}
+
+
 def test_near_duplicates_of_nothing(spark):
     df = spark.createDataFrame([(1, None), (None, "x " * 90)], "seq bigint, document string")
     members, links = neardups.near_pairs(df, "seq", "document")
     assert members.count() == 0 and links.count() == 0
 
 
-def test_bit_sliced_counts():
+def test_bit_sliced_comparison():
     rng = np.random.default_rng(4)
-    for n in (0, 1, 63, 64, 65, 1000):
-        rows = np.packbits((rng.random((n, neardups.BITS)) < rng.random((n, 1))).astype(np.uint8), axis=1)
-        for limit in (0, 17, 42, 127, 128):
-            assert (neardups.within(rows, limit) == (np.bitwise_count(rows).sum(1) <= limit)).all()
+    for n in (1, 2, 63, 64, 65, 300):
+        rows = np.packbits((rng.random((n, neardups.BITS)) < rng.random((n, 1))).astype(np.uint8), axis=1).view(np.int64)
+        far = np.bitwise_count((rows[:, None] ^ rows[None]).view(np.uint64)).sum(2)
+        for limit in (0, 17, 42, 64, 127, 128):
+            i, j = neardups.close_between(rows, rows, limit)
+            assert sorted(zip(i, j)) == sorted(zip(*np.nonzero(far <= limit)))
+            sizes = rng.multinomial(n, rng.dirichlet(np.ones(max(1, n // 7))))
+            sizes = sizes[sizes > 0]
+            group = np.repeat(np.arange(len(sizes)), sizes)
+            i, j = neardups.close_within(rows, sizes, limit)
+            assert sorted(zip(i, j)) == sorted(zip(*np.nonzero((far <= limit) & (group[:, None] == group[None]) & np.triu(np.ones((n, n), bool), 1))))
 
 
 # Provenance
