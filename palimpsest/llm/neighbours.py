@@ -1,16 +1,18 @@
 """Problem 4: the k most similar vectors of every vector.
 
-Vectors are normalised and assigned to the nearest of some centroids, fitted on a bounded sample. What is left after
+Vectors are normalised and assigned to the nearest of some centroids, fitted on a bounded sample; cells hold about CELL
+vectors, more only where their number would exceed SPREAD times the square root of the vectors'. What is left after
 taking away the centroid is normalised and rotated at random; its signs are the code, one bit a dimension, and its inner
 product with the code's vector is the correction scalar. A query is rotated likewise and its residual quantised to QBITS
 bits, whose planes meet the packed codes with AND and popcount. That estimates the inner product; for given data the
-error of the estimate is bounded by EPSILON standard deviations. A query first looks into its nearest cell and reranks,
-exactly, the vectors whose upper bound reaches the k-th best lower bound. In all further cells it reranks only vectors
-whose upper bound reaches the k-th best similarity that it has found by then.
+error of the estimate is bounded by EPSILON standard deviations. Reranked, exactly, are the vectors whose upper bound
+reaches the query's k-th best lower bound, or its k-th best similarity so far.
 
-A query looks into the PROBES nearest cells. Cells of more than BLOCK vectors, and the queries of a cell, are split into
-blocks, and each pair of blocks meets in a group of its own, so no task holds more, however many vectors or queries one
-cell has; the k best of all groups are merged at the end.
+A query looks into its nearest cells, at least PROBES (ASKED, if only some rows are queries) and as many as TUNE held-out
+queries, compared with all vectors, need to find RECALL of their true neighbours. If all rows are queries, what a query
+finds counts for both: also reranked are vectors among whose own k best the query may be. Neighbouring cells are one
+group, so a query is sent once to a group. Groups of more than BLOCK vectors, and their queries, are split into blocks,
+and each pair of blocks meets in a task of its own; the k best of all are merged at the end.
 
 Defined results: vectors that are null, of another length than `dims`, all zero, or hold null, NaN or infinity are not
 usable and have no row; equal similarities are ordered by key; of repeated keys one row counts; with fewer than k
@@ -26,7 +28,9 @@ from pyspark.sql import functions as F
 
 from palimpsest.session import cut, spread
 
-K, DIMS, PROBES, CELL, MAX_CELLS, BLOCK, SAMPLE = 5, 64, 32, 1024, 4096, 4096, 20_000
+K, DIMS, PROBES, ASKED, CELL, SPREAD, GROUP, BLOCK = 5, 64, 12, 32, 256, 4, 4096, 8192
+#: Bounds of the sample for the centroids, at least and for each cell; held-out queries, and the share of neighbours that they must find.
+SAMPLE, SAMPLE_OF_CELL, TUNE, RECALL = 20_000, 16, 256, 0.98
 QBITS, EPSILON = 4, 2.2
 
 
@@ -106,92 +110,187 @@ class Codes:
         return upper, error
 
 
-def best(query: np.ndarray, query_keys: np.ndarray, x: np.ndarray, keys: np.ndarray, centre: np.ndarray, turn: np.ndarray, k: int, floors: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, key, similarity) of the k best of the cell for each query, after reranking; of those, with floors, that may reach them."""
+class Best:
+    """The k best (key, similarity) of each row so far."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.keys, self.sims = k, np.zeros((n, k), np.int64), np.full((n, k), -9.0)
+
+    @property
+    def floor(self) -> np.ndarray:
+        return self.sims[:, -1]
+
+    def add(self, rows: np.ndarray, keys: np.ndarray, sims: np.ndarray) -> None:
+        if not len(rows):
+            return
+        touched = np.unique(rows)
+        r = np.concatenate([np.repeat(touched, self.k), rows])
+        keys, sims = np.concatenate([self.keys[touched].ravel(), keys]), np.concatenate([self.sims[touched].ravel(), sims])
+        order = np.lexsort((keys, -sims, r))
+        r, keys, sims = r[order], keys[order], sims[order]
+        at = np.arange(len(r)) - np.searchsorted(r, r)
+        keep = at < self.k
+        self.keys[r[keep], at[keep]], self.sims[r[keep], at[keep]] = keys[keep], sims[keep]
+
+    def rows(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        r, c = np.nonzero(self.sims > -9)
+        return own[r], self.keys[r, c], self.sims[r, c]
+
+
+def kth(lower: np.ndarray, k: int, axis: int) -> np.ndarray:
+    if lower.shape[axis] < k:
+        return np.full(lower.shape[1 - axis], -9.0)
+    return np.take(np.partition(lower, -k, axis=axis), -k, axis=axis)
+
+
+def search_cell(query: np.ndarray, query_keys: np.ndarray, at: np.ndarray, found: Best, x: np.ndarray, keys: np.ndarray, centre: np.ndarray, turn: np.ndarray, back: Best | None, back_at: np.ndarray) -> None:
+    """Add to found (in rows at) the cell's vectors that may be among the queries' best, and to back the queries, seen from the vectors."""
     codes = Codes(x, centre, turn)
-    rows, cols = [], []
-    for i in range(0, len(query), 256):
-        upper, error = codes.bounds(query[i : i + 256], centre, turn)
-        same = query_keys[i : i + 256, None] == keys[None, :]
-        if floors is not None:
-            floor = floors[i : i + 256, None] - 1e-6
-        elif len(keys) > k:
-            lower = np.where(same, -9, upper - error)
-            floor = np.partition(lower, -k, axis=1)[:, -k, None]
-        else:
-            floor = np.full((len(upper), 1), -9.0)
-        r, c = np.nonzero((upper >= floor) & ~same)
-        rows.append(r + i)
-        cols.append(c)
-    r, c = np.concatenate(rows), np.concatenate(cols)
-    sims = np.concatenate([np.einsum("ij,ij->i", query[r[i : i + 65536]], x[c[i : i + 65536]]) for i in range(0, len(r), 65536)] or [np.zeros(0)])
-    if floors is not None:
-        keep = sims >= floors[r] - 1e-6
-        r, c, sims = r[keep], c[keep], sims[keep]
-    order = np.lexsort((keys[c], -sims, r))
-    r, c, sims = r[order], c[order], sims[order]
-    first = np.searchsorted(r, np.arange(len(query)))
-    keep = np.arange(len(r)) - first[r] < k
-    return r[keep], keys[c[keep]], sims[keep]
+    k = found.k
+    for i in range(0, len(query), 512):
+        q, own = query[i : i + 512], at[i : i + 512]
+        upper, twice = codes.bounds(q, centre, turn)
+        same = query_keys[i : i + 512, None] == keys[None, :]
+        lower = upper - twice
+        lower[same] = -9
+        may = upper >= np.maximum(kth(lower, k, 1), found.floor[own] - 1e-6)[:, None]
+        if back is not None:
+            may |= upper >= np.maximum(kth(lower, k, 0), back.floor[back_at] - 1e-6)[None, :]
+        r, c = np.nonzero(may & ~same)
+        sims = np.concatenate([np.einsum("ij,ij->i", q[r[j : j + 65536]], x[c[j : j + 65536]]) for j in range(0, len(r), 65536)] or [np.zeros(0)])
+        near = sims >= found.floor[own][r] - 1e-6
+        found.add(own[r[near]], keys[c[near]], sims[near])
+        if back is not None:
+            near = sims >= back.floor[back_at][c] - 1e-6
+            back.add(back_at[c[near]], query_keys[i : i + 512][r[near]], sims[near])
 
 
 def matrix(column: pd.Series) -> np.ndarray:
     return unit(np.frombuffer(b"".join(column), np.float32).reshape(len(column), -1).astype(np.float64))
 
 
-def neighbours(df: DataFrame, key: str = "seq", vector: str = "embedding", k: int = K, dims: int = DIMS, probes: int = PROBES, queries: DataFrame | None = None) -> DataFrame:
-    """key, neighbour, similarity, rank: the k most similar others of each query (by default of each row)."""
-    sc = df.sparkSession.sparkContext
-    pick = lambda x: spread(x.where(F.col(key).isNotNull() & usable(vector, dims)).select(F.col(key).cast("bigint").alias("key"), F.col(vector).cast("array<double>").alias("v"))).dropDuplicates(["key"])
+def probes_needed(clean: DataFrame, sample: pd.DataFrame, cells: np.ndarray, k: int, both: bool, dims: int) -> int:
+    """How many cells the first TUNE rows of the sample must look into to find RECALL of their k best among all rows."""
+    held = matrix(sample["v"][:TUNE])
+    ids = sample["key"].to_numpy()[:TUNE]
+    asked = clean.sparkSession.sparkContext.broadcast((held.astype(np.float32), ids))
+
+    def look(pdfs):
+        q, own = asked.value
+        best = Best(len(q), k)
+        vectors: dict[int, bytes] = {}
+        for pdf in pdfs:
+            if len(pdf):
+                keys = pdf["key"].to_numpy()
+                sims = q @ matrix(pdf["v"]).astype(np.float32).T
+                sims[own[:, None] == keys[None, :]] = -9
+                r, c = np.nonzero(sims >= np.maximum(kth(sims, min(k, sims.shape[1]), 1), best.floor)[:, None])
+                best.add(r, keys[c], sims[r, c].astype(np.float64))
+                vectors |= dict(zip(keys[c].tolist(), pdf["v"].to_numpy()[c]))
+        r, c = np.nonzero(best.sims > -9)
+        keys = best.keys[r, c]
+        yield pd.DataFrame({"row": r.astype(np.int32), "key": keys, "similarity": best.sims[r, c], "v": [vectors[x] for x in keys.tolist()]})
+
+    near = clean.mapInPandas(look, "row int, key bigint, similarity double, v binary")
+    order = Window.partitionBy("row").orderBy(F.desc("similarity"), "key")
+    got = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("row", "v").toPandas()  # at most TUNE * k rows
+    if not len(got):
+        return 1
+    row, v = got["row"].to_numpy(), matrix(got["v"])
+    place = lambda sims, of: (sims > sims[np.arange(len(of)), of][:, None]).sum(1)
+    mine, theirs = held[row] @ cells.T, v @ cells.T
+    at = place(mine, theirs.argmax(1))
+    at = np.minimum(at, place(theirs, mine.argmax(1))) if both else at
+    return int(np.sort(at)[min(len(at) - 1, int(np.ceil(RECALL * len(at))) - 1)]) + 1
+
+
+def neighbours(df: DataFrame, key: str = "seq", vector: str = "embedding", k: int = K, dims: int = DIMS, probes: int | None = None, queries: DataFrame | None = None) -> DataFrame:
+    """key, neighbour, similarity, rank: the k most similar others of each query (by default of each row). probes: cells to look into, None: as needed."""
+    spark = df.sparkSession
+
+    def floats(pdfs):
+        for pdf in pdfs:
+            yield pd.DataFrame({"key": pdf["key"], "v": [r.astype(np.float32).tobytes() for r in pdf["v"]]})
+
+    def pick(x: DataFrame) -> DataFrame:
+        rows = spread(x.where(F.col(key).isNotNull() & usable(vector, dims)).select(F.col(key).cast("bigint").alias("key"), F.col(vector).cast("array<double>").alias("v")))
+        return cut(rows.mapInPandas(floats, "key bigint, v binary").dropDuplicates(["key"]))
+
     clean = pick(df)
-    sample = clean.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select("v").toPandas()
     n = clean.count()
-    cells = int(min(MAX_CELLS, max(1, n // CELL), max(1, len(sample) // 4)))
-    turn = rotation(dims)
+    schema = "key bigint, neighbour bigint, similarity double, rank int"
     if not n:
-        return df.sparkSession.createDataFrame([], "key bigint, neighbour bigint, similarity double, rank int")
-    x = unit(np.stack(sample["v"].to_numpy()))
-    shared = sc.broadcast(centroids(x, cells))
+        return spark.createDataFrame([], schema)
+    cells = max(1, min(n // CELL, int(SPREAD * n**0.5)))
+    sample = clean.orderBy(F.xxhash64("key"), "key").limit(max(SAMPLE, SAMPLE_OF_CELL * cells)).toPandas()
+    centres = centroids(matrix(sample["v"]), max(1, min(cells, len(sample) // 4)))
+    groups = centroids(centres, max(1, min(len(centres), n // GROUP)))
+    turn = rotation(dims)
+    both = queries is None
+    if probes is None:
+        least = PROBES if both else ASKED
+        probes = least if len(centres) <= least else max(least, probes_needed(clean, sample, centres, k, both, dims))
+    shared = spark.sparkContext.broadcast((centres, centres.astype(np.float32), (centres @ groups.T).argmax(1).astype(np.int32)))
+
+    def data(pdfs):
+        _, c, group = shared.value
+        for pdf in pdfs:
+            if len(pdf):
+                cell = (matrix(pdf["v"]).astype(np.float32) @ c.T).argmax(1).astype(np.int32)
+                yield pd.DataFrame({"grp": group[cell], "cell": cell, "key": pdf["key"].to_numpy(), "v": pdf["v"]})
 
-    def place(pdfs):
+    def asked(pdfs):
+        """A row for each query and group that holds some of its cells, with these cells."""
+        _, c, group = shared.value
+        most = min(probes, len(c))
         for pdf in pdfs:
             if len(pdf):
-                v = unit(np.stack(pdf["v"].to_numpy()))
-                near = v @ shared.value.T
-                top = np.argsort(-near, axis=1, kind="stable")[:, :probes].astype(np.int32)
-                yield pd.DataFrame({"key": pdf["key"].to_numpy(), "v": [r.astype(np.float32).tobytes() for r in pdf["v"]], "cells": list(top)})
-
-    schema = "key bigint, v binary, cells array<int>"
-    placed = cut(clean.mapInPandas(place, schema))
-    asked = placed
-    if queries is not None:
-        asked = cut(pick(queries).mapInPandas(place, schema))
-    data = placed.select("key", "v", F.element_at("cells", 1).alias("cell"))
-    blocks = F.broadcast(data.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))  # at most MAX_CELLS rows
-    data = data.join(blocks, "cell")
-
-    def meet(group, left, right):
-        found = [[], [], []]
+                sims = matrix(pdf["v"]).astype(np.float32) @ c.T
+                top = np.argpartition(-sims, most - 1, axis=1)[:, :most]
+                rows, of = np.repeat(np.arange(len(pdf)), most), top.ravel()
+                order = np.lexsort((of, group[of], rows))
+                rows, of = rows[order], of[order]
+                first = np.flatnonzero(np.r_[True, (np.diff(rows) != 0) | (np.diff(group[of]) != 0)])
+                parts = np.split(of.astype(np.int32), first[1:])
+                yield pd.DataFrame({"grp": group[of[first]], "cells": parts, "key": pdf["key"].to_numpy()[rows[first]], "v": pdf["v"].to_numpy()[rows[first]]})
+
+    there = cut(clean.mapInPandas(data, "grp int, cell int, key bigint, v binary"))
+    here = (clean if both else pick(queries)).mapInPandas(asked, "grp int, cells array<int>, key bigint, v binary")
+    # Numbers of blocks by group: at most n / GROUP rows.
+    sizes = there.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    if both:  # a group's queries are at most all rows of the groups around it; as many blocks as its own rows need do
+        sizes = sizes.withColumn("q_blocks", F.col("blocks"))
+    else:
+        here = cut(here)
+        sizes = sizes.join(here.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("q_blocks")), "grp")
+    sizes = cut(sizes)
+    block = lambda c: F.pmod(F.xxhash64("key"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    there = there.join(sizes, "grp").select("grp", block("blocks").alias("block"), every("q_blocks").alias("q_block"), "cell", "key", "v")
+    here = here.join(sizes, "grp").select("grp", every("blocks").alias("block"), block("q_blocks").alias("q_block"), *(F.col(c).alias(c) for c in ("cells", "key", "v")))
+
+    def meet(left, right):
+        out = []
         if len(left) and len(right):
-            qk, q, keys, x = left["key"].to_numpy(), matrix(left["v"]), right["key"].to_numpy(), matrix(right["v"])
-            floors = left["floor"].to_numpy() if left["floor"].notna().all() else None
-            r, near, sims = best(q, qk, x, keys, shared.value[group[0]], turn, k, floors)
-            found = qk[r], near, sims
-        return pd.DataFrame({"key": np.array(found[0], np.int64), "neighbour": np.array(found[1], np.int64), "similarity": np.array(found[2], np.float64)})
-
-    def search(asked: DataFrame) -> DataFrame:
-        """asked: cell, key, v, floor."""
-        q_blocks = F.broadcast(asked.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("q_blocks")))
-        block = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        there = data.join(q_blocks, "cell").select("cell", block("blocks").alias("block"), every("q_blocks").alias("q_block"), "key", "v")
-        here = asked.join(blocks, "cell").join(q_blocks, "cell").select("cell", every("blocks").alias("block"), block("q_blocks").alias("q_block"), *(F.col(c).alias(c) for c in ("key", "v", "floor")))
-        group = ["cell", "block", "q_block"]
-        return here.groupBy(*group).cogroup(there.groupBy(*group)).applyInPandas(meet, "key bigint, neighbour bigint, similarity double")
-
+            centre = shared.value[0]
+            q, q_keys, x, keys = matrix(left["v"]), left["key"].to_numpy(), matrix(right["v"]), right["key"].to_numpy()
+            order = np.argsort(right["cell"].to_numpy(), kind="stable")
+            cell = right["cell"].to_numpy()[order]
+            lists = left["cells"].to_numpy()
+            rows, of = np.repeat(np.arange(len(left)), [len(c) for c in lists]), np.concatenate(lists)
+            by_cell = np.argsort(of, kind="stable")
+            rows, of = rows[by_cell], of[by_cell]
+            found, back = Best(len(q), k), Best(len(x), k) if both else None
+            for c in np.unique(cell):
+                mine, theirs = order[np.searchsorted(cell, c) : np.searchsorted(cell, c, "right")], rows[np.searchsorted(of, c) : np.searchsorted(of, c, "right")]
+                if len(theirs):
+                    search_cell(q[theirs], q_keys[theirs], theirs, found, x[mine], keys[mine], centre[c], turn, back, mine)
+            out = [found.rows(q_keys)] + ([back.rows(keys)] if both else [])
+        cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pd.DataFrame({"key": cols[0], "neighbour": cols[1], "similarity": cols[2]})
+
+    by = ["grp", "block", "q_block"]
+    met = here.groupBy(*by).cogroup(there.groupBy(*by)).applyInPandas(meet, "key bigint, neighbour bigint, similarity double")
+    met = met.repartition("key").groupBy("key", "neighbour").agg(F.max("similarity").alias("similarity"))
     ranked = Window.partitionBy("key").orderBy(F.desc("similarity"), "neighbour")
-    top = lambda df: df.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
-    near = cut(top(search(asked.select("key", "v", F.element_at("cells", 1).alias("cell"), F.lit(None).cast("double").alias("floor")))).drop("rank"))
-    floors = near.groupBy("key").agg(F.when(F.count("*") >= k, F.min("similarity")).otherwise(-2.0).alias("floor"))
-    further = asked.join(floors, "key", "left").select("key", "v", F.explode(F.slice("cells", 2, probes)).alias("cell"), F.coalesce("floor", F.lit(-2.0)).alias("floor"))
-    return top(near.unionByName(search(further)))
+    return met.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
