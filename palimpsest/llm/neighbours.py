@@ -32,6 +32,8 @@ K, DIMS, PROBES, ASKED, CELL, SPREAD, GROUP, BLOCK = 5, 64, 12, 32, 256, 4, 4096
 #: Bounds of the sample for the centroids, at least and for each cell; held-out queries, and the share of neighbours that they must find.
 SAMPLE, SAMPLE_OF_CELL, TUNE, RECALL = 20_000, 16, 256, 0.98
 QBITS, EPSILON = 4, 2.2
+#: From one in so many pairs on, a matrix product is less work than the pairs one by one.
+DENSE = 24
 
 
 def usable(column: str, dims: int):
@@ -156,12 +158,23 @@ def search_cell(query: np.ndarray, query_keys: np.ndarray, at: np.ndarray, found
         may = upper >= np.maximum(kth(lower, k, 1), found.floor[own] - 1e-6)[:, None]
         if back is not None:
             may |= upper >= np.maximum(kth(lower, k, 0), back.floor[back_at] - 1e-6)[None, :]
-        r, c = np.nonzero(may & ~same)
-        sims = np.concatenate([np.einsum("ij,ij->i", q[r[j : j + 65536]], x[c[j : j + 65536]]) for j in range(0, len(r), 65536)] or [np.zeros(0)])
-        near = sims >= found.floor[own][r] - 1e-6
+        may &= ~same
+        exact = lower  # its place is used again
+        exact.fill(-9)
+        rows, cols = np.flatnonzero(may.any(1)), np.flatnonzero(may.any(0))
+        # Exact products: of the pairs alone if they are few, else of the rows and columns that hold them, in one matrix product.
+        r, c = np.nonzero(may)
+        if len(r) * DENSE < len(rows) * len(cols):
+            sims = np.einsum("ij,ij->i", q[r], x[c])
+        else:
+            block = np.zeros_like(exact)
+            block[np.ix_(rows, cols)] = q[rows] @ x[cols].T
+            sims = block[r, c]
+        exact[r, c] = sims
+        near = sims >= np.maximum(kth(exact, k, 1), found.floor[own])[r]
         found.add(own[r[near]], keys[c[near]], sims[near])
         if back is not None:
-            near = sims >= back.floor[back_at][c] - 1e-6
+            near = sims >= np.maximum(kth(exact, k, 0), back.floor[back_at])[c]
             back.add(back_at[c[near]], query_keys[i : i + 512][r[near]], sims[near])
 
 
@@ -248,7 +261,7 @@ def neighbours(df: DataFrame, key: str = "seq", vector: str = "embedding", k: in
                 sims = matrix(pdf["v"]).astype(np.float32) @ c.T
                 top = np.argpartition(-sims, most - 1, axis=1)[:, :most]
                 rows, of = np.repeat(np.arange(len(pdf)), most), top.ravel()
-                order = np.lexsort((of, group[of], rows))
+                order = np.lexsort((-sims[rows, of], group[of], rows))  # the nearest of a group first
                 rows, of = rows[order], of[order]
                 first = np.flatnonzero(np.r_[True, (np.diff(rows) != 0) | (np.diff(group[of]) != 0)])
                 parts = np.split(of.astype(np.int32), first[1:])
@@ -277,14 +290,18 @@ def neighbours(df: DataFrame, key: str = "seq", vector: str = "embedding", k: in
             order = np.argsort(right["cell"].to_numpy(), kind="stable")
             cell = right["cell"].to_numpy()[order]
             lists = left["cells"].to_numpy()
-            rows, of = np.repeat(np.arange(len(left)), [len(c) for c in lists]), np.concatenate(lists)
-            by_cell = np.argsort(of, kind="stable")
-            rows, of = rows[by_cell], of[by_cell]
+            lengths = np.array([len(c) for c in lists])
+            rows, of = np.repeat(np.arange(len(left)), lengths), np.concatenate(lists)
+            first = np.zeros(len(of), bool)
+            first[np.cumsum(lengths) - lengths] = True
             found, back = Best(len(q), k), Best(len(x), k) if both else None
-            for c in np.unique(cell):
-                mine, theirs = order[np.searchsorted(cell, c) : np.searchsorted(cell, c, "right")], rows[np.searchsorted(of, c) : np.searchsorted(of, c, "right")]
-                if len(theirs):
-                    search_cell(q[theirs], q_keys[theirs], theirs, found, x[mine], keys[mine], centre[c], turn, back, mine)
+            for part in (first, ~first):  # first each query's nearest cell, so that little of the others is reranked
+                by_cell = np.flatnonzero(part)[np.argsort(of[part], kind="stable")]
+                r, at = rows[by_cell], of[by_cell]
+                for c in np.unique(cell):
+                    mine, theirs = order[np.searchsorted(cell, c) : np.searchsorted(cell, c, "right")], r[np.searchsorted(at, c) : np.searchsorted(at, c, "right")]
+                    if len(theirs):
+                        search_cell(q[theirs], q_keys[theirs], theirs, found, x[mine], keys[mine], centre[c], turn, back, mine)
             out = [found.rows(q_keys)] + ([back.rows(keys)] if both else [])
         cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pd.DataFrame({"key": cols[0], "neighbour": cols[1], "similarity": cols[2]})
