@@ -1,7 +1,9 @@
 """Problem 6: cut oversized texts into pieces under a limit, at natural boundaries, with overlap.
 
-Balanced targets: the fewest pieces that can hold the text give equal-length targets; each target is snapped to the
-strongest boundary near it, and what is left is balanced anew, which adds a piece when a limit would fail.
+Balanced targets: the fewest pieces that can hold the text give equal-length targets, all placed first. Each is snapped
+to the strongest boundary near it, else to the nearest from where the other pieces still suffice; only if there is none,
+one more piece is planned and all targets are placed anew. Texts with a run without white space that leaves no room for
+the overlap are cut step by step, balancing what is left after each piece.
 
 Defined results: null, empty and short texts give one piece (null gives none); limits and offsets count code points;
 repeated rows give repeated pieces; columns beyond key and text are ignored.
@@ -10,6 +12,7 @@ repeated rows give repeated pieces; columns beyond key and text are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +20,8 @@ from pyspark.sql import functions as F
 from palimpsest.functions.batches import map_lists
 
 LIMIT, OVERLAP = 800, 80
+#: A boundary is near a target within this share of the limit.
+NEAR = 0.1
 #: A boundary is white space; what stands before it gives its strength.
 SPACE = re.compile(r"\s+")
 
@@ -30,6 +35,44 @@ def strength(text: str, a: int, b: int) -> int:
     return 3 if before in ".!?…" else 2 if before in ",;:" else 1
 
 
+def balanced(text: str, limit: int, overlap: int) -> list[int] | None:
+    """Ends of all pieces but the last, with whole overlaps; None if a run of text leaves no room for the overlap."""
+    n, reach, near = len(text), limit - overlap, max(1, int(limit * NEAR))
+    spaces = [m.span() for m in SPACE.finditer(text)]
+    edges = [0, *(x for s in spaces for x in s), n]
+    if any(b - a > reach for a, b in zip(edges[::2], edges[1::2])):
+        return None
+    after = [b for _, b in spaces]
+    strong = [strength(text, a, b) for a, b in spaces]
+
+    def snap(low: int, high: int, target: float) -> int | None:
+        """The place in low..high, or else None: the strongest near the target, or the nearest."""
+        best = None
+        k = bisect_left(after, low)
+        while k < len(spaces) and spaces[k][0] < high:
+            at = min(after[k], high)
+            far = abs(at - target)
+            best = max(best or (-1, 0, 0), (strong[k] if far <= near else 0, -far, at))
+            k += 1
+        return best[2] if best else None
+
+    pieces = max(1, -(-(n - overlap) // reach))
+    while True:
+        length = (n + (pieces - 1) * overlap) / pieces
+        ends, last = [], overlap
+        for i in range(1, pieces):
+            end = snap(max(last + 1, n - (pieces - i) * reach), min(last + reach, n - 1), length + (i - 1) * (length - overlap))
+            if end is None:
+                break
+            ends.append(end)
+            last = end
+        if len(ends) == pieces - 1 and n - last <= reach:
+            return ends
+        pieces += 1
+        if pieces > n:
+            return None
+
+
 def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, bool]]:
     """(start, end, forced) of each piece; forced: its start is inside a run without white space.
 
@@ -39,6 +82,9 @@ def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[in
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be smaller than the limit")
     n, start, cut, forced, out = len(text), 0, 0, False, []
+    ends = balanced(text, limit, overlap) if n > limit else None
+    if ends is not None:
+        return [(max(0, a - overlap), b, False) for a, b in zip([0, *ends], [*ends, n])]
     while cut < n and n - start > limit:
         rest = n - start
         pieces = -(-(rest - overlap) // (limit - overlap))

@@ -33,6 +33,21 @@ def test_cuts_prefer_strong_boundaries():
         pieces.cuts("x", 10, 10)
 
 
+def test_pieces_are_few_and_balanced():
+    rng, more, ratios = random.Random(11), 0, []
+    for _ in range(300):
+        text = "\n\n".join(" ".join("x" * rng.randint(1, 11) + rng.choice(["", "", "", ".", ","]) for _ in range(rng.randint(5, 90))) for _ in range(rng.randint(2, 12)))
+        if len(text) > pieces.LIMIT:
+            got = pieces.cuts(text)
+            least = -(-(len(text) - pieces.OVERLAP) // (pieces.LIMIT - pieces.OVERLAP))
+            more += len(got) - least
+            sizes = [b - a for a, b, _ in got]
+            assert max(sizes) <= pieces.LIMIT and all(b - c == pieces.OVERLAP for (_, b, _), (c, _, _) in zip(got, got[1:]))
+            assert len(got) - least <= 1
+            ratios.append(min(sizes) / max(sizes))
+    assert more <= 0.06 * len(ratios) and sum(ratios) / len(ratios) > 0.8 and min(ratios) > 0.55, (more, sum(ratios) / len(ratios), min(ratios))
+
+
 def test_piece_rows(spark):
     df = spark.createDataFrame([(1, None, "p"), (2, "", "p"), (3, "short", "p"), (3, "short", "p"), (4, "w " * 3000, "p"), (5, "x" * 2000, "p")], "k bigint, text string, piece string")
     got = pieces.pieces(df, ["k"]).collect()
