@@ -123,6 +123,15 @@ def p7_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return provenance.provenance(table(spark, sf_dir, "source_files"))
 
 
+def p7_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored chunks made from files, each with the kinds of its file; kinds is empty for hand-written ones."""
+    files = table(spark, sf_dir, "source_files")
+    kinds = provenance.provenance(files).groupBy("file_id").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
+    paths = files.select("file_id", F.concat(F.lit("file://"), "path").alias("source_url")).distinct().join(kinds, "file_id")
+    chunks = table(spark, sf_dir, "chunks").where("file_path is not null").select("seq", "source_url").distinct()
+    return chunks.join(paths, "source_url", "left").select("seq", F.array_join(F.coalesce("kinds", F.array()), ", ").alias("kinds"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = packing.assign(spread(table(spark, sf_dir, "documents")))
     return placed.groupBy("doc_id").agg(F.min("container_id").alias("first"), F.max("container_id").alias("last")).where("first < last").select("doc_id")
