@@ -5,15 +5,18 @@ passages apart) and whose postings carry the exact contribution of a term to an
 that keep the maximum per term (block-max). Every window of `SPAN` words of every document is a query:
 windows whose sum of term maxima stays under every item's threshold are skipped, then blocks, then items (WAND on
 whole texts, in vectors). An item's threshold is the least score that any of its own windows of `SPAN` words has as a
-query, so no shared window can be missed. What is left is verified word by word, and the answer is looked for near it.
+query, so no shared window can be missed. What is left is verified word by word, and the answer is looked for among the
+words of the quoted stretch and NEAR words before and after it.
 
 Defined results: null texts and passages give nothing, nor do passages under SPAN words; repeated rows repeat; a null
-answer gives a null answer_found. The item set is collected to the driver; it must have at most MAX_ITEMS rows.
+answer gives a null answer_found. Items are indexed and broadcast in parts of about MAX_ITEMS, and the documents are
+searched with each part.
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -21,7 +24,9 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.batches import map_lists
 
-SPAN, BLOCK, MAX_ITEMS = 12, 16, 20_000
+SPAN, BLOCK, MAX_ITEMS, NEAR = 12, 16, 20_000, 50
+#: Windows that are scored at a time, so a matrix has so many rows and a column for each item of a part at most.
+SCORED = 256
 K1, B = 1.2, 0.75
 WORD = re.compile(r"[^\W_]+")
 
@@ -118,7 +123,8 @@ class Index:
             return []
         out = []
         # Runs of windows that are left, each scored by blocks and then by items.
-        for run in np.split(known, np.flatnonzero(np.diff(known) > 1) + 1):
+        runs = (run[i : i + SCORED] for run in np.split(known, np.flatnonzero(np.diff(known) > 1) + 1) for i in range(0, len(run), SCORED))
+        for run in runs:
             part = ids[run[0] : run[-1] + self.span - 1]
             at, dense = self.blocks.dense(part)
             blocks = at[(self.sums(dense) >= self.block_least[at]).any(0)]
@@ -130,7 +136,7 @@ class Index:
         return out
 
     def search(self, text: str) -> list[tuple[int, int, bool | None]]:
-        """(item, longest shared run of words, whether the answer stands in the text) of each item that the text quotes."""
+        """(item, longest shared run of words, whether the answer stands near it) of each item that the text quotes."""
         w = words(text)
         found = self.retrieve(self.terms(w))
         got: dict[int, set[int]] = {}
@@ -144,26 +150,30 @@ class Index:
                 run = run + 1 if a - 1 in at else 1
                 longest = max(longest, run)
             answer = words(self.answers[k])
-            near = f" {' '.join(w)} "
+            near = f" {' '.join(w[max(0, min(at) - NEAR) : max(at) + self.span + NEAR])} "
             out.append((self.ids[k], longest + self.span - 1, f" {' '.join(answer)} " in near if answer else None))
         return out
 
 
 def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", passage: str = "passage", answer: str = "answer", span: int = SPAN) -> DataFrame:
     """key, item_key, shared_words, answer_found: one row per document and item of which it has `span` consecutive words."""
-    rows = [tuple(r) for r in items.select(item_key, passage, answer).limit(MAX_ITEMS + 1).collect()]
-    if len(rows) > MAX_ITEMS:
-        raise ValueError(f"more than {MAX_ITEMS} items: search them in several calls")
-    index = docs.sparkSession.sparkContext.broadcast(Index(rows, span))
+    items = items.select(item_key, passage, answer)
+    parts = -(-max(1, items.count()) // MAX_ITEMS)
+    kind = dict(docs.dtypes)[key]
 
-    def make():
-        ix = index.value
+    def searched(part: DataFrame) -> DataFrame:
+        index = docs.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in part.collect()], span))
 
-        def run(keys, texts):
-            out = [(k, *hit) for k, t in zip(keys, texts) if t for hit in ix.search(t)]
-            return list(zip(*out)) or [(), (), (), ()]
+        def make():
+            ix = index.value
 
-        return run
+            def run(keys, texts):
+                out = [(k, *hit) for k, t in zip(keys, texts) if t for hit in ix.search(t)]
+                return list(zip(*out)) or [(), (), (), ()]
 
-    kind = dict(docs.dtypes)[key]
-    return map_lists(docs.select(key, text), make, f"`{key}` {kind}, `{item_key}` {dict(items.dtypes)[item_key]}, shared_words int, answer_found boolean")
+            return run
+
+        return map_lists(docs.select(key, text), make, f"`{key}` {kind}, `{item_key}` {dict(items.dtypes)[item_key]}, shared_words int, answer_found boolean")
+
+    own = F.pmod(F.xxhash64(item_key, passage), F.lit(parts))
+    return reduce(DataFrame.unionByName, (searched(items.where(own == k) if parts > 1 else items) for k in range(parts)))

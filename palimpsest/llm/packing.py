@@ -2,8 +2,8 @@
 
 Length-histogram planning: best fit (longest first) runs over the counts of the at most `capacity` lengths on the
 driver, not over documents. The plan says, for each length, which ranks go to which containers; documents take their
-places by their rank within their length. Ranks are counted within (length, salt) and shifted by the sizes of the salts
-before, so that one length may hold any share of the rows.
+places by their rank within their length. A length has as many salts as it has multiples of RANKED rows; ranks are counted
+within (length, salt) and shifted by the sizes of the salts before, so that one length may hold any share of the rows.
 
 Defined results: null texts count no tokens; items of no tokens go to no container (container_id null); documents over
 the capacity are cut into full pieces and a rest; repeated ids are separate items.
@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 
 from palimpsest.session import cut
 
-CAPACITY, SALTS = 1024, 64
+CAPACITY = 1024
+#: Rows of one length that are ranked in one task, about.
+RANKED = 100_000
 #: White space as in Python's str.isspace for the regular expressions of the JVM (fixed values).
 BLANK = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 TOKEN = rf"[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{BLANK}]+"
@@ -86,8 +88,10 @@ def items(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int
 def assign(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """items() and container_id."""
     spark = df.sparkSession
-    todo = cut(items(df, key, text, capacity).withColumn("salt", F.pmod(F.xxhash64(key, "piece_no"), F.lit(SALTS))))
-    sizes = todo.where("length > 0").groupBy("length", "salt").count()  # at most capacity * SALTS rows
+    todo = cut(items(df, key, text, capacity))
+    many = F.broadcast(todo.where("length > 0").groupBy("length").agg(F.ceil(F.count("*") / RANKED).cast("int").alias("salts")))  # at most capacity rows
+    todo = todo.join(many, "length", "left").withColumn("salt", F.pmod(F.xxhash64(key, "piece_no"), F.coalesce("salts", F.lit(64)))).drop("salts")
+    sizes = todo.where("length > 0").groupBy("length", "salt").count()  # at most capacity rows, and one for RANKED items
     have = [(r.length, r.salt, r["count"]) for r in sizes.collect()]
     counts: dict[int, int] = defaultdict(int)
     starts = []

@@ -158,7 +158,7 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = [r.subject for r in table(spark, sf_dir, "subjects").select("subject").orderBy("subject").collect()]
-    found = subjects.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels"), names, none=table(spark, sf_dir, "eval_items").select("passage"))
+    found = subjects.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels"), names, quoted=table(spark, sf_dir, "eval_items").select("passage"))
     return found.select("doc_id", "subject").distinct()
 
 

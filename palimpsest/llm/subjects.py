@@ -6,12 +6,13 @@ the labelled documents lie in partitions; in every step each partition computes
 driver adds the gradients up and takes one step, so the result does not depend on the partitioning. A sentence's
 targets are its document's subjects, and after a few steps only the one of them that the model finds likeliest.
 Scoring: the outputs are linear in the word vectors, so a word's contribution to each subject is computed once in a
-task; a sentence treats its best subject if it is sure enough, and a document the subjects of enough sentences, but
-always at least one.
+task; a sentence treats its best subject if it is sure enough, and a document the subjects of enough sentences, a share of
+all sure ones or close to each other, but always at least one. Sentences that stand in quoted texts (of test items, say)
+count neither in training nor in scoring.
 
 Defined results: null or wordless texts get no subject; labels of unknown documents and repeated labels are ignored;
-with no labels at all every text gets nothing. Texts of no subject may be given; their sentences have no target. The labels of at most MAX_LABELLED documents are used, the first by the hash
-of their id; every document is scored.
+with no labels at all every text gets nothing. The labels of at most MAX_LABELLED documents are used, the first by the
+hash of their id; every document is scored. Quoted texts are collected, so they must be a bounded set, as test items are.
 """
 
 from __future__ import annotations
@@ -28,12 +29,13 @@ from pyspark.sql import functions as F
 from palimpsest.functions.batches import map_lists
 from palimpsest.session import cut, spread
 
-BUCKETS, DIMS, STEPS, WARM_UP, RATE, DECAY, MAX_LABELLED, MAX_NONE, PARTS = 1 << 15, 16, 30, 12, 0.07, 1e-5, 20_000, 2_000, 6
+BUCKETS, DIMS, STEPS, WARM_UP, RATE, DECAY, MAX_LABELLED, PER_PART, MAX_WORDS = 1 << 15, 16, 30, 12, 0.07, 1e-5, 20_000, 1_500, 500_000
 NGRAMS = (3, 5)
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
-#: A sentence treats its best subject if the output is at least SURE; a document's subjects have MANY such sentences and SHARE of all such.
-SURE, MANY, SHARE = 0.6, 3, 0.1
+#: A sentence treats its best subject if the output is at least SURE; a document's subjects have MANY such sentences, and
+#: SHARE of all such or MANY within CLOSE sentences.
+SURE, MANY, SHARE, CLOSE = 0.6, 3, 0.1, 6
 
 
 def features(word: str) -> tuple[int, list[int]]:
@@ -43,6 +45,12 @@ def features(word: str) -> tuple[int, list[int]]:
     return zlib.crc32(word.encode()) % BUCKETS, [zlib.crc32(b"#" + g.encode()) % BUCKETS for g in grams]
 
 
+def bags(text: str, quoted: frozenset | set = frozenset()) -> list[list[str]]:
+    """The words of each sentence that has any and isn't quoted."""
+    out = [w for s in SENTENCE.split(text) if (w := WORD.findall(s.lower()))]
+    return [w for w in out if " ".join(w) not in quoted] if quoted else out
+
+
 class Vocabulary:
     """Words met so far, as rows of word vectors."""
 
@@ -71,9 +79,9 @@ class Vocabulary:
 class Part:
     """The labelled sentences of one partition, ready for gradients."""
 
-    def __init__(self, texts: list[str], labels: list[list[int]], n_subjects: int):
+    def __init__(self, texts: list[str], labels: list[list[int]], n_subjects: int, quoted: frozenset | set = frozenset()):
         vocabulary = Vocabulary()
-        rows = [(vocabulary.ids(w), ks) for t, ks in zip(texts, labels) for s in SENTENCE.split(t) if (w := WORD.findall(s.lower()))]
+        rows = [(vocabulary.ids(w), ks) for t, ks in zip(texts, labels) for w in bags(t, quoted)]
         self.n = len(rows)
         self.sizes = np.array([len(i) for i, _ in rows], np.int32)
         self.flat = np.array([i for ids, _ in rows for i in ids], np.int32)
@@ -83,6 +91,7 @@ class Part:
         self.own = np.array(vocabulary.own, np.int32)
         self.gram_sizes = np.array([len(g) for g in vocabulary.grams], np.int32)
         self.grams = np.array([g for gs in vocabulary.grams for g in gs], np.int32)
+        self.rows = np.unique(np.concatenate([self.own, self.grams]))  # of the table, that this part has any gradient for
 
     def gradient(self, table: np.ndarray, out: np.ndarray, bias: np.ndarray, one: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
         """Of the summed logistic losses, for table, outputs and biases; and the loss. one: only the likeliest of the labels is the target."""
@@ -128,51 +137,68 @@ def fit(gradients, n_sentences: int, n_subjects: int, steps: int = STEPS, warm_u
 
 
 class Scorer:
-    def __init__(self, params):
+    def __init__(self, params, quoted: frozenset | set = frozenset()):
         self.table, self.out, self.bias = params
-        self.vocabulary = Vocabulary()
-        self.logits = np.zeros((0, self.out.shape[1]))
+        self.quoted = quoted
+        self.clear()
+
+    def clear(self) -> None:
+        self.vocabulary, self.known = Vocabulary(), 0
+        self.logits = np.zeros((1024, self.out.shape[1]))
 
     def sentences(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Outputs of each sentence with words, and the whole text's."""
-        bags = [w for s in SENTENCE.split(text) if (w := WORD.findall(s.lower()))]
-        if not bags:
+        found = bags(text, self.quoted) or bags(text)
+        if not found:
             return np.zeros((0, len(self.bias))), np.zeros(len(self.bias))
-        ids = [i for b in bags for i in self.vocabulary.ids(b)]
-        if len(self.logits) < len(self.vocabulary.own):
-            new = self.vocabulary.vectors(self.table, len(self.logits)) @ self.out
-            self.logits = np.concatenate([self.logits, new])
-        sizes = np.array([len(b) for b in bags])
+        if self.known > MAX_WORDS:
+            self.clear()
+        ids = self.vocabulary.ids([w for b in found for w in b])
+        n = len(self.vocabulary.own)
+        if self.known < n:
+            if n > len(self.logits):
+                self.logits = np.concatenate([self.logits[: self.known], np.zeros((2 * n - self.known, self.out.shape[1]))])
+            self.logits[self.known : n] = self.vocabulary.vectors(self.table, self.known) @ self.out
+            self.known = n
+        sizes = np.array([len(b) for b in found])
         sums = np.add.reduceat(self.logits[ids], np.cumsum(sizes) - sizes)
         sigmoid = lambda x: 1 / (1 + np.exp(-x))
         return sigmoid(sums / sizes[:, None] + self.bias), sigmoid(sums.sum(0) / sizes.sum() + self.bias)
 
-    def subjects(self, text: str, sure: float = SURE, many: int = MANY, share: float = SHARE) -> list[tuple[int, int, float]]:
+    def subjects(self, text: str, sure: float = SURE, many: int = MANY, share: float = SHARE, close: int = CLOSE) -> list[tuple[int, int, float]]:
         """(subject, sentences that treat it, output for the whole text)."""
         by_sentence, whole = self.sentences(text)
         if not len(by_sentence):
             return []
-        best = by_sentence.argmax(1)
-        n = np.bincount(best[by_sentence.max(1) >= sure], minlength=len(whole))
-        keep = [int(k) for k in np.flatnonzero((n >= many) & (n >= share * n.sum()))] or [int(np.lexsort((whole, n))[-1])]
+        best = np.where(by_sentence.max(1) >= sure, by_sentence.argmax(1), -1)
+        n = np.bincount(best[best >= 0], minlength=len(whole))
+
+        def near(k: int) -> bool:
+            at = np.flatnonzero(best == k)
+            return bool((at[many - 1 :] - at[: len(at) - many + 1] < close).any())
+
+        keep = [int(k) for k in np.flatnonzero(n >= many) if n[k] >= share * n.sum() or near(int(k))] or [int(np.lexsort((whole, n))[-1])]
         return [(k, int(n[k]), float(whole[k])) for k in keep]
 
 
-def train(docs: DataFrame, labels: DataFrame, subjects: list[str], key: str = "doc_id", text: str = "text", subject: str = "subject", none: DataFrame | None = None):
-    """The parameters, or None without subjects or labels. none: texts (of one column) that treat no subject, at most MAX_NONE."""
+def quotations(texts: DataFrame | None) -> frozenset:
+    """The sentences of a bounded set of texts (of one column)."""
+    return frozenset(" ".join(w) for r in (texts.where(F.col(texts.columns[0]).isNotNull()).collect() if texts is not None else []) for w in bags(r[0]))
+
+
+def train(docs: DataFrame, labels: DataFrame, subjects: list[str], key: str = "doc_id", text: str = "text", subject: str = "subject", quoted: frozenset = frozenset()):
+    """The parameters, or None without subjects or labels."""
     if not subjects:
         return None
     sc = docs.sparkSession.sparkContext
     place = F.create_map(*(F.lit(x) for k, s in enumerate(subjects) for x in (s, k)))
     named = labels.where(F.col(subject).isin(subjects)).groupBy(key).agg(F.sort_array(F.collect_set(place[F.col(subject)])).alias("__labels"))
-    named = F.broadcast(named.orderBy(F.xxhash64(key), key).limit(MAX_LABELLED))
-    if named.isEmpty():
+    named = cut(named.orderBy(F.xxhash64(key), key).limit(MAX_LABELLED))
+    most = named.count()
+    if not most:
         return None
-    chosen = docs.select(key, text).where(F.col(text).isNotNull()).join(named, key).dropDuplicates([key])
+    chosen = docs.select(key, text).where(F.col(text).isNotNull()).join(F.broadcast(named), key).dropDuplicates([key])
     chosen = chosen.select(F.col(text).alias("text"), "__labels")
-    if none is not None:
-        spare = none.select(F.col(none.columns[0]).alias("text")).where("text is not null").orderBy(F.xxhash64("text"), "text").limit(MAX_NONE)
-        chosen = chosen.unionByName(spare.withColumn("__labels", F.array().cast("array<int>")))
     n = len(subjects)
 
     def prepare(batches):
@@ -180,11 +206,11 @@ def train(docs: DataFrame, labels: DataFrame, subjects: list[str], key: str = "d
         for b in batches:
             texts += b.column(0).to_pylist()
             ks += b.column(1).to_pylist()
-        part = Part(texts, ks, n)
-        if part.n:
+        part = Part(texts, ks, n, quoted) if texts else None
+        if part and part.n:
             yield pa.RecordBatch.from_pydict({"part": pa.array([pickle.dumps(vars(part))], pa.binary()), "n": pa.array([part.n], pa.int64())})
 
-    parts = cut(chosen.repartition(PARTS).mapInArrow(prepare, "part binary, n bigint"))
+    parts = cut(chosen.repartition(max(4, -(-most // PER_PART))).mapInArrow(prepare, "part binary, n bigint"))
     total = sum(r.n for r in parts.select("n").collect())
 
     def gradients(table, out, bias, one):
@@ -195,22 +221,27 @@ def train(docs: DataFrame, labels: DataFrame, subjects: list[str], key: str = "d
                 for blob in b.column(0).to_pylist():
                     part = Part.__new__(Part)
                     vars(part).update(pickle.loads(blob))
-                    yield pa.RecordBatch.from_pydict({"g": pa.array([pickle.dumps(part.gradient(*sent.value))], pa.binary())})
+                    g, *rest = part.gradient(*sent.value)
+                    yield pa.RecordBatch.from_pydict({"g": pa.array([pickle.dumps((part.rows, g[part.rows], *rest))], pa.binary())})
 
         got = [pickle.loads(r.g) for r in parts.select("part").mapInArrow(run, "g binary").collect()]
         sent.destroy()
-        return got
+        whole = np.zeros_like(table)
+        for rows, g, *_ in got:
+            whole[rows] += g
+        return [(whole, sum(x[2] for x in got), sum(x[3] for x in got))]
 
     return fit(gradients, total, n) if total else None
 
 
-def classify(docs: DataFrame, labels: DataFrame, subjects: list[str], key: str = "doc_id", text: str = "text", params=None, none: DataFrame | None = None) -> DataFrame:
-    """key, subject, sentences, score: the subjects of each document."""
-    params = params or train(docs, labels, subjects, key, text, none=none)
-    sent = docs.sparkSession.sparkContext.broadcast(params)
+def classify(docs: DataFrame, labels: DataFrame, subjects: list[str], key: str = "doc_id", text: str = "text", params=None, quoted: DataFrame | None = None) -> DataFrame:
+    """key, subject, sentences, score: the subjects of each document. quoted: texts whose sentences don't count."""
+    known = quotations(quoted)
+    params = params or train(docs, labels, subjects, key, text, quoted=known)
+    sent = docs.sparkSession.sparkContext.broadcast((params, known))
 
     def make():
-        scorer = Scorer(sent.value) if sent.value else None
+        scorer = Scorer(*sent.value) if sent.value[0] else None
 
         def run(keys, texts):
             out = [(k, subjects[j], n, p) for k, t in zip(keys, texts) if t and scorer for j, n, p in scorer.subjects(t)]

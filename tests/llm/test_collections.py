@@ -218,6 +218,16 @@ def test_containers(spark):
     assert packing.assign(df.where("false")).count() == 0
 
 
+def test_one_length_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANKED", 7)
+    df = spark.createDataFrame([(i, "a " * (1024 if i % 2 else 300)) for i in range(200)], "doc_id bigint, text string")
+    got = packing.assign(df).collect()
+    fill = Counter()
+    for r in got:
+        fill[r.container_id] += r.length
+    assert len(got) == 200 and max(fill.values()) <= 1024 and len(fill) == 100 + 34
+
+
 # Leaks
 
 
@@ -248,11 +258,17 @@ def test_leaks(spark):
     assert leaks.leaks(df, ev.where("false")).count() == 0 and leaks.leaks(df.where("false"), ev).count() == 0
 
 
-def test_too_many_items(spark, monkeypatch):
-    monkeypatch.setattr(leaks, "MAX_ITEMS", 1)
-    ev = spark.createDataFrame([(1, "a", None), (2, "b", None)], "item_id bigint, passage string, answer string")
-    with pytest.raises(ValueError):
-        leaks.leaks(spark.createDataFrame([(1, "x")], "doc_id bigint, text string"), ev)
+def test_items_in_parts(spark, monkeypatch):
+    """More items than one part holds: the same rows; the answer must stand near the quotation."""
+    rng = random.Random(9)
+    items = [(i, " ".join(rng.choices(WORDS, k=30)), "blue moon" if i < 3 else None) for i in range(20)]
+    docs = [(i, f"{' '.join(rng.choices(WORDS, k=100))} {items[i][1]} {'so the blue moon rose' if i == 0 else ''} {' '.join(rng.choices(WORDS, k=100))} {'blue moon' if i == 1 else ''}") for i in range(20)]
+    df, ev = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, passage string, answer string")
+    whole = sorted(tuple(r) for r in leaks.leaks(df, ev).collect())
+    assert [r[:2] for r in whole] == [(i, i) for i in range(20)] and [r[3] for r in whole[:4]] == [True, False, False, None]
+    monkeypatch.setattr(leaks, "MAX_ITEMS", 3)
+    monkeypatch.setattr(leaks, "SCORED", 2)
+    assert sorted(tuple(r) for r in leaks.leaks(df, ev).collect()) == whole
 
 
 # Subjects
