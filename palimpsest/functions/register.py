@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
 from palimpsest.functions.text import BLANK
-from palimpsest.schema import CHUNK_OVERLAP, CHUNK_SIZE, OVERLAP_LINES, PLATFORMS
+from palimpsest.schema import CHUNK_OVERLAP, CHUNK_SIZE, DEFAULT_TOPIC, MAX_DISTANCE, OVERLAP_LINES, PLATFORMS
 from palimpsest.sources import html
 
 
@@ -28,6 +28,12 @@ FUNCTIONS = {
     "sanitize_id": ("s STRING", "STRING", "regexp_replace(s, '[^a-zA-Z0-9_-]', '_')"),
     "cosine_distance": ("a ARRAY<DOUBLE>, b ARRAY<DOUBLE>", "DOUBLE", "1 - try_divide(aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, x) -> s + x), sqrt(aggregate(a, 0D, (s, x) -> s + x * x)) * sqrt(aggregate(b, 0D, (s, x) -> s + x * x)))"),
     "hashed_bucket": ("w STRING", "INT", "CAST(pmod(CAST(conv(substring(md5(w), 1, 8), 16, 10) AS BIGINT), 64) AS INT)"),
+    "hashed_embedding": (
+        "t STRING",
+        "ARRAY<DOUBLE>",
+        "element_at(transform(array(transform(sequence(0, 63), b -> CAST(size(filter(transform(filter(split(lower(t), '[^a-z0-9]+'), w -> w <> ''), w -> pmod(CAST(conv(substring(md5(w), 1, 8), 16, 10) AS BIGINT), 64)), p -> p = b)) AS DOUBLE))), "
+        "c -> transform(c, x -> coalesce(try_divide(x, sqrt(aggregate(c, 0D, (s, y) -> s + y * y))), 0D))), 1)",
+    ),
     "detect_platform": (
         "url STRING",
         "STRING",
@@ -50,6 +56,18 @@ FUNCTIONS = {
 }
 
 
+def register_search(spark: SparkSession, view: str, name: str = "search") -> None:
+    """The table function name(query, topic, k) over a view of chunks (id, document, platform, topic, embedding): rank, id, distance, label.
+
+    The view's embeddings are those of hashed_embedding(), or of any model if a function hashed_embedding of its own is there.
+    Empty and default topics mean all topics. Ranks above k are dropped before the rows of all tasks meet.
+    """
+    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION {name}(query STRING, wanted STRING, k INT) RETURNS TABLE (rank INT, id STRING, distance DOUBLE, label STRING)
+RETURN SELECT rank, id, distance, label FROM (SELECT row_number() OVER (ORDER BY distance, id) AS rank, id, distance, label FROM (
+SELECT id, cosine_distance(embedding, hashed_embedding(query)) AS distance, concat('[', coalesce(platform, '?'), ' — ', coalesce(topic, '?'), ']\\n', document) AS label
+FROM {view} WHERE coalesce(wanted, '') IN ('', '{DEFAULT_TOPIC}') OR topic = wanted) WHERE distance <= {MAX_DISTANCE}) WHERE rank <= k""")
+
+
 def register(spark: SparkSession) -> None:
     """The functions above as temporary SQL functions, and the table function extract_messages(html, platform)."""
     for name, (parameters, result, body) in FUNCTIONS.items():
@@ -58,7 +76,7 @@ def register(spark: SparkSession) -> None:
     @udtf(returnType="turn int, role string, text string")
     class ExtractMessages:
         def eval(self, page: str, platform: str):
-            for i, (role, text) in enumerate(html.messages(page, platform) if platform in html.RULES else html.manual_messages(page)):
+            for i, (role, text) in enumerate(html.read_page(page, platform)):
                 yield i, role, text
 
     spark.udtf.register("extract_messages", ExtractMessages)

@@ -76,8 +76,25 @@ def parse_extensions(c: Column) -> Column:
     return F.transform(parts, lambda x: F.regexp_replace(F.lower(x), r"^\.", ""))
 
 
+def leading_int(c: Column) -> Column:
+    """The whole number that a text starts with, after white space and a sign, as a script's parseInt reads it; else null."""
+    return F.nullif(F.regexp_extract(c, f"^{BLANK}*([+-]?[0-9]+)", 1), F.lit("")).try_cast("bigint")
+
+
 def page_limit(c: Column) -> Column:
-    return F.least(F.coalesce(F.nullif(c.try_cast("int"), F.lit(0)), F.lit(PAGE_SIZE)), F.lit(MAX_PAGE_SIZE))
+    """No number, 0 and negative ones mean the default."""
+    n = leading_int(c)
+    return F.least(F.when(n > 0, n).otherwise(F.lit(PAGE_SIZE)), F.lit(MAX_PAGE_SIZE)).cast("int")
+
+
+def page_offset(c: Column) -> Column:
+    n = leading_int(c)
+    return F.when(n > 0, n).otherwise(F.lit(0)).cast("bigint")
+
+
+def decoded_topic(c: Column) -> Column:
+    """A topic out of a URL's path, where a plus sign is one; what can't be decoded stays as it is."""
+    return F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)
 
 
 def host(url: Column) -> Column:
@@ -92,6 +109,11 @@ def detect_platform(url: Column) -> Column:
     return name
 
 
+def platform_label(url: Column) -> Column:
+    """The platform of a page, or its host for pages that are read by a chosen container."""
+    return F.coalesce(detect_platform(url), F.concat(F.lit("Manual:"), host(url)))
+
+
 def translate_host_path(path: Column, prefix: str, mount: str = "/workspace") -> Column:
     """A path under the host's prefix (in any case, with either slash) as one under the mount.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.session import cut
+
 
 def position(df: DataFrame, group: list[str], order: list[str], part: Column, name: str) -> DataFrame:
     """Adds the position (from 0) of each row within its group in the given order.
@@ -20,3 +22,9 @@ def position(df: DataFrame, group: list[str], order: list[str], part: Column, na
     ranked = whole.withColumn("__rank", F.row_number().over(Window.partitionBy(*group, "__part").orderBy(*order)))
     out = ranked.join(sizes, [*group, "__part"], "left").withColumn(name, F.col("__rank") - 1 + F.col("__before"))
     return out.select(*df.columns, name)
+
+
+def position_by_range(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
+    """position(), with ranges of (group, order) as parts: whatever the order's values are, no group is too large for a task."""
+    ordered = cut(df.repartitionByRange(*group, *order).withColumn("__range", F.spark_partition_id()))
+    return position(ordered, group, order, F.col("__range"), name).drop("__range")

@@ -89,11 +89,13 @@ def nearest(topic: str | None, k: int, columns: str) -> str:
 
 def delivered(cursors: str, full: bool = False) -> str:
     keep = "TRUE" if full else "cursor_ms IS NULL OR timestamp_ms > cursor_ms"
-    name = "'full'" if full else "'incremental'"
+    mode = "'full'" if full else "CASE WHEN cursor_ms IS NULL THEN 'first' ELSE 'incremental' END"
     return f"""{CHUNKS}, known AS (SELECT topic, max(cursor_ms) AS cursor_ms FROM {cursors} WHERE cursor_ms > 0 GROUP BY topic),
-sent AS (SELECT live.*, CASE WHEN cursor_ms IS NULL THEN 'first' ELSE {name} END AS mode FROM live LEFT JOIN known USING (topic) WHERE live.topic IS NOT NULL AND live.topic <> '' AND ({keep}))"""
+sent AS (SELECT live.*, {mode} AS mode FROM live LEFT JOIN known USING (topic) WHERE live.topic IS NOT NULL AND live.topic <> '' AND ({keep}))"""
 
 
+ENTRY = f"'## [' || {PLATFORM} || '] — ' || CASE WHEN coalesce(timestamp_ms, 0) = 0 THEN '?' ELSE {RENDER} END || chr(10) || chr(10) || CASE WHEN coalesce(source_url, '') <> '' THEN '*Source: ' || source_url || '*' || chr(10) || chr(10) ELSE '' END || document || chr(10) || chr(10) || '---' || chr(10)"
+BRIEF = f"'### [' || {PLATFORM} || '] — ' || CASE WHEN coalesce(timestamp_ms, 0) = 0 THEN '?' ELSE {RENDER} END || chr(10) || chr(10) || document"
 HOST = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)', 1))"
 ESCAPED = "replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
 HOSTS = "['chat.openai.com', 'chatgpt.com', 'gemini.google.com', 'claude.ai', 'chat.deepseek.com', 'example.org']"
@@ -127,7 +129,11 @@ SELECT message_id, CAST(0 AS BIGINT) AS turn, 'unknown' AS role, body AS letters
     "progress_percent": f"WITH {MESSAGES} SELECT capture_id, CASE WHEN count(*) > 0 THEN CAST(floor(max(turn) * 100.0 / count(*) + 0.5) AS BIGINT) ELSE 0 END AS percent FROM msg GROUP BY 1",
     "resolved_topics": f"WITH {CAPTURES} SELECT capture_id, coalesce(nullif({trim('topic')}, ''), 'Generale') AS topic FROM cap",
     "parsed_extensions": f"WITH {FILES} SELECT file_id, CASE WHEN {EXT} = '' THEN '|js' ELSE {EXT} || '|js' END AS extensions FROM fil",
-    "page_limits": f"WITH {CAPTURES} SELECT capture_id, CAST(least(CASE WHEN capture_id % 5 = 0 OR capture_id % 700 = 0 THEN 50 ELSE capture_id % 700 END, 500) AS INTEGER) AS page_limit FROM cap",
+    "page_limits": f"WITH {CAPTURES} SELECT capture_id, CAST(least(CASE WHEN capture_id % 5 IN (0, 2) OR capture_id % 700 = 0 THEN 50 ELSE capture_id % 700 END, 500) AS INTEGER) AS page_limit, CASE WHEN capture_id % 5 IN (0, 2) THEN 0 ELSE capture_id % 700 END AS page_offset FROM cap",
+    "decoded_topics": f"WITH {CAPTURES} SELECT DISTINCT topic, topic AS decoded FROM cap WHERE topic IS NOT NULL",
+    "platform_labels": f"WITH {CAPTURES}, u AS (SELECT capture_id, source_url AS url FROM cap) SELECT capture_id, coalesce(CASE {' '.join(f'WHEN contains({HOST}, {q(h)}) THEN {q(n)}' for h, n in PLATFORMS)} END, 'Manual:' || {HOST}) AS label FROM u",
+    "extract_platforms": f"""WITH {MESSAGES}, t AS (SELECT *, turn // 10 AS page, {trim("replace(text, chr(13), '')")} AS body FROM msg WHERE text IS NOT NULL)
+SELECT capture_id || '/' || page AS page_id, row_number() OVER (PARTITION BY capture_id, page ORDER BY turn, message_id) - 1 AS turn, CASE WHEN role = 'user' THEN 'user' ELSE 'assistant' END AS role, body AS text FROM t WHERE length(body) > 2""",
     "upsert_latest": f"WITH {CHUNKS} SELECT * FROM live",
     "stale_tail": f"WITH {CHUNKS} SELECT id, source_url, timestamp_ms FROM (SELECT *, max(timestamp_ms) OVER (PARTITION BY source_url) AS newest FROM live WHERE source_url <> '') WHERE timestamp_ms < newest",
     "replace_source": f"WITH {CHUNKS} SELECT id, seq FROM (SELECT *, max(CASE WHEN source_url <> '' THEN timestamp_ms END) OVER (PARTITION BY source_url) AS newest FROM live) WHERE newest IS NULL OR timestamp_ms IS NULL OR timestamp_ms >= newest",
@@ -144,7 +150,8 @@ SELECT message_id, CAST(0 AS BIGINT) AS turn, 'unknown' AS role, body AS letters
     "browse_topic": f"WITH {CHUNKS} SELECT id, document, timestamp_ms FROM live WHERE topic = 'Thread' ORDER BY coalesce(timestamp_ms, 0) DESC, id LIMIT 50",
     "browse_total": f"WITH {CHUNKS} SELECT count(*) AS total FROM live WHERE topic = 'Thread'",
     "dashboard_newest": f"WITH {CHUNKS} SELECT * FROM (SELECT {TOPIC} AS topic, id, coalesce(timestamp_ms, 0) AS timestamp_ms, CAST(row_number() OVER (PARTITION BY {TOPIC} ORDER BY coalesce(timestamp_ms, 0) DESC, id) AS INTEGER) AS rank FROM live) WHERE rank <= 20",
-    "export_entries": f"WITH {CHUNKS} SELECT topic, coalesce(timestamp_ms, 0) AS timestamp_ms, id, '## [' || {PLATFORM} || '] — ' || CASE WHEN coalesce(timestamp_ms, 0) = 0 THEN '?' ELSE {RENDER} END || chr(10) || chr(10) || CASE WHEN coalesce(source_url, '') <> '' THEN '*Source: ' || source_url || '*' || chr(10) || chr(10) ELSE '' END || document || chr(10) || chr(10) || '---' || chr(10) AS entry FROM live",
+    "export_entries": f"WITH {CHUNKS} SELECT topic, coalesce(timestamp_ms, 0) AS timestamp_ms, id, {ENTRY} AS entry FROM live",
+    "export_markdown": f"WITH {CHUNKS}, h AS (SELECT topic, '# ' || topic || chr(10) || chr(10) || 'Exported: 2027-01-15T08:00:00Z' || chr(10) || 'Chunks: ' || count(*) || chr(10) || chr(10) || '---' || chr(10) AS header FROM live GROUP BY topic) SELECT topic, row_number() OVER (PARTITION BY topic ORDER BY coalesce(timestamp_ms, 0), id) AS at, {ENTRY} AS text FROM live UNION ALL SELECT topic, 0, header FROM h",
     "export_headers": f"WITH {CHUNKS} SELECT topic, 'export_' || regexp_replace(topic, {q(BLANK + '+')}, '_', 'g') || '.md' AS file_name, '# ' || topic || chr(10) || chr(10) || 'Exported: 2027-01-15T08:00:00Z' || chr(10) || 'Chunks: ' || count(*) || chr(10) || chr(10) || '---' || chr(10) AS header FROM live GROUP BY topic",
     "knn_topk": nearest(None, 4, f"seq, round(dist, 6) AS distance, {LABEL} AS label"),
     "knn_topk_topic": nearest("Thread", 10, "seq, round(dist, 6) AS distance"),
@@ -155,24 +162,38 @@ SELECT message_id, CAST(0 AS BIGINT) AS turn, 'unknown' AS role, body AS letters
 w AS (SELECT id, unnest({WORDS}) AS w FROM t), b AS (SELECT id, {BUCKET} AS dim, count(*) AS n FROM w GROUP BY ALL), qn AS (SELECT dim, n FROM b WHERE id IS NULL),
 s AS (SELECT b.id, sqrt(sum(b.n * b.n)) AS size, coalesce(sum(b.n * qn.n), 0) AS product FROM b LEFT JOIN qn USING (dim) WHERE b.id IS NOT NULL GROUP BY b.id)
 SELECT id, round(1 - product / (size * (SELECT sqrt(sum(n * n)) FROM qn)), 6) AS distance FROM s ORDER BY round(1 - product / (size * (SELECT sqrt(sum(n * n)) FROM qn)), 12), id LIMIT 10""",
-    "context_block": nearest(None, 4, f"'[memory]' || chr(10) || string_agg('[' || r || '] ' || {LABEL}, chr(10) || chr(10) ORDER BY r) || chr(10) || '[/memory]' || chr(10) || chr(10) || 'What did we decide?' AS block").replace("FROM hit", "FROM (SELECT *, row_number() OVER (ORDER BY dist, seq) AS r FROM hit) HAVING count(*) > 0"),
+    "table_search": f"""WITH {CHUNKS}, t AS (SELECT id, document FROM live UNION ALL SELECT NULL, 'why did the parser block the cache'),
+w AS (SELECT id, unnest({WORDS}) AS w FROM t), b AS (SELECT id, {BUCKET} AS dim, count(*) AS n FROM w GROUP BY ALL), qn AS (SELECT dim, n FROM b WHERE id IS NULL),
+s AS (SELECT b.id, sqrt(sum(b.n * b.n)) AS size, coalesce(sum(b.n * qn.n), 0) AS product FROM b LEFT JOIN qn USING (dim) WHERE b.id IS NOT NULL GROUP BY b.id),
+r AS (SELECT id, 1 - product / (size * (SELECT sqrt(sum(n * n)) FROM qn)) AS distance FROM s),
+k AS (SELECT *, row_number() OVER (ORDER BY round(distance, 12), id) AS rank FROM r WHERE distance <= 0.75)
+SELECT CAST(rank AS INTEGER) AS rank, id, round(distance, 6) AS distance, {LABEL} AS label FROM k JOIN live USING (id) WHERE rank <= 10""",
+    "context_block": nearest(None, 4, f"'[memory]' || chr(10) || string_agg('[' || r || '] ' || {LABEL}, chr(10) ORDER BY r) || chr(10) || '[/memory]' || chr(10) || chr(10) || 'What did we decide?' AS block").replace("FROM hit", "FROM (SELECT *, row_number() OVER (ORDER BY dist, seq) AS r FROM hit) HAVING count(*) > 0"),
     "sync_incremental": f"WITH {delivered('sync_cursors')} SELECT id, topic, timestamp_ms, mode FROM sent",
     "sync_full": f"WITH {delivered('sync_cursors', True)} SELECT id, topic, timestamp_ms, mode FROM sent",
     "sync_first": f"WITH {CHUNKS} SELECT id, topic, timestamp_ms, 'first' AS mode FROM live WHERE topic <> ''",
     "cursor_advance": f"WITH {delivered('sync_cursors')}, top AS (SELECT topic, max(coalesce(timestamp_ms, 0)) AS sent_ms FROM sent GROUP BY 1 HAVING sent_ms > 0), old AS (SELECT topic, max(cursor_ms) AS cursor_ms FROM sync_cursors GROUP BY 1) SELECT topic, coalesce(sent_ms, cursor_ms) AS cursor_ms FROM old FULL JOIN top USING (topic)",
+    "cursor_save": f"WITH {delivered('sync_cursors')}, top AS (SELECT topic, max(coalesce(timestamp_ms, 0)) AS sent_ms FROM sent GROUP BY 1 HAVING sent_ms > 0), old AS (SELECT topic, max(cursor_ms) AS cursor_ms FROM sync_cursors GROUP BY 1) SELECT topic, coalesce(sent_ms, cursor_ms) AS cursor_ms FROM old FULL JOIN top USING (topic)",
     "sync_by_seq": "SELECT DISTINCT seq, id FROM chunks WHERE seq > (SELECT CAST(floor(max(seq) / 2) AS BIGINT) FROM chunks)",
     "similar_topics": f"WITH {CHUNKS}, t AS (SELECT DISTINCT topic FROM live WHERE topic <> ''), w AS (SELECT DISTINCT topic AS wanted FROM sync_cursors WHERE topic <> '') SELECT wanted, topic FROM w, t WHERE contains(lower(topic), lower(wanted)) OR contains(lower(wanted), lower(topic))",
     "sync_nothing_new": f"""WITH {delivered('sync_cursors')}, wanted AS (SELECT DISTINCT topic || ' x' AS wanted FROM sync_cursors WHERE topic <> '' UNION ALL SELECT DISTINCT topic FROM sync_cursors),
 none AS (SELECT wanted FROM wanted WHERE wanted IS NULL OR wanted NOT IN (SELECT topic FROM sent)), t AS (SELECT DISTINCT topic FROM live WHERE topic <> ''),
 close AS (SELECT wanted, string_agg(DISTINCT topic, ', ' ORDER BY topic) AS close FROM none, t WHERE contains(lower(topic), lower(wanted)) OR contains(lower(wanted), lower(topic)) GROUP BY 1)
-SELECT none.wanted, CASE WHEN cursor_ms IS NOT NULL THEN 'nothing new' WHEN close IS NOT NULL THEN 'similar: ' || close ELSE 'unknown' END AS message FROM none LEFT JOIN known ON known.topic = none.wanted LEFT JOIN close ON close.wanted = none.wanted""",
+SELECT none.wanted, CASE WHEN cursor_ms IS NOT NULL THEN 'nothing new' WHEN close IS NOT NULL THEN 'similar: ' || close ELSE (SELECT coalesce('topics: ' || string_agg(topic, ', ' ORDER BY topic), 'nothing is stored yet') FROM t) END AS message FROM none LEFT JOIN known ON known.topic = none.wanted LEFT JOIN close ON close.wanted = none.wanted""",
+    "knn_approx_recall": "SELECT TRUE AS enough",
+    "topic_listing_text": f"WITH {CHUNKS}, t AS (SELECT DISTINCT topic FROM live WHERE topic <> ''), n AS (SELECT row_number() OVER (ORDER BY topic) AS number, topic FROM t) SELECT coalesce(string_agg(number || '. **' || topic || '**', chr(10) ORDER BY number), 'nothing is stored yet') AS text FROM n",
     "topic_listing": f"WITH {CHUNKS}, t AS (SELECT DISTINCT topic FROM live WHERE topic <> '') SELECT row_number() OVER (ORDER BY topic) AS number, topic FROM t",
     "briefing_headers": f"WITH {delivered('sync_cursors')} SELECT topic, mode, count(*) AS total, string_agg(DISTINCT platform, ', ' ORDER BY platform) AS platforms, CASE WHEN mode = 'incremental' THEN 'What follows is new since the last time.' ELSE 'Read what follows and keep it in mind.' END AS instruction FROM sent GROUP BY topic, mode",
-    "briefing_entries": f"WITH {delivered('sync_cursors')} SELECT topic, coalesce(timestamp_ms, 0) AS timestamp_ms, id, '### [' || coalesce(platform, '?') || '] ' || CASE WHEN coalesce(timestamp_ms, 0) = 0 THEN '?' ELSE {RENDER} END || chr(10) || document AS entry FROM sent",
+    "briefing_entries": f"WITH {delivered('sync_cursors')} SELECT topic, coalesce(timestamp_ms, 0) AS timestamp_ms, id, {BRIEF} AS entry FROM sent",
+    "briefing_body": f"""WITH {delivered('sync_cursors')}, e AS (SELECT topic, {BRIEF} AS entry, row_number() OVER w AS at, row_number() OVER w = count(*) OVER (PARTITION BY topic) AS is_last FROM sent WINDOW w AS (PARTITION BY topic ORDER BY coalesce(timestamp_ms, 0), id)),
+h AS (SELECT topic, mode, count(*) AS total, string_agg(DISTINCT platform, ', ' ORDER BY platform) AS platforms FROM sent GROUP BY topic, mode)
+SELECT topic, e."at" AS at, entry || CASE WHEN is_last THEN '' ELSE chr(10) || chr(10) || '---' || chr(10) || chr(10) END AS text FROM e
+UNION ALL SELECT topic, 0, '# ' || topic || chr(10) || 'Chunks: ' || total || ' | Platforms: ' || platforms || chr(10) || 'Mode: ' || mode || chr(10) || chr(10) || CASE WHEN mode = 'incremental' THEN 'What follows is new since the last time.' ELSE 'Read what follows and keep it in mind.' END || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## Chunks (' || total || ')' || chr(10) || chr(10) FROM h""",
     "job_states": f"""WITH {MESSAGES}, {CAPTURES}, n AS (SELECT capture_id, count(*) AS n FROM msg GROUP BY 1),
 j AS (SELECT capture_id AS job_id, coalesce(n, 0) AS total, CASE WHEN capture_id % 3 = 2 THEN coalesce(n, 0) // 2 ELSE coalesce(n, 0) END AS done, n IS NULL AS failed, CASE WHEN capture_id % 3 <> 2 THEN {NOW_MS} - capture_id * 10000 END AS ended_ms FROM cap LEFT JOIN n USING (capture_id))
 SELECT job_id, CASE WHEN failed THEN 'error' WHEN ended_ms IS NOT NULL THEN 'done' ELSE 'processing' END AS status, done, total, CASE WHEN total > 0 THEN CAST(floor(done * 100.0 / total + 0.5) AS BIGINT) ELSE 0 END AS percent FROM j WHERE ended_ms IS NULL OR ended_ms + 600000 > {NOW_MS}""",
     "stream_upsert": f"WITH {CHUNKS} SELECT id, topic, timestamp_ms FROM live",
+    "store_two_writers": f"WITH {CHUNKS} SELECT id, document, topic, timestamp_ms FROM live",
     "stream_cursor": "SELECT user_id, count(*) AS n, max(epoch_us(ts) // 1000) AS cursor_ms FROM events GROUP BY 1",
     "message_positions": f"WITH {MESSAGES} SELECT message_id, row_number() OVER (PARTITION BY capture_id ORDER BY turn, message_id) - 1 AS at FROM msg",
 }

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as X
+from palimpsest.functions.register import register, register_search
 from palimpsest.functions.vectors import cosine_distance, hashed_embedding, usable
 from palimpsest.operators import catalog, export, search, store, sync
 from palimpsest.operators.chunking import chunk_code, chunk_message
@@ -98,6 +100,31 @@ def extract_messages_manual(spark: SparkSession, d: str) -> DataFrame:
     return found.select("message_id", "turn", "role", F.regexp_replace("text", X.BLANK + "+", "").alias("letters"))
 
 
+PAGE_TURNS = 10
+
+
+def extract_platforms(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of all four platforms with up to PAGE_TURNS turns of a capture each, line breaks kept."""
+    kept = _messages(spark, d).where("text is not null")
+    # A carriage return is none in a page, as its reader would make a line break of it.
+    body = F.replace(X.html_escape(F.replace("text", F.lit("\r"), F.lit(""))), F.lit("\n"), F.lit("<br>"))
+    page_no = F.floor(F.col("turn") / PAGE_TURNS)
+    platform = F.element_at(F.array(*(F.lit(x) for x in ("ChatGPT", "Gemini", "Claude", "DeepSeek"))), (F.pmod(F.col("capture_id") + page_no, F.lit(4)) + 1).cast("int"))
+    user = F.coalesce(F.col("role"), F.lit("")) == "user"
+    tag = lambda opening, closing: F.concat(F.lit(opening), body, F.lit(closing))
+    item = (
+        F.when(platform == "ChatGPT", F.concat(F.lit("<div data-message-author-role='"), F.when(user, "user").otherwise("assistant"), F.lit("'><div class='markdown'>"), body, F.lit("</div></div>")))
+        .when(platform == "Gemini", F.when(user, tag("<div class='user-request-interior-slot'>", "</div>")).otherwise(tag("<message-content>", "</message-content>")))
+        .when(platform == "Claude", F.when(user, tag("<div class='human-turn'>", "</div>")).otherwise(tag("<div class='font-claude-message'>", "</div>")))
+        .otherwise(F.concat(F.lit("<div class='message-item"), F.when(user, " user-message").otherwise(""), F.lit("'><b>now</b><div class='message-content'>"), body, F.lit("</div></div>")))
+    )
+    items = kept.select("capture_id", page_no.alias("page"), platform.alias("platform"), F.struct("turn", "message_id", item.alias("item")).alias("x"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["item"]), "")
+    pages = items.groupBy("capture_id", "page", "platform").agg(joined.alias("html"))  # a page holds few turns
+    key = F.concat_ws("/", "capture_id", "page")
+    return html.extract_messages(pages.select(key.alias("page_id"), F.concat(F.lit("<body><nav>menu<p>x</nav>"), "html").alias("html"), "platform"), "page_id")
+
+
 def health(spark: SparkSession, d: str) -> DataFrame:
     return spark.range(1).select(F.lit(True).alias("ok"))
 
@@ -126,7 +153,7 @@ def chunk_code_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_ids(spark: SparkSession, d: str) -> DataFrame:
-    return records.record_chunks(_captures(spark, d), _messages(spark, d), NOW_MS).select("capture_id", "id")
+    return records.record_chunks(_captures(spark, d), _messages(spark, d), NOW_MS, with_document=False).select("capture_id", "id")
 
 
 def code_chunk_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -179,8 +206,19 @@ def parsed_extensions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_limits(spark: SparkSession, d: str) -> DataFrame:
-    asked = F.when(F.col("capture_id") % 5 == 0, "x").otherwise((F.col("capture_id") % 700).cast("string"))
-    return _captures(spark, d).select("capture_id", X.page_limit(asked).alias("page_limit"))
+    """Numbers, numbers before letters, negative ones and none."""
+    n = (F.col("capture_id") % 700).cast("string")
+    asked = F.when(F.col("capture_id") % 5 == 0, "x").when(F.col("capture_id") % 5 == 1, F.concat(F.lit(" "), n, F.lit("abc"))).when(F.col("capture_id") % 5 == 2, F.concat(F.lit("-"), n)).otherwise(n)
+    return _captures(spark, d).select("capture_id", X.page_limit(asked).alias("page_limit"), X.page_offset(asked).alias("page_offset"))
+
+
+def decoded_topics(spark: SparkSession, d: str) -> DataFrame:
+    """Topics as a page sends them in its address, read again."""
+    return _captures(spark, d).where("topic is not null").select("topic").distinct().select("topic", X.decoded_topic(F.replace(F.url_encode("topic"), F.lit("+"), F.lit("%20"))).alias("decoded"))
+
+
+def platform_labels(spark: SparkSession, d: str) -> DataFrame:
+    return _captures(spark, d).select("capture_id", X.platform_label(F.col("source_url")).alias("label"))
 
 
 # Store
@@ -265,6 +303,11 @@ def export_headers(spark: SparkSession, d: str) -> DataFrame:
     return export.export_header(_chunks(spark, d, "topic"), EXPORTED)
 
 
+def export_markdown(spark: SparkSession, d: str) -> DataFrame:
+    """One document a topic, in rows."""
+    return export.markdown(_chunks(spark, d, "topic", "platform", "source_url", "document", "timestamp_ms"), EXPORTED)
+
+
 # Search
 
 
@@ -315,6 +358,23 @@ def knn_approx(spark: SparkSession, d: str) -> DataFrame:
     return search.approx_topk(table(spark, d, "chunk_vectors"), _query_vector(spark, d), "seq").select("seq", F.round("distance", 6).alias("distance"))
 
 
+def knn_approx_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Share of the nearest of ten queries that the approximate search finds, against the exact one: is it 0.9 or more?"""
+    vectors = table(spark, d, "chunk_vectors")
+    queries = vectors.where(usable(F.col("embedding"), 64)).orderBy(F.xxhash64("seq"), "seq").limit(10).collect()
+    both = [(search.topk(vectors, q.embedding, "seq", k=10, most=2.0), search.approx_topk(vectors, q.embedding, "seq", k=10)) for q in queries]
+    found = [exact.select("seq").join(near.select("seq", F.lit(1).alias("hit")), "seq", "left") for exact, near in both]
+    return reduce(DataFrame.unionByName, found).agg((F.count("hit") >= 0.9 * F.count("*")).alias("enough"))
+
+
+def table_search(spark: SparkSession, d: str) -> DataFrame:
+    """The same search as text_search within the threshold, through the table function."""
+    register(spark)
+    _chunks(spark, d, "document", "platform", "topic").withColumn("embedding", hashed_embedding(F.col("document"))).createOrReplaceTempView("__chunks_to_search")
+    register_search(spark, "__chunks_to_search")
+    return spark.sql("SELECT rank, id, round(distance, 6) AS distance, label FROM search('why did the parser block the cache', '', 10)")
+
+
 def text_search(spark: SparkSession, d: str) -> DataFrame:
     """The chunks nearest to a text under the hashed embedder."""
     rows = _chunks(spark, d, "document").withColumn("embedding", hashed_embedding(F.col("document")))
@@ -367,6 +427,19 @@ def sync_nothing_new(spark: SparkSession, d: str) -> DataFrame:
     return sync.nothing_new(_chunks(spark, d, "topic", "timestamp_ms"), table(spark, d, "sync_cursors"), wanted)
 
 
+def cursor_save(spark: SparkSession, d: str) -> DataFrame:
+    """Cursors saved, a delivery, its commit, and what is saved then."""
+    ensure_checkpoint_dir(spark)
+    at = sync.CursorStore(spark, f"{spark.sparkContext.getCheckpointDir()}/cursors-{uuid.uuid4().hex}")
+    version = at.save(table(spark, d, "sync_cursors").groupBy("topic").agg(F.max("cursor_ms").alias("cursor_ms")), 0)
+    at.commit(sync.delivered(_chunks(spark, d, "topic", "timestamp_ms"), at.read(version)), version)
+    return at.read()
+
+
+def topic_listing_text(spark: SparkSession, d: str) -> DataFrame:
+    return sync.listing_text(_chunks(spark, d, "topic"))
+
+
 def topic_listing(spark: SparkSession, d: str) -> DataFrame:
     return sync.listing(_chunks(spark, d, "topic"))
 
@@ -379,6 +452,11 @@ def briefing_entries(spark: SparkSession, d: str) -> DataFrame:
     return export.briefing(sync.delivered(_chunks(spark, d, "topic", "platform", "document", "timestamp_ms"), table(spark, d, "sync_cursors")))[1]
 
 
+def briefing_body(spark: SparkSession, d: str) -> DataFrame:
+    """The whole briefing of every topic, in rows."""
+    return export.briefing_documents(sync.delivered(_chunks(spark, d, "topic", "platform", "document", "timestamp_ms"), table(spark, d, "sync_cursors")))
+
+
 def job_states(spark: SparkSession, d: str) -> DataFrame:
     """Captures as jobs: without messages failed, the last third still running."""
     n = _messages(spark, d).groupBy("capture_id").agg(F.count("*").alias("total"))
@@ -396,19 +474,33 @@ def job_states(spark: SparkSession, d: str) -> DataFrame:
 def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
     """The chunk log as a stream into a store, and its live rows."""
     ensure_checkpoint_dir(spark)
-    root = f"{spark.sparkContext.getCheckpointDir()}/stream-{next(tempfile._get_candidate_names())}"
+    root = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
     log = table(spark, d, "chunks")
     source = spark.readStream.schema(log.schema).parquet(f"{d}/chunks.parquet*")
     at = store.ChunkStore(spark, f"{root}/store")
-    keep = lambda df: df.repartitionByRange(8, "seq").sortWithinPartitions("seq")
-    ingest.drain(ingest.into_store(source, at, f"{root}/offsets", keep))
+    ingest.drain(ingest.into_store(source, at, f"{root}/offsets", order="seq"))
     return at.read().select("id", "topic", "timestamp_ms")
 
 
+def store_two_writers(spark: SparkSession, d: str) -> DataFrame:
+    """The log in two halves by two writers with the same batch numbers, compacted in between, the second half replayed."""
+    ensure_checkpoint_dir(spark)
+    at = store.ChunkStore(spark, f"{spark.sparkContext.getCheckpointDir()}/store-{uuid.uuid4().hex}")
+    log = table(spark, d, "chunks")
+    half = log.agg(F.floor(F.max("seq") / 2)).first()[0]
+    first, second = log.where(F.col("seq") <= half), log.where(F.col("seq") > half)
+    at.append(first, 0, writer="a", order="seq")
+    at.compact()
+    at.append(second, 0, writer="b", order="seq")
+    at.append(second, 0, writer="b", order="seq")
+    at.append(first, 0, writer="a", order="seq")  # in the base already
+    return at.read().select("id", "document", "topic", "timestamp_ms")
+
+
 def stream_cursor(spark: SparkSession, d: str) -> DataFrame:
     """Events as a stream, delivered past each user's cursor."""
     ensure_checkpoint_dir(spark)
-    root = f"{spark.sparkContext.getCheckpointDir()}/stream-{next(tempfile._get_candidate_names())}"
+    root = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
     events = table(spark, d, "events")
     source = spark.readStream.schema(events.schema).parquet(f"{d}/events.parquet*").select("user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"))
     out = ingest.cursor_stream(source, "user_id", "ts_ms").writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/offsets").outputMode("append").trigger(availableNow=True).start()

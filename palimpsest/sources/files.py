@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,13 +12,28 @@ from palimpsest.operators.chunking import chunk_code
 from palimpsest.schema import EXTENSIONS, MAX_FILE_LENGTH, SKIPPED_NAMES, SKIPPED_SUFFIXES
 
 
-def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """path, rel_path, content of all files under root; what can't be read is left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").load(root)
+def read_tree(spark: SparkSession, root: str, extensions: list[str] | None = None) -> DataFrame:
+    """path, rel_path, content of the files under root that count; what can't be read or is empty is left out, what is no UTF-8 is replaced.
+
+    Names and sizes are listed first, and only the files that code_files() could keep are opened. Spark's file index holds
+    the names of all files anyway, so the list of those kept is no more.
+    """
+    options = {"recursiveFileLookup": "true", "ignoreCorruptFiles": "true", "ignoreMissingFiles": "true"}
     path = F.regexp_replace("path", "^[a-z]+:/*", "/")
     base = root.split(":", 1)[-1].rstrip("/")
-    rel = F.regexp_replace(path, "^" + "".join("\\" + c if not c.isalnum() else c for c in "/" + base.lstrip("/")) + "/", "")
-    return files.select(path.alias("path"), relative(rel).alias("rel_path"), F.decode("content", "UTF-8").alias("content"))
+    rel = relative(F.regexp_replace(path, "^" + "".join("\\" + c if not c.isalnum() else c for c in "/" + base.lstrip("/")) + "/", ""))
+    listed = spark.read.format("binaryFile").options(**options).load(root).select("path", "length", rel.alias("rel_path"))
+    wanted = listed.where(kept(F.col("rel_path"), extensions) & (F.col("length") <= 4 * MAX_FILE_LENGTH))  # a character has at most four bytes
+    paths = [_escaped(r.path) for r in wanted.select("path").toLocalIterator()]
+    if not paths:
+        return spark.createDataFrame([], "path string, rel_path string, content string")
+    files = spark.read.format("binaryFile").options(**options).load(paths)
+    return files.select(path.alias("path"), rel.alias("rel_path"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
+
+
+def _escaped(path: str) -> str:
+    """A path as a pattern that matches only it."""
+    return re.sub(r"([*?\[\]{}\\])", r"\\\1", path)
 
 
 def relative(path: Column) -> Column:
@@ -41,11 +58,15 @@ def kept_name(rel_path: Column) -> Column:
     return ~F.rlike(name_of(rel_path), F.lit("|".join(SKIPPED_SUFFIXES)))
 
 
+def kept(rel_path: Column, extensions: list[str] | None = None) -> Column:
+    """The names that count: walked, not skipped, of a wanted extension."""
+    wanted = [e.lower().removeprefix(".") for e in extensions or []] or EXTENSIONS
+    return walked(rel_path) & kept_name(rel_path) & extension(rel_path).isin(wanted)
+
+
 def code_files(files: DataFrame, extensions: list[str] | None = None, rel_path: str = "rel_path", content: str = "content") -> DataFrame:
     """The files that count: walked, not skipped by name, of a wanted extension, within the length limit."""
-    wanted = [e.lower().removeprefix(".") for e in extensions or []] or EXTENSIONS
-    p = F.col(rel_path)
-    return files.where(walked(p) & kept_name(p) & extension(p).isin(wanted) & (F.length(content) <= MAX_FILE_LENGTH))
+    return files.where(kept(F.col(rel_path), extensions) & (F.length(content) <= MAX_FILE_LENGTH))
 
 
 def code_chunks(files: DataFrame, now_ms: int, path: str = "path", rel_path: str = "rel_path", content: str = "content", topic: str = "topic") -> DataFrame:

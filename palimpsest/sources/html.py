@@ -10,6 +10,10 @@ from palimpsest.functions.batches import map_lists
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCKS = {"p", "div", "li", "ul", "ol", "pre", "tr", "table", "section", "article", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6"}
+#: What an opening tag ends, and how far out it is looked for.
+ENDED_BY = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr"}, "option": {"option"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
+SCOPES = {"ul", "ol", "dl", "table", "select", "div", "section", "article", "body", "blockquote"}
+BLANK = "\t\n\x0b\x0c\r \xa0\ufeff\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 HIDDEN = {"script", "style", "template", "noscript", "head"}
 
 
@@ -34,25 +38,46 @@ class Node:
             todo += n.children[::-1]
 
     def text(self) -> str:
-        """Text as read: blocks stand on lines of their own, hidden parts are left out."""
+        """Text as read: blocks stand on lines of their own, hidden parts are left out. No recursion, as pages nest without bound."""
         out: list[str] = []
 
-        def go(n: Node) -> None:
-            for p in n.parts:
-                if isinstance(p, str):
-                    out.append(p)
-                elif p.tag == "br":
-                    out.append("\n")
-                elif p.tag not in HIDDEN:
-                    block = p.tag in BLOCKS
-                    if block and out and not out[-1].endswith("\n"):
-                        out.append("\n")
-                    go(p)
-                    if block and out and not out[-1].endswith("\n"):
-                        out.append("\n")
+        def line() -> None:
+            if out and not out[-1].endswith("\n"):
+                out.append("\n")
 
-        go(self)
-        return "".join(out).strip()
+        todo: list[Node | str | None] = [*reversed(self.parts)]
+        while todo:
+            p = todo.pop()
+            if p is None:  # the end of a block
+                line()
+            elif isinstance(p, str):
+                out.append(p)
+            elif p.tag == "br":
+                out.append("\n")
+            elif p.tag not in HIDDEN:
+                if p.tag in BLOCKS:
+                    line()
+                    todo.append(None)
+                todo += reversed(p.parts)
+        return "".join(out).strip(BLANK)
+
+    def longer(self, n: int) -> bool:
+        """Has the text more than n characters? Looks no further than needed."""
+        size, gap, todo = 0, 0, [*reversed(self.parts)]
+        while todo:
+            p = todo.pop()
+            if isinstance(p, str):
+                core = p.strip(BLANK)
+                if core:
+                    size += (gap + len(p) - len(p.lstrip(BLANK)) if size else 0) + len(core)
+                    gap = len(p) - len(p.rstrip(BLANK))
+                else:
+                    gap += len(p)
+                if size > n:
+                    return True
+            elif p.tag not in HIDDEN:
+                todo += reversed(p.parts)
+        return len(self.text()) > n
 
 
 class Tree(HTMLParser):
@@ -65,7 +90,13 @@ class Tree(HTMLParser):
         self.close()
 
     def handle_starttag(self, tag, attrs):
-        if tag == "p" and self.at.tag == "p":
+        if tag in ENDED_BY:  # an open element of this kind ends, unless a list or table of its own is open within it
+            n = self.at
+            while n.parent is not None and n.tag not in SCOPES and n.tag not in ENDED_BY[tag]:
+                n = n.parent
+            if n.tag in ENDED_BY[tag]:
+                self.at = n.parent
+        elif tag in BLOCKS and self.at.tag == "p":
             self.at = self.at.parent
         node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.parts.append(node)
@@ -87,7 +118,8 @@ class Tree(HTMLParser):
 
 
 def _first(n: Node, *classes: str) -> str:
-    return next((x.text() for x in n.walk() if any(c in x.classes for c in classes)), None) or n.text()
+    """The text of the first node below of one of the classes, even if it is empty; of the node itself if there is none."""
+    return next((x for x in n.walk() if any(c in x.classes for c in classes)), n).text()
 
 
 # Per platform which nodes are messages, whose they are, and where their text is.
@@ -106,33 +138,48 @@ def messages(html: str, platform: str) -> list[tuple[str, str]]:
     return [(r, t) for r, t in found if len(t) > 2]
 
 
-def container(root: Node) -> Node | None:
-    """From the innermost first node outwards, the first with two children of more than 20 characters of text each."""
-    n = root
-    while n.children:
+def container(root: Node, start: str | None = None) -> Node | None:
+    """From a node outwards, the first with two children of more than 20 characters of text each.
+
+    start: the id of the node that was chosen; without it the innermost first node.
+    """
+    n = next((x for x in root.walk() if x.attrs.get("id") == start), None) if start else root
+    if n is None:
+        return None
+    while not start and n.children:
         n = n.children[0]
     while n is not None and n.tag not in ("body", "#root"):
-        if sum(len(c.text()) > 20 for c in n.children) >= 2:
+        if sum(c.longer(20) for c in n.children) >= 2:
             return n
         n = n.parent
     return None
 
 
-def manual_messages(html: str) -> list[tuple[str, str]]:
+def manual_messages(html: str, start: str | None = None) -> list[tuple[str, str]]:
     """Children of the page's container as messages of unknown role."""
-    box = container(Tree(html).root)
+    box = container(Tree(html).root, start)
     return [("unknown", t) for c in (box.children if box else []) if len(t := c.text()) > 2]
 
 
-def extract_messages(pages: DataFrame, key: str, html: str = "html", platform: str = "platform") -> DataFrame:
-    """key, turn, role, text; pages of unknown platforms are read by their container."""
+def read_page(html: str | None, platform: str | None, start: str | None = None) -> list[tuple[str, str]]:
+    """(role, text) of a page's messages; a page that can't be read has none."""
+    if not html:
+        return []
+    try:
+        return messages(html, platform) if platform in RULES else manual_messages(html, start)
+    except (AssertionError, RecursionError, ValueError):  # what the parser raises on broken markup
+        return []
+
+
+def extract_messages(pages: DataFrame, key: str, html: str = "html", platform: str = "platform", start: str | None = None) -> DataFrame:
+    """key, turn, role, text; pages of unknown platforms are read by their container, from the node whose id is in the column start."""
     kind = dict(pages.dtypes)[key]
 
     def make():
-        def run(keys, pages_, platforms):
-            out = [(k, i, r, t) for k, h, p in zip(keys, pages_, platforms) if h for i, (r, t) in enumerate(messages(h, p) if p in RULES else manual_messages(h))]
+        def run(keys, pages_, platforms, *starts):
+            out = [(k, i, r, t) for k, h, p, s in zip(keys, pages_, platforms, starts[0] if starts else [None] * len(keys)) for i, (r, t) in enumerate(read_page(h, p, s))]
             return list(zip(*out)) or [()] * 4
 
         return run
 
-    return map_lists(pages.select(key, html, platform), make, f"`{key}` {kind}, turn bigint, role string, text string")
+    return map_lists(pages.select(key, html, platform, *([start] if start else [])), make, f"`{key}` {kind}, turn bigint, role string, text string")

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import record_chunk_id, with_role
 from palimpsest.operators.chunking import chunk_message
-from palimpsest.operators.ranking import position
 from palimpsest.schema import DEFAULT_PLATFORM, DEFAULT_TOPIC, RECORD
 
 #: Turns of one capture that are ranked in one task.
@@ -42,12 +41,27 @@ def message_chunks(messages: DataFrame) -> DataFrame:
     return rows.select("message_id", "capture_id", "turn", F.posexplode(chunk_message(with_role(F.col("role"), F.col("text")))).alias("pos", "document"))
 
 
-def record_chunks(captures: DataFrame, messages: DataFrame, now_ms: int) -> DataFrame:
-    """Chunk rows of the captures, numbered through all messages of a capture; defaults are filled in."""
-    chunks = position(message_chunks(messages), ["capture_id"], ["turn", "message_id", "pos"], F.floor(F.col("turn") / TURNS), "index")
-    rows = chunks.join(captures, "capture_id")
-    return rows.select(
-        record_chunk_id(F.col("source_url"), F.col("index")).alias("id"), "document", F.coalesce("source_url", F.lit("")).alias("source_url"),
+def record_chunks(captures: DataFrame, messages: DataFrame, now_ms: int, with_document: bool = True) -> DataFrame:
+    """Chunk rows of the captures, numbered through all messages of a capture; defaults are filled in.
+
+    A message is chunked once and shuffled once, by capture and TURNS turns; the chunks before it are counted within these
+    parts and by part, and a capture's columns come to its parts, so one capture may hold any share of the messages.
+    """
+    docs = chunk_message(with_role(F.col("role"), F.col("text")))
+    part = F.floor(F.col("turn") / TURNS).alias("__part")
+    rows = messages.where("text is not null").select("capture_id", part, "turn", "message_id", docs.alias("__docs"))
+    rows = rows.select("capture_id", "__part", "turn", "message_id", F.size("__docs").alias("__n"), *(["__docs"] if with_document else [])).repartition("capture_id", "__part")
+    sizes = rows.groupBy("capture_id", "__part").agg(F.sum("__n").alias("__size"))
+    before = F.coalesce(F.sum("__size").over(Window.partitionBy("capture_id").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = sizes.withColumn("__before", before).join(captures, "capture_id")
+    within = Window.partitionBy("capture_id", "__part").orderBy("turn", "message_id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("__within", F.coalesce(F.sum("__n").over(within), F.lit(0))).drop("turn", "message_id").join(parts, ["capture_id", "__part"])
+    one = F.posexplode("__docs") if with_document else F.posexplode(F.when(F.col("__n") > 0, F.sequence(F.lit(1), F.col("__n"))))
+    rows = rows.select(*captures.columns, "__before", "__within", one.alias("__pos", "document"))
+    index = (F.col("__before") + F.col("__within") + F.col("__pos")).cast("bigint")
+    out = rows.select(
+        record_chunk_id(F.col("source_url"), index).alias("id"), "document", F.coalesce("source_url", F.lit("")).alias("source_url"),
         F.coalesce("platform", F.lit(DEFAULT_PLATFORM)).alias("platform"), F.coalesce("topic", F.lit(DEFAULT_TOPIC)).alias("topic"),
         F.coalesce("timestamp_ms", F.lit(now_ms)).cast("bigint").alias("timestamp_ms"), F.lit(None).cast("string").alias("file_path"), "capture_id",
     )
+    return out if with_document else out.drop("document")

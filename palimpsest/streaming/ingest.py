@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from palimpsest.operators.store import ChunkStore
 from palimpsest.schema import JOB_TTL_MS
 
 
-def into_store(stream: DataFrame, store: ChunkStore, checkpoint: str, transform: Callable[[DataFrame], DataFrame] = lambda df: df) -> StreamingQuery:
-    """Append every micro-batch of chunk rows to the store under its batch id; a replayed batch replaces itself."""
+def into_store(stream: DataFrame, store: ChunkStore, checkpoint: str, transform: Callable[[DataFrame], DataFrame] = lambda df: df, order: str | None = None) -> StreamingQuery:
+    """Append every micro-batch of chunk rows to the store; a replayed batch replaces itself.
+
+    The writer is the stream, which its checkpoint identifies: another stream, or this one with a new checkpoint, is another.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        store.append(transform(batch), number)
+        writer = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint
+        store.append(transform(batch), number, writer=writer, order=order)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -49,6 +55,39 @@ def jobs(started: DataFrame, now_ms: int, ttl_ms: int = JOB_TTL_MS) -> DataFrame
     return started.where(alive).select("job_id", status.alias("status"), "done", "total", percent.alias("percent"))
 
 
+def new_job_id() -> str:
+    """Eight letters and digits."""
+    return uuid.uuid4().hex[:8]
+
+
+class JobFeed(StreamingQueryListener):
+    """Progress of streams as jobs: rows (job_id, done, total, error, ended_ms) as jobs() takes them, one for each run of a stream.
+
+    Only counts come to the driver. total is what has been read so far, as a stream has no end that is known before.
+    """
+
+    def __init__(self, clock: Callable[[], int] = lambda: int(time.time() * 1000)):
+        self.clock, self.rows = clock, {}
+
+    def onQueryStarted(self, event) -> None:
+        self.rows[str(event.runId)] = {"job_id": new_job_id(), "done": 0, "total": 0, "error": None, "ended_ms": None}
+
+    def onQueryProgress(self, event) -> None:
+        row = self.rows[str(event.progress.runId)]
+        row["done"] = row["total"] = row["total"] + event.progress.numInputRows
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        row = self.rows[str(event.runId)]
+        row["error"], row["ended_ms"] = event.exception, self.clock()
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        rows = [tuple(r.values()) for r in self.rows.values()]
+        return spark.createDataFrame(rows, "job_id string, done bigint, total bigint, error string, ended_ms bigint")
+
+
 def drain(query: StreamingQuery) -> dict:
     """Wait for a stream to end and return its last progress."""
     query.awaitTermination()

@@ -41,7 +41,10 @@ def test_host_paths(spark):
 
 def test_small_ones(spark):
     assert one(spark, " .PY ,, js", X.parse_extensions) == ["py", "js"]
-    assert [one(spark, v, X.page_limit) for v in ("0", "x", None, "7", "900")] == [50, 50, 50, 7, 500]
+    assert [one(spark, v, X.page_limit) for v in ("0", "x", None, "7", "900", "12abc", " 9", "-3", "99999999999")] == [50, 50, 50, 7, 500, 12, 9, 50, 500]
+    assert [one(spark, v, X.page_offset) for v in ("0", "x", None, "70", "12abc", "-3")] == [0, 0, 0, 70, 12, 0]
+    assert [one(spark, v, X.decoded_topic) for v in ("a%20b", "a+b", "%C3%A8", "100%", None)] == ["a b", "a+b", "è", "100%", None]
+    assert [one(spark, v, X.platform_label) for v in ("https://claude.ai/x", "https://Some.example:80/x", None)] == ["Claude", "Manual:some.example", None]
     assert [one(spark, v, X.resolve_topic) for v in (None, " ", " a ")] == ["Generale", "Generale", "a"]
     assert one(spark, 1, lambda c: X.percent(c, F.lit(3)), "int") == 33
     assert one(spark, 1, lambda c: X.percent(c, F.lit(0)), "int") == 0
