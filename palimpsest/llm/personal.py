@@ -221,7 +221,11 @@ def details(t: str, words: set[str]) -> list[tuple[int, int, str]]:
         add("person", TITLED)
     out: list[tuple[int, int, str]] = []
     for a, b, kind in sorted(spans, key=lambda x: (KINDS.index(x[2]), x[0], -x[1])):
-        if not any(a < d and c < b for c, d, _ in out):
+        met = [c for c, d, _ in out if a < d and c < b]
+        if met and kind == "person" and a < min(met):  # a name may end where an address begins
+            b = a + len(t[a : min(met)].rstrip(" ,"))
+            met = [] if TITLED.fullmatch(t[a:b]) else met
+        if not met:
             out.append((a, b, kind))
     return sorted(out)
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm import leaks, neardups, neighbours, packing, personal, pieces, provenance, scans, secrets, subjects
-from palimpsest.operators.ranking import position
+from palimpsest.operators.ranking import position_by_range
 from palimpsest.session import cut, spread, table
 
 
@@ -48,6 +50,26 @@ def _code(spark: SparkSession, sf_dir: str) -> list[tuple[DataFrame, bool]]:
     return [(spread(files), False), (spread(chunks), True)]
 
 
+def p2_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts in which an e-mail address, a number, a street or a titled name is found after redaction: none."""
+    texts = personal.personal(_texts(spark, sf_dir, conversations=True).dropDuplicates(["src", "item_key"]), ["src", "item_key"])
+    seen, _ = personal.scanned(texts.select("src", "item_key", "text"), ["src", "item_key"], "text", with_text=False)
+    return seen.where(F.size("__spans") > 0).agg(F.count("*").alias("residue"))
+
+
+def p3_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with a credential after redaction, and texts whose number of lines redaction changed: none."""
+    out, changed = [], []
+    for df, bare in _code(spark, sf_dir):
+        before = df.dropDuplicates(["src", "item_key"])
+        after = cut(secrets.redacted(before, ["src", "item_key"], "text", bare))
+        out.append(secrets.secrets(after, ["src", "item_key"], "text", bare).select("line_no"))
+        lines = lambda x: F.regexp_count("text", F.lit("\n")).alias(x)
+        both = before.select("src", "item_key", lines("a")).join(after.select("src", "item_key", lines("b")), ["src", "item_key"])
+        changed.append(both.where("a <> b").select(F.lit(0).cast("bigint").alias("line_no")))
+    return reduce(DataFrame.unionByName, out + changed).agg(F.count("*").alias("residue"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, chunks = (secrets.secrets(df, ["src", "item_key"], "text", bare) for df, bare in _code(spark, sf_dir))
     return files.unionByName(chunks).select("src", "item_key", "line_no").distinct()
@@ -86,9 +108,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     row comes out with more than a few, and every link between different texts comes out.
     """
     members, links = neardups.near_pairs(_conversation_chunks(spark, sf_dir), "seq", "document")
-    # Ranks by ranges of (rep, key): one class may hold any share of the rows.
-    ordered = cut(members.repartitionByRange("rep", "key").withColumn("part", F.spark_partition_id()))
-    ranked = cut(position(ordered, ["rep"], ["key"], F.col("part"), "rank").drop("part"))
+    ranked = cut(position_by_range(members, ["rep"], ["key"], "rank"))  # one class may hold any share of the rows
     near = ranked.withColumn("other", F.explode(F.sequence(F.greatest(F.col("rank") - RANKS, F.lit(0)), F.col("rank") + RANKS)))
     right = ranked.select(F.col("rep").alias("rep_b"), F.col("rank").alias("other"), F.col("key").alias("key_b"))
     between = near.withColumnsRenamed({"rep": "rep_a", "key": "key_a"}).join(links.select("rep_a", "rep_b"), "rep_a").join(right, ["rep_b", "other"]).select("key_a", "key_b")
@@ -115,6 +135,16 @@ def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.pieces(_texts(spark, sf_dir).dropDuplicates(["src", "item_key"]), ["src", "item_key"])
 
 
+def p6_covered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each text the characters that its pieces cover, each counted once; are all within the limit and equal to the text there?"""
+    texts = _texts(spark, sf_dir).where("text is not null").dropDuplicates(["src", "item_key"])
+    cut_up = pieces.pieces(texts, ["src", "item_key"]).join(texts, ["src", "item_key"])
+    before = F.lag("end_pos", 1, 0).over(Window.partitionBy("src", "item_key").orderBy("piece_no"))
+    same = (F.length("piece") <= pieces.LIMIT) & (F.col("piece") == F.substring(F.col("text"), F.col("start_pos") + 1, F.col("end_pos") - F.col("start_pos"))) & (F.col("start_pos") <= before)
+    rows = cut_up.select("src", "item_key", (F.col("end_pos") - before).alias("new"), same.alias("same"))
+    return rows.groupBy("src", "item_key").agg(F.sum("new").alias("n_chars"), F.bool_and("same").alias("same"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return provenance.provenance(table(spark, sf_dir, "source_files"), every=False).select("file_id").distinct()
 
@@ -142,6 +172,14 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.where("container_id is not null").groupBy("container_id").agg(F.count("*").alias("n_items"), F.sum("length").alias("tokens"))
 
 
+def p8_space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tokens placed; is no container over its capacity, no item of the texts missing, and are there at most 2 % (and 2) more containers than the tokens fill?"""
+    placed = packing.assign(spread(table(spark, sf_dir, "documents"))).where("container_id is not null")
+    fill = placed.groupBy("container_id").agg(F.sum("length").alias("tokens"))
+    enough = F.count("*") <= F.ceil(F.sum("tokens") / packing.CAPACITY) * 1.02 + 2
+    return fill.agg(F.sum("tokens").alias("tokens"), (F.max("tokens") <= packing.CAPACITY).alias("within"), enough.alias("enough"))
+
+
 def p8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", packing.n_tokens(F.col("text")).alias("n_tokens"))
 
@@ -196,6 +234,18 @@ ends AS (SELECT rep, count(*) AS n_links FROM (SELECT x AS rep FROM link UNION A
 SELECT seq, class_id, coalesce(n_links, 0) AS n_links FROM m LEFT JOIN ends ON rep = class_id""",
         "p6_found": f"""WITH t AS (SELECT DISTINCT 'messages' AS src, message_id AS item_key, text FROM messages UNION SELECT DISTINCT 'chunks', seq, document FROM chunks)
 SELECT src, item_key, CASE WHEN list_max(list_transform(string_split_regex(text, '[{_BLANK}]+'), lambda x: length(x))) > 800 THEN 'forced' ELSE 'natural' END AS cut_kind FROM t WHERE length(text) > 800""",
+        "p2_residue": "SELECT 0 AS residue",
+        "p3_residue": "SELECT 0 AS residue",
+        "p6_covered": "WITH t AS (SELECT DISTINCT 'messages' AS src, message_id AS item_key, text FROM messages UNION SELECT DISTINCT 'chunks', seq, document FROM chunks) SELECT src, item_key, length(text) AS n_chars, TRUE AS same FROM t WHERE text IS NOT NULL",
+        "p8_space": f"SELECT CAST(sum(n_tokens) AS BIGINT) AS tokens, TRUE AS within, TRUE AS enough FROM ({tokens})",
+        "p9_report": f"""WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents), i AS (SELECT item_id, answer, {_WORDS.format('passage')} AS w FROM eval_items),
+dw AS (SELECT doc_id, unnest(range(0, len(w) - 11)) AS p, unnest({windows}) AS g FROM d WHERE len(w) >= 12), iw AS (SELECT DISTINCT item_id, unnest({windows}) AS g FROM i WHERE len(w) >= 12),
+hit AS (SELECT DISTINCT doc_id, item_id, p FROM dw JOIN iw USING (g)), run AS (SELECT doc_id, item_id, p - row_number() OVER (PARTITION BY doc_id, item_id ORDER BY p) AS island FROM hit),
+best AS (SELECT doc_id, item_id, max(n) + 11 AS words FROM (SELECT doc_id, item_id, count(*) AS n FROM run GROUP BY doc_id, item_id, island) GROUP BY 1, 2),
+place AS (SELECT doc_id, item_id, greatest(0, min(p) - 50) AS a, max(p) + 62 AS b FROM hit GROUP BY 1, 2),
+near AS (SELECT doc_id, item_id, len(i.answer_words) > 0 AND contains(' ' || array_to_string(d.w[a + 1:b], ' ') || ' ', ' ' || array_to_string(i.answer_words, ' ') || ' ') AS found
+FROM place JOIN d USING (doc_id) JOIN (SELECT item_id, coalesce({_WORDS.format('answer')}, []) AS answer_words FROM eval_items) i USING (item_id))
+SELECT item_id, count(*) AS n_docs, CAST(max(words) AS INTEGER) AS most_shared_words, count(*) FILTER (found) AS n_with_answer FROM best JOIN near USING (doc_id, item_id) GROUP BY 1""",
         "p8_found": f"SELECT doc_id FROM ({tokens}) WHERE n_tokens > 1024",
         "p8_tokens": tokens,
         "p9_found": f"""WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents), i AS (SELECT item_id, {_WORDS.format('passage')} AS w FROM eval_items),
