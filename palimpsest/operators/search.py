@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.vectors import cosine_distance, usable
@@ -25,6 +27,12 @@ def topk(rows: DataFrame, query: list[float], key: str, vector: str = "embedding
     return near.where(F.col("distance") <= most).orderBy("distance", key).limit(k)
 
 
+def text_topk(rows: DataFrame, text: str, embed: Callable[[Column], Column], key: str, vector: str = "embedding", k: int = SEARCH_K, topic: str | None = None, most: float = MAX_DISTANCE) -> DataFrame:
+    """topk() for a text; embed is the column function that made the rows' vectors. The text is embedded when this is called."""
+    query = rows.sparkSession.range(1).select(embed(F.lit(text)).alias("q")).first()["q"]
+    return topk(rows, list(query), key, vector, k, topic, most)
+
+
 def approx_topk(rows: DataFrame, query: list[float], key: str, vector: str = "embedding", k: int = SEARCH_K, tables: int = 8, width: float = 1.0) -> DataFrame:
     """The k nearest rows among those that share a hash bucket with the query; distances are exact.
 

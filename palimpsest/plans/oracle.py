@@ -195,5 +195,7 @@ SELECT job_id, CASE WHEN failed THEN 'error' WHEN ended_ms IS NOT NULL THEN 'don
     "stream_upsert": f"WITH {CHUNKS} SELECT id, topic, timestamp_ms FROM live",
     "store_two_writers": f"WITH {CHUNKS} SELECT id, document, topic, timestamp_ms FROM live",
     "stream_cursor": "SELECT user_id, count(*) AS n, max(epoch_us(ts) // 1000) AS cursor_ms FROM events GROUP BY 1",
+    "stream_cursor_late": """WITH e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms FROM events), a AS (SELECT user_id, count(*) AS n, max(ms) AS cursor_ms FROM e WHERE event_id % 3 = 0 GROUP BY 1)
+SELECT * FROM a UNION ALL SELECT e.user_id, count(*), max(ms) FROM e LEFT JOIN a USING (user_id) WHERE event_id % 3 <> 0 AND ms > coalesce(cursor_ms, 0) GROUP BY 1""",
     "message_positions": f"WITH {MESSAGES} SELECT message_id, row_number() OVER (PARTITION BY capture_id ORDER BY turn, message_id) - 1 AS at FROM msg",
 }

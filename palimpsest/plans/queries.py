@@ -378,8 +378,7 @@ def table_search(spark: SparkSession, d: str) -> DataFrame:
 def text_search(spark: SparkSession, d: str) -> DataFrame:
     """The chunks nearest to a text under the hashed embedder."""
     rows = _chunks(spark, d, "document").withColumn("embedding", hashed_embedding(F.col("document")))
-    query = spark.range(1).select(hashed_embedding(F.lit("why did the parser block the cache")).alias("q")).first()["q"]
-    return search.topk(rows, query, "id", k=10, most=2.0).select("id", F.round("distance", 6).alias("distance"))
+    return search.text_topk(rows, "why did the parser block the cache", hashed_embedding, "id", k=10, most=2.0).select("id", F.round("distance", 6).alias("distance"))
 
 
 def context_block(spark: SparkSession, d: str) -> DataFrame:
@@ -508,6 +507,19 @@ def stream_cursor(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{root}/out")
 
 
+def stream_cursor_late(spark: SparkSession, d: str) -> DataFrame:
+    """The same in two batches, of which the second holds late rows: what is at or before the first one's cursor isn't delivered."""
+    ensure_checkpoint_dir(spark)
+    root = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    events = table(spark, d, "events").select("event_id", "user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"))
+    for part in ("event_id % 3 = 0", "event_id % 3 <> 0"):
+        events.where(part).write.mode("append").parquet(f"{root}/in")
+        source = spark.readStream.schema("event_id bigint, user_id bigint, ts_ms bigint").parquet(f"{root}/in")
+        out = ingest.cursor_stream(source.select("user_id", "ts_ms"), "user_id", "ts_ms").writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/offsets")
+        ingest.drain(out.outputMode("append").trigger(availableNow=True).start())
+    return spark.read.parquet(f"{root}/out")
+
+
 def message_positions(spark: SparkSession, d: str) -> DataFrame:
     """Position of each message in its capture."""
     rows = _messages(spark, d).select("message_id", "capture_id", "turn")
