@@ -29,6 +29,7 @@ def test_names_in_ordinary_sentences(spark):
     first, last = len(told), len(told) + len(held)
     recall = sum(k in found for k in range(first, last)) / len(held)
     wrong = [texts[k] for k in found if k >= last]
+    print(f"recall {recall:.2f}, wrong {len(wrong)} of {len(OTHERS)}")
     assert recall >= 0.9, [texts[k] for k in range(first, last) if k not in found]
     assert len(wrong) <= 1, wrong
     got = {r.k: r.text for r in personal.personal(rows, ["k"]).collect()}
