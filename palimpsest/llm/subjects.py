@@ -7,8 +7,8 @@ driver adds the gradients up and takes one step, so the result does not depend o
 targets are its document's subjects, and after a few steps only the one of them that the model finds likeliest.
 Scoring: the outputs are linear in the word vectors, so a word's contribution to each subject is computed once in a
 task; a sentence treats its best subject if it is sure enough, and a document the subjects of enough sentences, a share of
-all sure ones or close to each other, but always at least one. Sentences that stand in quoted texts (of test items, say)
-count neither in training nor in scoring.
+all sure ones or close to each other, but always at least one. Sentences of which more than half stands in a stretch of QUOTED words or more of
+quoted texts (test items, say) count neither in training nor in scoring.
 
 Defined results: null or wordless texts get no subject; labels of unknown documents and repeated labels are ignored;
 with no labels at all every text gets nothing. The labels of at most MAX_LABELLED documents are used, the first by the
@@ -36,6 +36,8 @@ SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 #: A sentence treats its best subject if the output is at least SURE; a document's subjects have MANY such sentences, and
 #: SHARE of all such or MANY within CLOSE sentences.
 SURE, MANY, SHARE, CLOSE = 0.6, 3, 0.1, 6
+#: Words in a row that make a quotation.
+QUOTED = 8
 
 
 def features(word: str) -> tuple[int, list[int]]:
@@ -45,10 +47,9 @@ def features(word: str) -> tuple[int, list[int]]:
     return zlib.crc32(word.encode()) % BUCKETS, [zlib.crc32(b"#" + g.encode()) % BUCKETS for g in grams]
 
 
-def bags(text: str, quoted: frozenset | set = frozenset()) -> list[list[str]]:
-    """The words of each sentence that has any and isn't quoted."""
-    out = [w for s in SENTENCE.split(text) if (w := WORD.findall(s.lower()))]
-    return [w for w in out if " ".join(w) not in quoted] if quoted else out
+def bags(text: str) -> list[list[str]]:
+    """The words of each sentence that has any."""
+    return [w for s in SENTENCE.split(text) if (w := WORD.findall(s.lower()))]
 
 
 class Vocabulary:
@@ -76,18 +77,58 @@ class Vocabulary:
         return table[own] + np.add.reduceat(table[flat], np.cumsum(sizes) - sizes) / sizes[:, None]
 
 
+class Reader:
+    """Texts as sentences of word numbers, without what is quoted from some texts (given as lists of words)."""
+
+    def __init__(self, quotes: list[list[str]]):
+        self.vocabulary = Vocabulary()
+        parts = [self.codes(self.vocabulary.ids(q)) for q in quotes if len(q) >= QUOTED]
+        self.known = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
+
+    @staticmethod
+    def codes(ids: list[int]) -> np.ndarray:
+        """Of every three words in a row."""
+        a = np.array(ids, np.int64)
+        return (a[:-2] << 42) | (a[1:-1] << 21) | a[2:]
+
+    def read(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(word numbers, sizes of the sentences)"""
+        found = bags(text)
+        ids = np.array(self.vocabulary.ids([w for b in found for w in b]), np.int64)
+        sizes = np.array([len(b) for b in found], np.int64)
+        if len(self.known) and len(ids) >= QUOTED:
+            codes = self.codes(ids)
+            hit = self.known[np.minimum(np.searchsorted(self.known, codes), len(self.known) - 1)] == codes
+            if hit.any():
+                edges = np.flatnonzero(np.diff(np.r_[0, hit.astype(np.int8), 0]))
+                inside = np.zeros(len(ids), bool)
+                for first, last in zip(edges[::2], edges[1::2]):
+                    if last - first >= QUOTED - 2:
+                        inside[first : last + 2] = True
+                keep = 2 * np.add.reduceat(inside, np.cumsum(sizes) - sizes, dtype=np.int64) <= sizes
+                if keep.any():
+                    ids, sizes = ids[np.repeat(keep, sizes)], sizes[keep]
+        return ids, sizes
+
+
 class Part:
     """The labelled sentences of one partition, ready for gradients."""
 
-    def __init__(self, texts: list[str], labels: list[list[int]], n_subjects: int, quoted: frozenset | set = frozenset()):
+    def __init__(self, texts: list[str], labels: list[list[int]], n_subjects: int, quotes: list[list[str]] = []):  # noqa: B006
+        reader = Reader(quotes)
+        read = [(*reader.read(t), ks) for t, ks in zip(texts, labels)]
+        read = [x for x in read if len(x[1])]
+        # Words of this part's sentences only, numbered anew.
+        used, flat = np.unique(np.concatenate([ids for ids, _, _ in read] or [np.zeros(0, np.int64)]), return_inverse=True)
         vocabulary = Vocabulary()
-        rows = [(vocabulary.ids(w), ks) for t, ks in zip(texts, labels) for w in bags(t, quoted)]
-        self.n = len(rows)
-        self.sizes = np.array([len(i) for i, _ in rows], np.int32)
-        self.flat = np.array([i for ids, _ in rows for i in ids], np.int32)
+        vocabulary.own, vocabulary.grams = [reader.vocabulary.own[i] for i in used], [reader.vocabulary.grams[i] for i in used]
+        self.sizes = np.concatenate([sizes for _, sizes, _ in read] or [np.zeros(0)]).astype(np.int32)
+        self.n, self.flat = len(self.sizes), flat.astype(np.int32)
         self.labels = np.zeros((self.n, n_subjects), np.float32)
-        for r, (_, ks) in enumerate(rows):
-            self.labels[r, ks] = 1
+        at = 0
+        for _, sizes, ks in read:
+            self.labels[at : at + len(sizes), ks] = 1
+            at += len(sizes)
         self.own = np.array(vocabulary.own, np.int32)
         self.gram_sizes = np.array([len(g) for g in vocabulary.grams], np.int32)
         self.grams = np.array([g for gs in vocabulary.grams for g in gs], np.int32)
@@ -137,30 +178,28 @@ def fit(gradients, n_sentences: int, n_subjects: int, steps: int = STEPS, warm_u
 
 
 class Scorer:
-    def __init__(self, params, quoted: frozenset | set = frozenset()):
+    def __init__(self, params, quotes: list[list[str]] = []):  # noqa: B006
         self.table, self.out, self.bias = params
-        self.quoted = quoted
+        self.quotes = quotes
         self.clear()
 
     def clear(self) -> None:
-        self.vocabulary, self.known = Vocabulary(), 0
+        self.reader, self.known = Reader(self.quotes), 0
         self.logits = np.zeros((1024, self.out.shape[1]))
 
     def sentences(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Outputs of each sentence with words, and the whole text's."""
-        found = bags(text, self.quoted) or bags(text)
-        if not found:
-            return np.zeros((0, len(self.bias))), np.zeros(len(self.bias))
         if self.known > MAX_WORDS:
             self.clear()
-        ids = self.vocabulary.ids([w for b in found for w in b])
-        n = len(self.vocabulary.own)
+        ids, sizes = self.reader.read(text)
+        if not len(sizes):
+            return np.zeros((0, len(self.bias))), np.zeros(len(self.bias))
+        n = len(self.reader.vocabulary.own)
         if self.known < n:
             if n > len(self.logits):
                 self.logits = np.concatenate([self.logits[: self.known], np.zeros((2 * n - self.known, self.out.shape[1]))])
-            self.logits[self.known : n] = self.vocabulary.vectors(self.table, self.known) @ self.out
+            self.logits[self.known : n] = self.reader.vocabulary.vectors(self.table, self.known) @ self.out
             self.known = n
-        sizes = np.array([len(b) for b in found])
         sums = np.add.reduceat(self.logits[ids], np.cumsum(sizes) - sizes)
         sigmoid = lambda x: 1 / (1 + np.exp(-x))
         return sigmoid(sums / sizes[:, None] + self.bias), sigmoid(sums.sum(0) / sizes.sum() + self.bias)
@@ -181,12 +220,12 @@ class Scorer:
         return [(k, int(n[k]), float(whole[k])) for k in keep]
 
 
-def quotations(texts: DataFrame | None) -> frozenset:
-    """The sentences of a bounded set of texts (of one column)."""
-    return frozenset(" ".join(w) for r in (texts.where(F.col(texts.columns[0]).isNotNull()).collect() if texts is not None else []) for w in bags(r[0]))
+def quotations(texts: DataFrame | None) -> list[list[str]]:
+    """The words of a bounded set of texts (of one column)."""
+    return [WORD.findall(r[0].lower()) for r in (texts.where(F.col(texts.columns[0]).isNotNull()).distinct().collect() if texts is not None else [])]
 
 
-def train(docs: DataFrame, labels: DataFrame, subjects: list[str], key: str = "doc_id", text: str = "text", subject: str = "subject", quoted: frozenset = frozenset()):
+def train(docs: DataFrame, labels: DataFrame, subjects: list[str], key: str = "doc_id", text: str = "text", subject: str = "subject", quotes: list[list[str]] = []):  # noqa: B006
     """The parameters, or None without subjects or labels."""
     if not subjects:
         return None
@@ -206,7 +245,7 @@ def train(docs: DataFrame, labels: DataFrame, subjects: list[str], key: str = "d
         for b in batches:
             texts += b.column(0).to_pylist()
             ks += b.column(1).to_pylist()
-        part = Part(texts, ks, n, quoted) if texts else None
+        part = Part(texts, ks, n, quotes) if texts else None
         if part and part.n:
             yield pa.RecordBatch.from_pydict({"part": pa.array([pickle.dumps(vars(part))], pa.binary()), "n": pa.array([part.n], pa.int64())})
 
@@ -237,7 +276,7 @@ def train(docs: DataFrame, labels: DataFrame, subjects: list[str], key: str = "d
 def classify(docs: DataFrame, labels: DataFrame, subjects: list[str], key: str = "doc_id", text: str = "text", params=None, quoted: DataFrame | None = None) -> DataFrame:
     """key, subject, sentences, score: the subjects of each document. quoted: texts whose sentences don't count."""
     known = quotations(quoted)
-    params = params or train(docs, labels, subjects, key, text, quoted=known)
+    params = params or train(docs, labels, subjects, key, text, quotes=known)
     sent = docs.sparkSession.sparkContext.broadcast((params, known))
 
     def make():
