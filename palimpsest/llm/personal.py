@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.batches import map_lists
+from palimpsest.operators.joins import salted
 from palimpsest.session import cut
 
 KINDS = ("email", "identity_number", "phone", "street_address", "person")
@@ -372,7 +373,7 @@ def scanned(df: DataFrame, key: list[str], text: Column | str, with_text: bool)
         return sums.select(word, F.greatest(F.lit(-MOST), F.least(F.lit(MOST), F.col("told") * hit + (F.col("n") - F.col("told")) * miss)).alias(f"odds_{word}"))
 
     names = counted.join(learnt("given"), "given").join(learnt("family"), "family").where(F.col("odds_given") + F.col("odds_family") + math.log(NAMES) > 0)
-    hits = pairs.join(names.select("given", "family"), ["given", "family"]).select("__id", *key, "a", "b")
+    hits = salted(pairs, names.select("given", "family"), ["given", "family"], "__id").select("__id", *key, "a", "b")
     return seen.drop("__pairs", "__titled"), hits
 
 
