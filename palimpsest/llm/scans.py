@@ -15,6 +15,7 @@ count once; line numbers count from 0.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections import Counter
@@ -161,6 +162,28 @@ def is_scan(lines: list[str]) -> bool:
     return any(x.strip() and y.strip() and not close(x) and y.lstrip()[0].islower() for x, y in zip(body, body[1:])) or any(BROKEN.search(x) for x in body[:-1])
 
 
+def repeats(lines: dict[int, frozenset]) -> set[int]:
+    """The lines of which another one has at least SAME_LINE of the words of both.
+
+    Equal lines are told at once. Of others, those that are alike enough share one of the rarest words that each has beyond
+    what may differ, so only lines that meet there are compared.
+    """
+    of: dict[frozenset, list[int]] = {}
+    for i, w in lines.items():
+        of.setdefault(w, []).append(i)
+    out = {i for found in of.values() if len(found) > 1 for i in found}
+    n = Counter(w for words_ in of for w in words_)
+    met: dict[str, list[frozenset]] = {}
+    for words_ in of:
+        rare = sorted(words_, key=lambda w: (n[w], w))
+        for w in rare[: len(rare) - math.ceil(SAME_LINE * len(rare)) + 1]:
+            for other in met.get(w, ()):
+                if len(words_ & other) >= SAME_LINE * len(words_ | other):
+                    out.update(of[words_], of[other])
+            met.setdefault(w, []).append(words_)
+    return out
+
+
 class Page:
     """A scan's lines with what each is: text, blank, number, or what may be a header."""
 
@@ -184,11 +207,8 @@ class Page:
         for i, x in lines.items():
             if i not in titles and self.short(i) and not close(x) and not sentence_ends(x) and len(edge_words(x)) > 1 and not x.lstrip().startswith(("-", "*", "|", "`", "#")) and not BROKEN.search(x) and self.goes_on(i):
                 self.heads[i] = False
-        words_of = {i: set(edge_words(lines[i])) for i in self.heads}
-        for i in self.heads:
-            for j in self.heads:
-                if i < j and len(words_of[i] & words_of[j]) >= SAME_LINE * len(words_of[i] | words_of[j]):
-                    self.heads[i] = self.heads[j] = True
+        for i in repeats({i: frozenset(edge_words(lines[i])) for i in self.heads}):
+            self.heads[i] = True
 
     def short(self, i: int) -> bool:
         """Is the line at a gap or an edge of the text, and not broken by the page's width?"""
