@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_left, insort
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame
@@ -220,15 +221,23 @@ def details(t: str, words: set[str]) -> list[tuple[int, int, str]]:
             add("street_address", VIA)
     if any(x in t for x in TITLES):
         add("person", TITLED)
-    out: list[tuple[int, int, str]] = []
+    out: list[tuple[int, int, str]] = []  # in order and disjoint
     for a, b, kind in sorted(spans, key=lambda x: (KINDS.index(x[2]), x[0], -x[1])):
-        met = [c for c, d, _ in out if a < d and c < b]
-        if met and kind == "person" and a < min(met):  # a name may end where an address begins
-            b = a + len(t[a : min(met)].rstrip(" ,"))
-            met = [] if TITLED.fullmatch(t[a:b]) else met
-        if not met:
-            out.append((a, b, kind))
-    return sorted(out)
+        at = near(out, a, b)
+        if at is not None and kind == "person" and a < at:  # a name may end where an address begins
+            b = a + len(t[a:at].rstrip(" ,"))
+            at = near(out, a, b) if TITLED.fullmatch(t[a:b]) else at
+        if at is None:
+            insort(out, (a, b, kind))
+    return out
+
+
+def near(spans: list[tuple[int, int, str]], a: int, b: int) -> int | None:
+    """Where the first of the spans (in order and disjoint) that overlaps a..b begins; None: there is none."""
+    i = bisect_left(spans, (a,))
+    if i and spans[i - 1][1] > a:
+        return spans[i - 1][0]
+    return spans[i][0] if i < len(spans) and spans[i][0] < b else None
 
 
 def word_before(t: str, at: int) -> str:
@@ -244,8 +253,10 @@ def told(t: str, a: int, b: int, spans: list[tuple[int, int, str]]) -> bool:
     before = t[max(0, a - 40) : a]
     bare = before.rstrip(" \t|*_>([\"'")
     line = before.rpartition("\n")[2]
-    if any(c >= b and c - b <= 16 and not any(x.isalnum() for x in GAP_WORD.sub("", t[b:c])) or d <= a and a - d <= 16 and not any(x.isalnum() for x in GAP_WORD.sub("", t[d:a])) for c, d, k in spans if k != "person"):
-        return True
+    i = bisect_left(spans, (a,))
+    for c, d in ((spans[i - 1][1], a) if i else (0, 99), (b, spans[i][0]) if i < len(spans) else (0, 99)):
+        if d - c <= 16 and not any(x.isalnum() for x in GAP_WORD.sub("", t[c:d])):  # beside a contact detail
+            return True
     if LABEL.fullmatch(line):
         return True
     words = bare.rstrip(",:\n \t").lower().split()[-3:]
@@ -256,21 +267,21 @@ def told(t: str, a: int, b: int, spans: list[tuple[int, int, str]]) -> bool:
     return bool(after) and t[b : b + 1] in (" ", ",") and last not in PREPOSITIONS and after[0].rstrip(".,:;") in AFTER
 
 
-def candidates(t: str, words: set[str], spans: list[tuple[int, int, str]], common: frozenset | set) -> list[tuple[int, int, str, str, bool, bool]]:
+def candidates(t: str, words: set[str], details: list[tuple[int, int, str]], common: frozenset | set) -> list[tuple[int, int, str, str, bool, bool]]:
     """(start, end, given, family, told, capital) of the pairs of words that may be a name; common: words usual in lower case."""
-    found = [(m, True) for m in PAIR.finditer(t)]
+    found, spans, contacts = [(m, True) for m in PAIR.finditer(t)], details, [x for x in details if x[2] != "person"]
     rare = {w for w in words - common if len(w) > 2 and w in t}
     if len(rare) > 1:
         found += [(m, False) for m in LOW_PAIR.finditer(t) if m["a"] in rare and m["b"] in rare]
     out, last = [], -1  # where the last told pair ends
     for m, capital in sorted(found, key=lambda x: x[0].start()):
         a, b = m.start("a"), m.end("b")
-        if not any(a < d and c < b for c, d, _ in spans):
+        if near(spans, a, b) is None:
             x, y = m["a"].lower(), m["b"].lower()
             if x in common and y in common:
                 continue
             given, family = (y, x) if m["s"] == ", " else (x, y)
-            tells = told(t, a, b, spans) or 0 <= last < a and t[last:a] in JOINS
+            tells = told(t, a, b, contacts) or 0 <= last < a and t[last:a] in JOINS
             last = b if tells else last
             out.append((a, b, given, family, tells, capital))
     return out
@@ -338,7 +349,7 @@ def common_words(source: DataFrame) -> frozenset:
 
 
 def scanned(df: DataFrame, key: list[str], text: Column | str, with_text: bool) -> tuple[DataFrame, DataFrame]:
-    """(seen, hits): the texts with the spans that tell themselves, and (__id, key columns, a, b) of names that the corpus tells."""
+    """(seen, hits): the texts with the spans that tell themselves, and (__id, key columns, __a, __b) of names that the corpus tells."""
     source = df.select(*key, (F.col(text) if isinstance(text, str) else text).alias("__text")).where("__text is not null")
     kept = ", ".join(f"`{n}` {t}" for n, t in source.drop("__text").dtypes)
     common = source.sparkSession.sparkContext.broadcast(common_words(source))
@@ -360,9 +371,9 @@ def scanned(df: DataFrame, key: list[str], text: Column | str, with_text: bool)
 
     schema = f"{kept}, __text string, __spans array<struct<a: int, b: int, kind: string>>, __pairs array<struct<a: int, b: int, given: string, family: string, told: boolean, capital: boolean>>, __titled array<struct<given: string, family: string>>"
     seen = cut(map_lists(source, look, schema).withColumn("__id", F.monotonically_increasing_id()))
-    pairs = seen.select("__id", *key, F.explode("__pairs").alias("p")).select("__id", *key, "p.*")
+    pairs = seen.select("__id", *key, F.explode("__pairs").alias("__p"))
     n = lambda c: F.sum(c.cast("bigint"))
-    counted = pairs.groupBy("given", "family").agg(n(F.col("told") & F.col("capital")).alias("told"), n(F.col("capital")).alias("n"))
+    counted = pairs.select("__p.*").groupBy("given", "family").agg(n(F.col("told") & F.col("capital")).alias("told"), n(F.col("capital")).alias("n"))
     titled = seen.select(F.explode("__titled").alias("p")).select("p.*").groupBy("given", "family").agg(F.count("*").alias("told")).withColumn("n", F.col("told"))
     counted = cut(counted.unionByName(titled).groupBy("given", "family").agg(F.sum("told").alias("told"), F.sum("n").alias("n")))
     hit, miss = math.log(TOLD_NAMES / TOLD_OTHERS), math.log((1 - TOLD_NAMES) / (1 - TOLD_OTHERS))
@@ -373,7 +384,8 @@ def scanned(df: DataFrame, key: list[str], text: Column | str, with_text: bool)
         return sums.select(word, F.greatest(F.lit(-MOST), F.least(F.lit(MOST), F.col("told") * hit + (F.col("n") - F.col("told")) * miss)).alias(f"odds_{word}"))
 
     names = counted.join(learnt("given"), "given").join(learnt("family"), "family").where(F.col("odds_given") + F.col("odds_family") + math.log(NAMES) > 0)
-    hits = salted(pairs, names.select("given", "family"), ["given", "family"], "__id").select("__id", *key, "a", "b")
+    pairs = pairs.select("__id", *key, *(F.col(f"__p.{x}").alias(f"__{x}") for x in ("a", "b", "given", "family")))
+    hits = salted(pairs, names.select(F.col("given").alias("__given"), F.col("family").alias("__family")), ["__given", "__family"], "__id").select("__id", *key, "__a", "__b")
     return seen.drop("__pairs", "__titled"), hits
 
 
@@ -386,7 +398,7 @@ def kinds_found(df: DataFrame, key: list[str], text: Column | str = "text") -> D
 def personal(df: DataFrame, key: list[str], text: Column | str = "text") -> DataFrame:
     """key columns, text with placeholders, kinds: the sorted kinds found; only rows with text."""
     seen, hits = scanned(df, key, text, with_text=True)
-    seen = seen.join(hits.groupBy("__id").agg(F.collect_list(F.struct("a", "b")).alias("__names")), "__id", "left").drop("__id")
+    seen = seen.join(hits.groupBy("__id").agg(F.collect_list(F.struct(F.col("__a").alias("a"), F.col("__b").alias("b"))).alias("__names")), "__id", "left").drop("__id")
     kept = ", ".join(f"`{n}` {t}" for n, t in seen.select(*key).dtypes)
 
     def make():

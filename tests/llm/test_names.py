@@ -34,3 +34,12 @@ def test_names_in_ordinary_sentences(spark):
     assert len(wrong) <= 1, wrong
     got = {r.k: r.text for r in personal.personal(rows, ["k"]).collect()}
     assert got[first] == "[PERSON] moved out on Monday and left the plants."
+
+
+def test_long_texts_and_clashing_names(spark):
+    """Work grows with the text, not with its square; key columns may have any name."""
+    text = "Dear Marta Aldini, write to marta@mail.example or Pavel Novotny. " * 8000
+    df = spark.createDataFrame([(1, 2, "x", text), (1, 2, "x", None), (3, 4, "y", "")], "a int, given int, word string, text string")
+    got = personal.personal(df, ["a", "given", "word"]).orderBy("a").collect()
+    assert len(got) == 2 and got[0].kinds == ["email", "person"] and got[0].text.startswith("Dear [PERSON], write to [EMAIL] or [PERSON].")
+    assert {r.kind for r in personal.kinds_found(df, ["a", "given", "word"]).collect()} == {"email", "person"}
