@@ -48,15 +48,16 @@ def record_chunks(captures: DataFrame, messages: DataFrame, now_ms: int, with_do
     parts and by part, and a capture's columns come to its parts, so one capture may hold any share of the messages.
     """
     docs = chunk_message(with_role(F.col("role"), F.col("text")))
-    part = F.floor(F.col("turn") / TURNS).alias("__part")
-    rows = messages.where("text is not null").select("capture_id", part, "turn", "message_id", docs.alias("__docs"))
-    rows = rows.select("capture_id", "__part", "turn", "message_id", F.size("__docs").alias("__n"), *(["__docs"] if with_document else [])).repartition("capture_id", "__part")
-    sizes = rows.groupBy("capture_id", "__part").agg(F.sum("__n").alias("__size"))
+    rows = messages.where("text is not null and capture_id is not null and turn is not null")
+    rows = rows.select("capture_id", F.floor(F.col("turn") / TURNS).alias("__part"), "turn", "message_id", (docs if with_document else F.size(docs)).alias("__docs")).where("__part is not null").repartition("capture_id", "__part")
+    n = F.size("__docs") if with_document else F.col("__docs")
+    # Both branches read the same columns of one shuffle, so that it runs once: that is what the second aggregate is for.
+    sizes = rows.groupBy("capture_id", "__part").agg(F.sum(n).alias("__size"), F.max(F.struct("turn", "message_id")).alias("__last")).where("__last is not null")
     before = F.coalesce(F.sum("__size").over(Window.partitionBy("capture_id").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = sizes.withColumn("__before", before).join(captures, "capture_id")
+    parts = sizes.select("capture_id", "__part", before.alias("__before")).join(captures, "capture_id")
     within = Window.partitionBy("capture_id", "__part").orderBy("turn", "message_id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("__within", F.coalesce(F.sum("__n").over(within), F.lit(0))).drop("turn", "message_id").join(parts, ["capture_id", "__part"])
-    one = F.posexplode("__docs") if with_document else F.posexplode(F.when(F.col("__n") > 0, F.sequence(F.lit(1), F.col("__n"))))
+    rows = rows.withColumn("__within", F.coalesce(F.sum(n).over(within), F.lit(0))).drop("turn", "message_id").join(parts, ["capture_id", "__part"])
+    one = F.posexplode("__docs") if with_document else F.posexplode(F.when(F.col("__docs") > 0, F.sequence(F.lit(1), F.col("__docs"))))
     rows = rows.select(*captures.columns, "__before", "__within", one.alias("__pos", "document"))
     index = (F.col("__before") + F.col("__within") + F.col("__pos")).cast("bigint")
     out = rows.select(
