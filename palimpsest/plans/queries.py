@@ -17,7 +17,7 @@ from palimpsest.operators.ranking import position
 from palimpsest.plans.oracle import ORACLE
 from palimpsest.sources import files, html, records
 from palimpsest.streaming import ingest
-from palimpsest.session import ensure_checkpoint_dir, spread, table
+from palimpsest.session import cut, ensure_checkpoint_dir, spread, table
 
 NOW_MS = 1_800_000_000_000
 EXPORTED = "2027-01-15T08:00:00Z"
@@ -370,7 +370,7 @@ def knn_approx_recall(spark: SparkSession, d: str) -> DataFrame:
 def table_search(spark: SparkSession, d: str) -> DataFrame:
     """The same search as text_search within the threshold, through the table function."""
     register(spark)
-    _chunks(spark, d, "document", "platform", "topic").withColumn("embedding", hashed_embedding(F.col("document"))).createOrReplaceTempView("__chunks_to_search")
+    cut(_chunks(spark, d, "document", "platform", "topic").withColumn("embedding", hashed_embedding(F.col("document")))).createOrReplaceTempView("__chunks_to_search")
     register_search(spark, "__chunks_to_search")
     return spark.sql("SELECT rank, id, round(distance, 6) AS distance, label FROM search('why did the parser block the cache', '', 10)")
 
