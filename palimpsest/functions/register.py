@@ -64,8 +64,8 @@ def register_search(spark: SparkSession, view: str, name: str = "search") -> Non
     """
     spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION {name}(query STRING, wanted STRING, k INT) RETURNS TABLE (rank INT, id STRING, distance DOUBLE, label STRING)
 RETURN SELECT rank, id, distance, label FROM (SELECT row_number() OVER (ORDER BY distance, id) AS rank, id, distance, label FROM (
-SELECT id, cosine_distance(embedding, hashed_embedding(query)) AS distance, concat('[', coalesce(platform, '?'), ' — ', coalesce(topic, '?'), ']\\n', document) AS label
-FROM {view} WHERE coalesce(wanted, '') IN ('', '{DEFAULT_TOPIC}') OR topic = wanted) WHERE distance <= {MAX_DISTANCE}) WHERE rank <= k""")
+SELECT id, cosine_distance(embedding, q) AS distance, concat('[', coalesce(platform, '?'), ' — ', coalesce(topic, '?'), ']\\n', document) AS label
+FROM {view} CROSS JOIN (SELECT hashed_embedding(query) AS q) WHERE coalesce(wanted, '') IN ('', '{DEFAULT_TOPIC}') OR topic = wanted) WHERE distance <= {MAX_DISTANCE}) WHERE rank <= k""")
 
 
 def register(spark: SparkSession) -> None:
