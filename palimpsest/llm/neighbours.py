@@ -269,14 +269,14 @@ def neighbours(df: DataFrame, key: str = "seq", vector: str = "embedding", k: in
 
     there = cut(clean.mapInPandas(data, "grp int, cell int, key bigint, v binary"))
     here = (clean if both else pick(queries)).mapInPandas(asked, "grp int, cells array<int>, key bigint, v binary")
-    # Numbers of blocks by group: at most n / GROUP rows.
+    # Numbers of blocks by group: a row for each group, and there are no more groups than cells, so at most SPREAD * sqrt(n).
     sizes = there.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     if both:  # a group's queries are at most all rows of the groups around it; as many blocks as its own rows need do
         sizes = sizes.withColumn("q_blocks", F.col("blocks"))
     else:
         here = cut(here)
         sizes = sizes.join(here.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("q_blocks")), "grp")
-    sizes = cut(sizes)
+    sizes = F.broadcast(cut(sizes))
     block = lambda c: F.pmod(F.xxhash64("key"), F.col(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     there = there.join(sizes, "grp").select("grp", block("blocks").alias("block"), every("q_blocks").alias("q_block"), "cell", "key", "v")
