@@ -199,3 +199,8 @@ SELECT job_id, CASE WHEN failed THEN 'error' WHEN ended_ms IS NOT NULL THEN 'don
 SELECT * FROM a UNION ALL SELECT e.user_id, count(*), max(ms) FROM e LEFT JOIN a USING (user_id) WHERE event_id % 3 <> 0 AND ms > coalesce(cursor_ms, 0) GROUP BY 1""",
     "message_positions": f"WITH {MESSAGES} SELECT message_id, row_number() OVER (PARTITION BY capture_id ORDER BY turn, message_id) - 1 AS at FROM msg",
 }
+
+# The SQL functions give what the expressions give.
+ORACLE |= {sql: ORACLE[name] for sql, name in (("sql_detect_platform", "detect_platform"), ("sql_cosine_distance", "knn_within_distance"), ("sql_chunk_messages", "chunk_messages"), ("sql_chunk_code", "chunk_code_files"))}
+ORACLE["sql_sanitize_id"] = f"WITH {CAPTURES} SELECT capture_id, regexp_replace(coalesce(topic, '') || '/' || coalesce(source_url, 'null'), '[^a-zA-Z0-9_-]', '_', 'g') AS id FROM cap"
+ORACLE["sql_extract_messages"] = f"WITH {MESSAGES}, t AS (SELECT message_id, {trim('text')} AS body FROM msg WHERE text IS NOT NULL) SELECT message_id, 'user' AS role, regexp_replace(body, {q(BLANK + '+')}, '', 'g') AS letters FROM t WHERE length(body) > 2"

@@ -467,6 +467,46 @@ def job_states(spark: SparkSession, d: str) -> DataFrame:
     return ingest.jobs(rows, NOW_MS)
 
 
+# SQL functions
+
+
+def _sql(spark: SparkSession, query: str, **views: DataFrame) -> DataFrame:
+    register(spark)
+    for name, rows in views.items():
+        rows.createOrReplaceTempView(f"__{name}")
+    return spark.sql(query)
+
+
+def sql_sanitize_id(spark: SparkSession, d: str) -> DataFrame:
+    return _sql(spark, "SELECT capture_id, sanitize_id(coalesce(topic, '') || '/' || coalesce(source_url, 'null')) AS id FROM __captures", captures=_captures(spark, d))
+
+
+def sql_detect_platform(spark: SparkSession, d: str) -> DataFrame:
+    return _sql(spark, "SELECT capture_id, url, detect_platform(url) AS detected FROM __urls", urls=detect_platform(spark, d).select("capture_id", "url"))
+
+
+def sql_cosine_distance(spark: SparkSession, d: str) -> DataFrame:
+    q = ", ".join(f"{float(x)!r}D" for x in _query_vector(spark, d))
+    rows = table(spark, d, "chunk_vectors").where(usable(F.col("embedding"), 64)).select("seq", F.col("embedding").cast("array<double>").alias("v"))
+    return _sql(spark, f"SELECT * FROM (SELECT seq, round(cosine_distance(v, array({q})), 6) AS distance FROM __vectors) WHERE distance <= 0.75", vectors=rows)
+
+
+def sql_chunk_messages(spark: SparkSession, d: str) -> DataFrame:
+    rows = _messages(spark, d).where("text is not null").select("message_id", X.with_role(F.col("role"), F.col("text")).alias("t"))
+    return _sql(spark, "SELECT message_id, CAST(pos AS BIGINT) AS pos, document FROM (SELECT message_id, chunk_message(t) AS c FROM __messages) LATERAL VIEW posexplode(c) AS pos, document", messages=rows)
+
+
+def sql_chunk_code(spark: SparkSession, d: str) -> DataFrame:
+    return _sql(spark, "SELECT file_id, CAST(pos AS BIGINT) AS pos, document FROM (SELECT file_id, chunk_code(rel_path, content) AS c FROM __files) LATERAL VIEW posexplode(c) AS pos, document", files=_files(spark, d).select("file_id", "rel_path", "content"))
+
+
+def sql_extract_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Chat pages of one message each through the table function."""
+    page = F.concat(F.lit("<body><div class='human-turn'>"), X.html_escape(F.col("text")), F.lit("</div></body>"))
+    rows = _messages(spark, d).where("text is not null").select("message_id", page.alias("page"))
+    return _sql(spark, f"SELECT message_id, role, regexp_replace(m.text, r'{X.BLANK}+', '') AS letters FROM __pages, LATERAL extract_messages(page, 'Claude') m", pages=rows)
+
+
 # Streams
 
 
