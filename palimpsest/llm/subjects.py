@@ -32,10 +32,13 @@ from palimpsest.session import cut, spread
 BUCKETS, DIMS, STEPS, WARM_UP, RATE, DECAY, MAX_LABELLED, PER_PART, MAX_WORDS = 1 << 15, 16, 30, 12, 0.07, 1e-5, 20_000, 1_500, 500_000
 NGRAMS = (3, 5)
 WORD = re.compile(r"[^\W\d_]+")
-SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
+#: Words, and the signs that end a sentence.
+TOKEN = re.compile(r"[^\W\d_]+|[.!?](?=\s)|\n")
 #: A sentence treats its best subject if the output is at least SURE; a document's subjects have MANY such sentences, and
 #: SHARE of all such or MANY within CLOSE sentences.
 SURE, MANY, SHARE, CLOSE = 0.6, 3, 0.1, 6
+#: Texts that are scored at a time.
+TOGETHER = 100
 #: Words in a row that make a quotation.
 QUOTED = 8
 
@@ -47,11 +50,6 @@ def features(word: str) -> tuple[int, list[int]]:
     return zlib.crc32(word.encode()) % BUCKETS, [zlib.crc32(b"#" + g.encode()) % BUCKETS for g in grams]
 
 
-def bags(text: str) -> list[list[str]]:
-    """The words of each sentence that has any."""
-    return [w for s in SENTENCE.split(text) if (w := WORD.findall(s.lower()))]
-
-
 class Vocabulary:
     """Words met so far, as rows of word vectors."""
 
@@ -62,13 +60,16 @@ class Vocabulary:
 
     def ids(self, words: list[str]) -> list[int]:
         row = self.row
-        for w in words:
-            if w not in row:
-                row[w] = len(row)
-                own, grams = features(w)
-                self.own.append(own)
-                self.grams.append(grams)
-        return [row[w] for w in words]
+        try:
+            return [*map(row.__getitem__, words)]
+        except KeyError:
+            for w in words:
+                if w not in row:
+                    row[w] = len(self.own)
+                    own, grams = features(w)
+                    self.own.append(own)
+                    self.grams.append(grams)
+            return [*map(row.__getitem__, words)]
 
     def vectors(self, table: np.ndarray, start: int = 0) -> np.ndarray:
         own, grams = self.own[start:], self.grams[start:]
@@ -82,6 +83,8 @@ class Reader:
 
     def __init__(self, quotes: list[list[str]]):
         self.vocabulary = Vocabulary()
+        self.vocabulary.ids(["."])
+        self.vocabulary.row |= dict.fromkeys(".!?\n", 0)  # 0: a sentence ends
         parts = [self.codes(self.vocabulary.ids(q)) for q in quotes if len(q) >= QUOTED]
         self.known = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
 
@@ -93,9 +96,11 @@ class Reader:
 
     def read(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """(word numbers, sizes of the sentences)"""
-        found = bags(text)
-        ids = np.array(self.vocabulary.ids([w for b in found for w in b]), np.int64)
-        sizes = np.array([len(b) for b in found], np.int64)
+        tokens = np.array(self.vocabulary.ids(TOKEN.findall(text.lower())), np.int64)
+        words = tokens > 0
+        ids, ends = tokens[words], np.cumsum(words)[~words]
+        sizes = np.diff(ends, prepend=0, append=len(ids))
+        sizes = sizes[sizes > 0]
         if len(self.known) and len(ids) >= QUOTED:
             codes = self.codes(ids)
             hit = self.known[np.minimum(np.searchsorted(self.known, codes), len(self.known) - 1)] == codes
@@ -187,13 +192,8 @@ class Scorer:
         self.reader, self.known = Reader(self.quotes), 0
         self.logits = np.zeros((1024, self.out.shape[1]))
 
-    def sentences(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Outputs of each sentence with words, and the whole text's."""
-        if self.known > MAX_WORDS:
-            self.clear()
-        ids, sizes = self.reader.read(text)
-        if not len(sizes):
-            return np.zeros((0, len(self.bias))), np.zeros(len(self.bias))
+    def outputs(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each sentence the sums of its words' contributions, and its outputs."""
         n = len(self.reader.vocabulary.own)
         if self.known < n:
             if n > len(self.logits):
@@ -201,23 +201,36 @@ class Scorer:
             self.logits[self.known : n] = self.reader.vocabulary.vectors(self.table, self.known) @ self.out
             self.known = n
         sums = np.add.reduceat(self.logits[ids], np.cumsum(sizes) - sizes)
-        sigmoid = lambda x: 1 / (1 + np.exp(-x))
-        return sigmoid(sums / sizes[:, None] + self.bias), sigmoid(sums.sum(0) / sizes.sum() + self.bias)
-
-    def subjects(self, text: str, sure: float = SURE, many: int = MANY, share: float = SHARE, close: int = CLOSE) -> list[tuple[int, int, float]]:
-        """(subject, sentences that treat it, output for the whole text)."""
-        by_sentence, whole = self.sentences(text)
-        if not len(by_sentence):
-            return []
-        best = np.where(by_sentence.max(1) >= sure, by_sentence.argmax(1), -1)
-        n = np.bincount(best[best >= 0], minlength=len(whole))
+        return sums, 1 / (1 + np.exp(-(sums / sizes[:, None] + self.bias)))
 
-        def near(k: int) -> bool:
-            at = np.flatnonzero(best == k)
-            return bool((at[many - 1 :] - at[: len(at) - many + 1] < close).any())
-
-        keep = [int(k) for k in np.flatnonzero(n >= many) if n[k] >= share * n.sum() or near(int(k))] or [int(np.lexsort((whole, n))[-1])]
-        return [(k, int(n[k]), float(whole[k])) for k in keep]
+    def subjects(self, texts: list[str], sure: float = SURE, many: int = MANY, share: float = SHARE, close: int = CLOSE) -> list[list[tuple[int, int, float]]]:
+        """For each text (subject, sentences that treat it, output for the whole text)."""
+        if self.known > MAX_WORDS:
+            self.clear()
+        read = [self.reader.read(t) for t in texts]
+        some = [i for i, (_, sizes) in enumerate(read) if len(sizes)]
+        out: list[list[tuple[int, int, float]]] = [[] for _ in texts]
+        if not some:
+            return out
+        sizes = np.concatenate([read[i][1] for i in some])
+        sums, by_sentence = self.outputs(np.concatenate([read[i][0] for i in some]), sizes)
+        n_sentences = np.array([len(read[i][1]) for i in some])
+        starts = np.cumsum(n_sentences) - n_sentences
+        whole = 1 / (1 + np.exp(-(np.add.reduceat(sums, starts) / np.add.reduceat(sizes, starts)[:, None] + self.bias)))
+        best = np.where(by_sentence.max(1) >= sure, by_sentence.argmax(1), -1)
+        n = np.zeros(whole.shape, np.int64)
+        at = np.flatnonzero(best >= 0)
+        np.add.at(n, (np.repeat(np.arange(len(some)), n_sentences)[at], best[at]), 1)
+        often = n >= many
+        keep = often & (n >= share * n.sum(1, keepdims=True))
+        for d, k in zip(*np.nonzero(often & ~keep)):  # few of all, but maybe close to each other
+            places = np.flatnonzero(best[starts[d] : starts[d] + n_sentences[d]] == k)
+            keep[d, k] = (places[many - 1 :] - places[: len(places) - many + 1] < close).any()
+        for d in np.flatnonzero(~keep.any(1)):
+            keep[d, np.lexsort((whole[d], n[d]))[-1]] = True
+        for d, k in zip(*np.nonzero(keep)):
+            out[some[d]].append((int(k), int(n[d, k]), float(whole[d, k])))
+        return out
 
 
 def quotations(texts: DataFrame | None) -> list[list[str]]:
@@ -283,7 +296,10 @@ def classify(docs: DataFrame, labels: DataFrame, subjects: list[str], key: str =
         scorer = Scorer(*sent.value) if sent.value[0] else None
 
         def run(keys, texts):
-            out = [(k, subjects[j], n, p) for k, t in zip(keys, texts) if t and scorer for j, n, p in scorer.subjects(t)]
+            out = []
+            for i in range(0, len(keys) if scorer else 0, TOGETHER):
+                found = scorer.subjects([t or "" for t in texts[i : i + TOGETHER]])
+                out += [(k, subjects[j], n, p) for k, ks in zip(keys[i : i + TOGETHER], found) for j, n, p in ks]
             return list(zip(*out)) or [()] * 4
 
         return run
