@@ -69,18 +69,22 @@ class JobFeed(StreamingQueryListener):
     def __init__(self, clock: Callable[[], int] = lambda: int(time.time() * 1000)):
         self.clock, self.rows = clock, {}
 
+    def _row(self, run) -> dict:
+        """A stream that ran before the feed was added is a job from its next event on."""
+        return self.rows.setdefault(str(run), {"job_id": new_job_id(), "done": 0, "total": 0, "error": None, "ended_ms": None})
+
     def onQueryStarted(self, event) -> None:
-        self.rows[str(event.runId)] = {"job_id": new_job_id(), "done": 0, "total": 0, "error": None, "ended_ms": None}
+        self._row(event.runId)
 
     def onQueryProgress(self, event) -> None:
-        row = self.rows[str(event.progress.runId)]
+        row = self._row(event.progress.runId)
         row["done"] = row["total"] = row["total"] + event.progress.numInputRows
 
     def onQueryIdle(self, event) -> None:
         pass
 
     def onQueryTerminated(self, event) -> None:
-        row = self.rows[str(event.runId)]
+        row = self._row(event.runId)
         row["error"], row["ended_ms"] = event.exception, self.clock()
 
     def frame(self, spark: SparkSession) -> DataFrame:
