@@ -78,6 +78,8 @@ RULES: dict[str, str] = {
 #: Rules of chunks, which may be cut within a value or a key block.
 CUT_RULES: dict[str, str] = {
     "cut off": rf"[=:][ \t]*[\"'](?P<v>{VALUE}{{12,}})[\"'] ?[+\\][ \t]*\r?\n?\Z",
+    "cut element": rf"(?i)<[\w.-]*{NAME}>\s*(?P<v>[^<\s]{{6,}})\s*\Z",
+    "brought over element": rf"(?i)\A\[FILE: [^\n]*\n\s*(?P<v>[^<\s]{{6,}})\s*</[\w.-]*{NAME}>",
     "brought over": rf"\A\[FILE: [^\n]*\n[ \t]*[\"'](?P<v>{VALUE}{{6,}})[\"'];?[ \t]*\r?(?:\n|\Z)",
     "bare key": r"(?m)^[ \t]*(?:[#*/\"'][ \t]*)?[A-Za-z0-9+/]{64}\r?$",
 }
@@ -96,7 +98,15 @@ def literal(value: str, secret: bool = False) -> bool:
     """A value that may be a credential, not a placeholder, reference or plain word. secret: its name is a password's, so letters alone will do."""
     if len(value) < 6 or NO_VALUE.match(value) or len(set(value)) < 5:
         return False
-    return any(c.isalpha() for c in value) and (secret and value[0] not in "/.:<&" or any(c.isdigit() for c in value))
+    return any(c.isalpha() for c in value) and (secret and value[0] not in "/.:<&" or any(c.isdigit() for c in value) or scrambled(value))
+
+
+def scrambled(value: str) -> bool:
+    """Letters of both cases as if drawn: capitals stand next to each other, as they don't in names of several words."""
+    letters = [c for c in value if c.isalpha()]
+    capitals = sum(c.isupper() for c in letters)
+    together = sum(x.isupper() and y.isupper() for x, y in zip(letters, letters[1:]))
+    return len(letters) >= 16 and min(capitals, len(letters) - capitals) >= 0.15 * len(letters) and together >= 2 and sum(x.isupper() != y.isupper() for x, y in zip(letters, letters[1:])) >= 0.3 * len(letters)
 
 
 def random_like(value: str) -> bool:

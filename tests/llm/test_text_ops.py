@@ -132,6 +132,10 @@ def test_keys_of_public_issuers_and_letters_alone():
             assert lines(f"a\n{line}") == [2], line
     for text in ('password = "correcthorse"', "pwd: 'Hydrangea'", "IDENTIFIED BY 'correcthorse'", f'x = "{mixed}"', f"retry with zq-{mixed[:24]} now"):
         assert lines(text) == [1], text
+    letters = "".join(random.Random(6).choices("ABCDEFGHJKLMabcdefghijkm", k=30))
+    assert lines(f'api_key = "{letters}"') == lines(f"Authorization: Bearer {letters}") == [1]
+    assert lines('api_key = "someLongNameOfAClassInJava"') == lines('token = "parseXMLHttpRequestBody"') == []
+    assert lines(f"x\n  <password>\n    {mixed}", True) == [3] and lines(f"[FILE: a.xml]\n    {mixed}\n  </password>", True) == [2]
     for text in (f'sha512 = "{mixed}"', 'passwordLabel = "type it here"', 'password = "${VAULT}"', "x = 'a-long-name-of-some-file-2024-draft'", 'id = "7d444840-9dc0-11d1-b245-5ffdce74fad2"', "import token_bucket_rate_limiter_2"):
         assert lines(text) == [], text
 
