@@ -496,7 +496,7 @@ def _verified(df: DataFrame, key: list[str], text: Column | str, bare: bool, eve
     # Rows of equal text share an id: their candidates are the same.
     source = df.select(*key, (F.col(text) if isinstance(text, str) else text).alias("__text")).withColumn("__id", F.xxhash64("__text"))
     found = candidates(build_index(source.where("__text is not null").select(F.col("__id").alias("id"), F.col("__text").alias("text"))))
-    source = salted(source, found.withColumnRenamed("id", "__id"), "__id", key, how="left" if every else "inner").drop("__id")  # of one text there may be many copies
+    source = salted(source, found.withColumnRenamed("id", "__id"), "__id", key, salts=4, how="left" if every else "inner").drop("__id")  # of one text there may be many copies
     kept = ", ".join(f"`{n}` {t}" for n, t in source.select(*key).dtypes)
     names = list(ALL_RULES)
 
