@@ -1,7 +1,9 @@
 """Problem 4: the k most similar vectors of every vector.
 
 Vectors are normalised and assigned to the nearest of some centroids, fitted on a bounded sample; cells hold about CELL
-vectors, more only where their number would exceed SPREAD times the square root of the vectors'. What is left after
+vectors, more only where their number would exceed SPREAD times the square root of the vectors'. More than FITTED cells
+are fitted by the executors in parts, each on the sampled vectors nearest to one of a few first centroids, so the driver
+holds SAMPLE vectors and the centroids at most, and of products with the centroids HELD numbers at a time. What is left after
 taking away the centroid is normalised and rotated at random; its signs are the code, one bit a dimension, and its inner
 product with the code's vector is the correction scalar. A query is rotated likewise and its residual quantised to QBITS
 bits, whose planes meet the packed codes with AND and popcount. That estimates the inner product; for given data the
@@ -29,9 +31,11 @@ from pyspark.sql import functions as F
 from palimpsest.session import cut, spread
 
 K, DIMS, PROBES, ASKED, CELL, SPREAD, GROUP, BLOCK = 5, 64, 12, 32, 256, 4, 4096, 8192
-#: Bounds of the sample for the centroids, at least and for each cell; held-out queries, and the share of neighbours that they must find.
+#: Vectors sampled for the centroids on the driver, and by executors for each cell; held-out queries, and the share of neighbours that they must find.
 SAMPLE, SAMPLE_OF_CELL, TUNE, RECALL = 20_000, 16, 256, 0.98
 QBITS, EPSILON = 4, 2.2
+#: Cells that the driver fits itself; numbers of a matrix of products that are held at a time.
+FITTED, HELD = 1024, 1 << 21
 #: From one in so many pairs on, a matrix product is less work than the pairs one by one.
 DENSE = 24
 
@@ -51,11 +55,25 @@ def rotation(dims: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def blocks(rows: int, columns: int) -> list[slice]:
+    """Parts of the rows whose products with so many columns are HELD numbers at most."""
+    step = max(1, HELD // max(1, columns))
+    return [slice(i, i + step) for i in range(0, rows, step)]
+
+
+def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Number of the centroid nearest to each vector."""
+    out = np.zeros(len(x), np.int32)
+    for b in blocks(len(x), len(c)):
+        out[b] = (x[b] @ c.T).argmax(1)
+    return out
+
+
 def centroids(x: np.ndarray, n: int, rounds: int = 8) -> np.ndarray:
     """Spherical k-means."""
     c = x[np.random.default_rng(5).choice(len(x), n, replace=False)]
     for _ in range(rounds):
-        near = (x @ c.T).argmax(1)
+        near = nearest(x, c)
         sums = np.zeros_like(c)
         np.add.at(sums, near, x)
         full = np.bincount(near, minlength=n) > 0
@@ -182,6 +200,36 @@ def matrix(column: pd.Series) -> np.ndarray:
     return unit(np.frombuffer(b"".join(column), np.float32).reshape(len(column), -1).astype(np.float64))
 
 
+def sampled(clean: DataFrame, n: int, size: int) -> DataFrame:
+    """About so many of the n rows, always the same."""
+    return clean if size >= n else clean.where(F.xxhash64("key") < int(-(2**63) + 2**64 * (size / n)))
+
+
+def fitted(clean: DataFrame, n: int, cells: int, sample: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The cells' centroids, and the group of each."""
+    x = matrix(sample["v"])
+    if cells <= FITTED:
+        centres = centroids(x, max(1, min(cells, len(x) // 4)))
+        return centres, nearest(centres, centroids(centres, max(1, min(len(centres), n // GROUP))))
+    first = clean.sparkSession.sparkContext.broadcast(centroids(x, max(1, min(int(cells**0.5), len(x) // 4))))
+    share = SAMPLE_OF_CELL * cells / n
+
+    def near(pdfs):
+        for pdf in pdfs:
+            if len(pdf):
+                yield pdf.assign(part=nearest(matrix(pdf["v"]), first.value))
+
+    def fit(pdf):
+        own = matrix(pdf.sort_values("key")["v"])
+        c = centroids(own, max(1, len(own) // SAMPLE_OF_CELL))
+        groups = centroids(c, max(1, min(len(c), round(len(own) / share / GROUP))))
+        return pd.DataFrame({"part": pdf["part"].iloc[0], "grp": nearest(c, groups), "cell": np.arange(len(c)), "v": [r.tobytes() for r in c.astype(np.float32)]})
+
+    parts = sampled(clean, n, SAMPLE_OF_CELL * cells).mapInPandas(near, "key bigint, v binary, part int")
+    got = parts.groupBy("part").applyInPandas(fit, "part int, grp int, cell int, v binary").toPandas().sort_values(["part", "cell"])  # a row for each cell
+    return matrix(got["v"]), np.unique(got[["part", "grp"]].to_numpy(np.int64) @ [1 << 32, 1], return_inverse=True)[1]
+
+
 def probes_needed(clean: DataFrame, sample: pd.DataFrame, cells: np.ndarray, k: int, both: bool, dims: int) -> int:
     """How many cells the first TUNE rows of the sample must look into to find RECALL of their k best among all rows."""
     held = matrix(sample["v"][:TUNE])
@@ -211,9 +259,11 @@ def probes_needed(clean: DataFrame, sample: pd.DataFrame, cells: np.ndarray, k:
         return 1
     row, v = got["row"].to_numpy(), matrix(got["v"])
     place = lambda sims, of: (sims > sims[np.arange(len(of)), of][:, None]).sum(1)
-    mine, theirs = held[row] @ cells.T, v @ cells.T
-    at = place(mine, theirs.argmax(1))
-    at = np.minimum(at, place(theirs, mine.argmax(1))) if both else at
+    at = np.zeros(len(row), np.int64)
+    for b in blocks(len(row), len(cells)):
+        mine, theirs = held[row[b]] @ cells.T, v[b] @ cells.T
+        at[b] = place(mine, theirs.argmax(1))
+        at[b] = np.minimum(at[b], place(theirs, mine.argmax(1))) if both else at[b]
     return int(np.sort(at)[min(len(at) - 1, int(np.ceil(RECALL * len(at))) - 1)]) + 1
 
 
@@ -235,21 +285,21 @@ def neighbours(df: DataFrame, key: str = "seq", vector: str = "embedding", k: in
     if not n:
         return spark.createDataFrame([], schema)
     cells = max(1, min(n // CELL, int(SPREAD * n**0.5)))
-    sample = clean.orderBy(F.xxhash64("key"), "key").limit(max(SAMPLE, SAMPLE_OF_CELL * cells)).toPandas()
-    centres = centroids(matrix(sample["v"]), max(1, min(cells, len(sample) // 4)))
-    groups = centroids(centres, max(1, min(len(centres), n // GROUP)))
+    # A filter, since an order with a limit has each partition send as many rows as the limit; some more than needed, as their number varies.
+    sample = sampled(clean, n, SAMPLE * 21 // 20).withColumn("at", F.xxhash64("key")).toPandas().sort_values(["at", "key"], ignore_index=True)[:SAMPLE]
+    centres, group_of = fitted(clean, n, cells, sample)
     turn = rotation(dims)
     both = queries is None
     if probes is None:
         least = PROBES if both else ASKED
         probes = least if len(centres) <= least else max(least, probes_needed(clean, sample, centres, k, both, dims))
-    shared = spark.sparkContext.broadcast((centres, centres.astype(np.float32), (centres @ groups.T).argmax(1).astype(np.int32)))
+    shared = spark.sparkContext.broadcast((centres, centres.astype(np.float32), group_of.astype(np.int32)))
 
     def data(pdfs):
         _, c, group = shared.value
         for pdf in pdfs:
             if len(pdf):
-                cell = (matrix(pdf["v"]).astype(np.float32) @ c.T).argmax(1).astype(np.int32)
+                cell = nearest(matrix(pdf["v"]).astype(np.float32), c)
                 yield pd.DataFrame({"grp": group[cell], "cell": cell, "key": pdf["key"].to_numpy(), "v": pdf["v"]})
 
     def asked(pdfs):
@@ -258,10 +308,15 @@ def neighbours(df: DataFrame, key: str = "seq", vector: str = "embedding", k: in
         most = min(probes, len(c))
         for pdf in pdfs:
             if len(pdf):
-                sims = matrix(pdf["v"]).astype(np.float32) @ c.T
-                top = np.argpartition(-sims, most - 1, axis=1)[:, :most]
-                rows, of = np.repeat(np.arange(len(pdf)), most), top.ravel()
-                order = np.lexsort((-sims[rows, of], group[of], rows))  # the nearest of a group first
+                x = matrix(pdf["v"]).astype(np.float32)
+                far, of = np.zeros(len(x) * most, np.float32), np.zeros(len(x) * most, np.int64)
+                for b in blocks(len(x), len(c)):
+                    less = -(x[b] @ c.T)
+                    top = np.argpartition(less, most - 1, axis=1)[:, :most]
+                    to = slice(b.start * most, b.stop * most)
+                    far[to], of[to] = np.take_along_axis(less, top, 1).ravel(), top.ravel()
+                rows = np.repeat(np.arange(len(x)), most)
+                order = np.lexsort((far, group[of], rows))  # the nearest of a group first
                 rows, of = rows[order], of[order]
                 first = np.flatnonzero(np.r_[True, (np.diff(rows) != 0) | (np.diff(group[of]) != 0)])
                 parts = np.split(of.astype(np.int32), first[1:])

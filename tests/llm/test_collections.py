@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -57,6 +58,32 @@ def test_unusable_vectors_ties_and_small_tables(spark):
     assert neighbours.neighbours(df, queries=df.where("seq = 1")).count() == 2
 
 
+def test_products_with_centroids_are_made_in_parts():
+    x = neighbours.unit(np.random.default_rng(3).normal(size=(20_000, 16)))
+    tracemalloc.start()
+    c = neighbours.centroids(x, 1000, rounds=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6  # all products at once are 160 MB
+    assert (neighbours.nearest(x[:500], c) == (x[:500] @ c.T).argmax(1)).all()
+
+
+def test_many_cells_are_fitted_by_executors(spark, monkeypatch):
+    for name, value in (("SAMPLE", 500), ("FITTED", 8), ("CELL", 32), ("GROUP", 300), ("HELD", 1000)):
+        monkeypatch.setattr(neighbours, name, value, raising=False)
+    on_driver, matrix = [], neighbours.matrix
+    monkeypatch.setattr(neighbours, "matrix", lambda column: (on_driver.append(len(column)), matrix(column))[1])
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(20, 64))
+    rows = [(int(i), [float(v) for v in (centres[i % 20] + rng.normal(size=64)).astype(np.float32)]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "seq bigint, embedding array<float>")
+    want = brute(rows, 5)
+    assert {(r.key, r.neighbour) for r in neighbours.neighbours(df, probes=1000).collect()} == want  # all cells
+    assert max(on_driver) <= 500
+    got = {(r.key, r.neighbour) for r in neighbours.neighbours(df).collect()}
+    assert len(got) == 15_000 and len(got & want) / len(want) >= 0.95
+
+
 # Near-duplicates
 
 
