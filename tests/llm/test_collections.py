@@ -3,8 +3,10 @@
 import itertools
 import random
 import re
+import time
 import tracemalloc
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -204,6 +206,36 @@ def test_copies_inside_longer_files_and_among_many(spark):
     assert got == {*range(100, 130), 504, 505}
 
 
+def test_copies_in_slices_that_leave_no_files_behind(spark, monkeypatch):
+    for name, value in (("SLICED", 1), ("PAIRS", 0), ("LEAST_PAIRS", 5), ("MOST", 3)):
+        monkeypatch.setattr(provenance, name, value, raising=False)
+    rows = [(i, f"p{i}", own_file(3000 + i)) for i in range(150)] + [(500 + i, "own", own_file(200 + i)) for i in range(20)]
+    rows += [(700 + i, "other", "\n".join([own_file(200 + i), *(own_file(1000 + 5 * i + j) for j in range(5))])) for i in range(20)]
+    texts = sum(len(r[2]) for r in rows)
+    df = spark.createDataFrame(rows, "file_id bigint, project string, content string").repartition(4).checkpoint()
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    folder = Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
+
+    def disk():
+        files = blocks.getAllFiles()
+        shuffled = [Path(files.apply(i).getPath()) for i in range(files.size())]
+        return sum(f.stat().st_size for f in [*shuffled, *folder.rglob("*")] if f.is_file())
+
+    before = disk()
+    found = provenance.provenance(df)
+    for _ in range(20):  # shuffle files are removed in the background
+        if disk() - before < texts / 4:
+            break
+        time.sleep(0.5)
+    assert disk() - before < texts / 4
+    assert {r.file_id for r in found.collect() if r.kind == "third_party"} == set(range(500, 520))
+
+
+def test_places_as_gaps():
+    places = provenance.windows(own_file(3))[3]
+    assert len(places) > 50 and provenance.from_gaps(provenance.gaps(places)) == places and provenance.from_gaps(provenance.gaps([])) == []
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.integers(0, 30), max_size=80), st.lists(st.integers(0, 30), max_size=400), st.lists(st.integers(0, 3), min_size=24, max_size=24))
 def test_every_common_run_holds_a_common_window(left, right, run):
